@@ -7,6 +7,8 @@ each text is kept or rejected by one fixed threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .common import BROADCAST_IDS, WORD, words
 
 BITS = 14
 #: Added to each bucket's count in both multinomials.
-SMOOTHING = 0.5
+SMOOTHING = 1.0
 #: Mean log ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.05
 SYMBOLS = "#*$%&|<>"
@@ -61,10 +63,13 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def bucket_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, ratio): log of target probability over raw probability, for each of the 2**bits buckets.
+def bucket_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+    """Log of target probability over raw probability, for each of the 2**bits buckets.
 
-    ``trusted`` holds the ids of the target texts.  Without any, every ratio is 0.
+    Equal pseudo-counts, with the raw counts brought to the target's size, leave buckets without evidence neutral; and
+    the variance of the estimate, one over the expected count, is added: a text is rejected on evidence, not for want
+    of it, in a corpus of any size.  ``trusted`` holds the ids of the target texts; without any, every ratio is 0.
+    Spark counts; only the 2**bits sums reach the driver.
     """
     marks = trusted.select(F.col(id_col).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_t", F.lit(1))
     few = marks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -74,12 +79,14 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothi
     # the outer form, since the plain one would compute the array twice to skip empty ones
     grams = hashed(marked, "_text").select("_t", F.explode_outer(F.concat("_w", "_b")).alias("h")).where(F.col("h").isNotNull()).select("_t", F.col("h").bitwiseAND(low).cast("int").alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
-    # at most 2**bits rows from here on
-    dense = docs.sparkSession.range(0, 1 << bits, 1, 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
-    total = dense.agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
-    size = smoothing * (1 << bits)
-    ratio = F.log((F.col("target") + smoothing) / (F.col("targets") + size)) - F.log((F.col("raw") + smoothing) / (F.col("raws") + size))
-    return dense.join(F.broadcast(total)).select("bucket", F.when(F.col("targets") > 0, ratio).otherwise(0.0).alias("ratio"))
+    rows = counts.collect()
+    raws, targets = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
+    ratios = [0.0] * (1 << bits)
+    if targets:
+        for r in rows:
+            expected = r["raw"] * targets / raws + smoothing
+            ratios[r["bucket"]] = math.log((r["target"] + smoothing) / expected) + 1 / expected
+    return ratios
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = BITS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,10 +97,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = BITS, thresho
     they bear the name of an added one, which replaces them.  The table of 2**bits ratios is gathered in the driver
     (its size is fixed by ``bits``) and becomes a constant of the plan.
     """
-    rows = bucket_ratios(docs, trusted, bits, id_col=id_col, text_col=text_col).collect()
-    values = [0.0] * (1 << bits)
-    for r in rows:
-        values[r["bucket"]] = r["ratio"]
+    values = bucket_ratios(docs, trusted, bits, id_col=id_col, text_col=text_col)
     table = F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
     g, low = F.concat("_w", "_b"), F.lit((1 << bits) - 1)
     total = F.aggregate(g, F.lit(0.0), lambda x, h: x + F.get(table, h.bitwiseAND(low).cast("int")))
@@ -101,6 +105,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, bits: int = BITS, thresho
     return (
         text_statistics(hashed(docs, text_col), text_col)
         .withColumn("score", F.when(n > 0, total / n).otherwise(0.0))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        # as a generated column: a filter on it must not be pushed below, where it would compute every array again
+        .withColumn("kept", F.explode_outer(F.array(~F.col("base_failed") & (F.col("score") >= threshold))))
         .drop("_w", "_b")
     )

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, mixing, near_dedup, quality_classifier, quality_rules, token_counts
+from . import bpe_codec, gru_lm, html_text, mixing, multi_index, near_dedup, quality_classifier, quality_rules, token_counts, warc
+from .common import scratch
 
 
 def vocabulary(name: str) -> str:
@@ -27,6 +28,24 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    measured = read.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"), "record_type", "refers_to")
+    # a revisit's payload is that of its response
+    targets = measured.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("bytes").alias("target_bytes"), F.col("sha").alias("target_sha"))
+    both = measured.join(targets.join(measured.select(F.col("refers_to").alias("target")).where("target is not null").distinct(), "target", "left_semi"), F.col("refers_to") == F.col("target"), "left")
+    return both.select("page_id", F.coalesce("bytes", "target_bytes").alias("payload_bytes"), F.coalesce("sha", "target_sha").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -46,13 +65,26 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.taken(mixing.mix_plan(table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op5_token_counts, op6_bpe_codec, op7_minhash_dedup, op8_quality_rules, op10_mixing)
+    f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_multi_index, op4_html_text, op5_token_counts, op6_bpe_codec, op7_minhash_dedup, op8_quality_rules, op9_gru_lm, op10_mixing)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) as b, sha256(coalesce(html, '')) as d from pages where page_id is not null),
+        f as (select d, min(page_id) as first from p where octet_length(b) >= 100 group by d)
+        select page_id, octet_length(b)::bigint as payload_bytes, p.d as payload_digest,
+               case when first < page_id then 'revisit' else 'response' end as record_type,
+               case when first < page_id then first end as refers_to
+        from p left join f on p.d = f.d
+    """,
+}
