@@ -21,7 +21,7 @@ from .common import ship, staged
 #: Rows that the codebooks are fitted on, at most (every row is indexed), and rounds of k-means.
 FIT_ROWS, ROUNDS = 8000, 12
 #: Centroids of a half, share of all distinct vectors that a query visits, and distinct vectors of a block of the index.
-CENTROIDS, VISIT, BLOCK_ROWS = 32, 0.3, 4096
+CENTROIDS, VISIT, BLOCK_ROWS = 32, 0.6, 4096
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
