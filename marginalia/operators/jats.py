@@ -233,7 +233,8 @@ def articles(raw: DataFrame, id_col: str = "id", xml_col: str = "xml", pmc_col:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([parse(i, x, p or "") for i, x, p in zip(f["id"], f["xml"], f["pmc"], strict=True)], columns=names)
+            rows = [parse(i, x, p or "") for i, x, p in zip(f["id"], f["xml"], f["pmc"], strict=True)]
+            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
 
     pmc = F.col(pmc_col) if pmc_col else F.lit("")
     return raw.select(F.col(id_col).cast("long").alias("id"), F.col(xml_col).alias("xml"), pmc.alias("pmc")).mapInPandas(run, SCHEMA)
