@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import chunks, mix, ship, staged, texts_of, with_ids, word_hashes
 
-#: Registers, and registers of a band: a pair at 0.8 escapes all bands with probability (1 - 0.8**3)**26 = 8e-9.
-REGISTERS, ROWS = 78, 3
+#: Registers, and registers of a band: a pair at 0.8 escapes all bands with probability (1 - 0.8**6)**48 = 5e-7, one at
+#: 0.2 (texts that share a passage) meets in a band with 0.3 %.
+REGISTERS, ROWS = 288, 6
 #: Ratio of neighbouring levels, number of levels and rate of the sketch.
 BASE, LEVELS, RATE = 1.001, (1 << 16) - 2, 20.0
-#: Members of a block when the rest of a bucket is compared.
-BLOCK = 64
+#: Members of a block when the rest of a bucket is compared, and of a bucket whose few pairs are listed instead.
+BLOCK, SMALL = 64, 16
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +58,14 @@ def sketch(values: np.ndarray, counts: np.ndarray, registers: int) -> np.ndarray
     out = np.zeros((len(starts), registers), np.uint16)
     if not len(starts):
         return out
-    rng = np.random.default_rng(20_24)
-    odd, plus = rng.integers(0, 1 << 63, registers, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, registers, dtype=np.uint64)
+    odd = np.random.default_rng(20_24).integers(0, 1 << 63, registers, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least, buffer = np.empty(out.shape, np.float64), np.empty_like(values)
     for r in range(registers):
-        x = (values ^ plus[r]) * odd[r]
-        x ^= x >> np.uint64(29)
-        least = np.minimum.reduceat(x * odd[r - 1], starts)
-        variate = -np.log1p(-np.minimum((least.astype(np.float64) + 0.5) / 2.0**64, 1 - 2.0**-53)) / RATE
-        out[:, r] = np.clip(np.floor(1 - np.log(variate) / np.log(BASE)), 0, LEVELS + 1).astype(np.uint16)
+        # values are mixed already: an odd multiplier gives each register an order of its own
+        np.multiply(values, odd[r], out=buffer)
+        least[:, r] = np.minimum.reduceat(buffer, starts)
+    variate = -np.log1p(-np.minimum((least + 0.5) / 2.0**64, 1 - 2.0**-53)) / RATE
+    out[:] = np.clip(np.floor(1 - np.log(variate) / np.log(BASE)), 0, LEVELS + 1)
     return out
 
 
@@ -121,7 +122,7 @@ def is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, of sorted distinct arrays."""
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
@@ -192,8 +193,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     label = lambda frame, c: frame.join(c.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     apart = label(full, found)
     mixed = apart.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sig"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2")
-    once = mixed.groupBy("sig", "n").agg(F.min("bucket").alias("bucket")).select("bucket")  # buckets with equal members: one of them
-    rest = rest_links(staged(apart.join(once, "bucket").select("bucket", "rep", "c"), "apart"), classes, texts, words, percent)
+    once = mixed.groupBy("sig", "n").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # buckets with equal members: one of them
+    left = staged(apart.join(once, "bucket").select("bucket", "n", "rep", "c"), "apart")
+    few = left.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("rep", "c")).alias("m"))  # SMALL members at most
+    two = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["c"] != x["c"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
+    pairs = few.select(F.explode(two).alias("p")).select("p.a", "p.b").distinct()
+    rest = staged(confirmed(estimated(pairs, classes, least), texts, words, percent).unionByName(rest_links(left.where(F.col("n") > SMALL).drop("n"), classes, texts, words, percent)), "rest")
     found = components(links.unionByName(rest))
     answer = sets.join(classes.select("set_key", "rep"), "set_key", "left").join(found.toDF("rep", "c"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id"))
@@ -203,19 +208,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
 def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between members of a bucket that the stars left in different components.
 
-    ``members``: (bucket, rep, c).  A bucket's largest component and its other members, the strays, are cut into
-    blocks of about ``BLOCK``.  Each block of strays meets each block of the bucket in a group of its own, which
-    emits a link only where it joins two components.
+    ``members``: (bucket, rep, c).  A bucket's largest component names it; all buckets of that name are taken
+    together, so that a pair is compared once however many buckets it shares.  The component's members and the others,
+    the strays, are cut into blocks of about ``BLOCK``; each block of strays meets each block in a group of its own,
+    which emits a link only where it joins two components.
     """
     least = percent / 100
-    per = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n"))
-    strays, mains = F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
-    placed = members.join(per, "bucket").withColumn("stray", F.col("c") != F.col("main")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), strays).otherwise(mains)).cast("int"))
+    named = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
+    gathered = staged(members.join(named, "bucket").select("main", "rep", "c").distinct().withColumn("stray", F.col("c") != F.col("main")), "gathered")
+    sizes = gathered.groupBy("main").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int").alias("mains"))
+    strays, mains = F.col("strays"), F.col("mains")
+    placed = gathered.join(sizes, "main").withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), strays).otherwise(mains)).cast("int"))
     group = lambda kind, s, o: F.struct(s.cast("int").alias("s"), F.lit(kind).alias("kind"), o.cast("int").alias("o"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     mine = F.col("mine")
     groups = F.when(F.col("stray"), F.concat(F.transform(up_to(mains), lambda x: group("main", mine, x)), F.transform(up_to(strays), lambda x: group("stray", F.least(mine, x), F.greatest(mine, x))))).otherwise(F.transform(up_to(strays), lambda x: group("main", x, mine)))
-    dealt = placed.select("bucket", "rep", "c", F.explode(groups).alias("g")).select("bucket", "g.*", "rep", "c")
+    dealt = placed.select("main", "rep", "c", F.explode(groups).alias("g")).select("main", "g.*", "rep", "c")
     loaded = dealt.join(classes.select("rep", "n_shingles", "regs"), "rep").join(texts.toDF("rep", "text"), "rep")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -225,6 +233,11 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
         i, j = np.triu_indices(len(group), 1)
         ok = (parts[i] != parts[j]) & (np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9)
         i, j = i[ok], j[ok]
+        # equal registers first: cheaper than the joint estimate, and rules out most
+        width = regs.shape[1]
+        few = (least - 8 * np.sqrt(least * (1 - least) / width)) * width
+        ok = np.concatenate([(regs[i[k : k + 4096]] == regs[j[k : k + 4096]]).sum(1) >= few for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+        i, j = i[ok], j[ok]
         if len(i):
             ok = likely_similarity(regs[i], regs[j], sizes[i], sizes[j]) >= least - 7 * np.sqrt(least * (1 - least) / regs.shape[1])
             i, j = i[ok], j[ok]
@@ -235,18 +248,18 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
                 x = joined[x]
             return x
 
-        cache: dict[int, np.ndarray] = {}
+        used = np.unique(np.concatenate((i, j)))
+        values, n = shingle_sets(group["text"].iloc[used].tolist(), words)
+        ends = np.cumsum(n)
+        cache = {int(k): values[e - m : e] for k, e, m in zip(used, ends, n, strict=True)}
         out = []
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             p, q = top(int(parts[x])), top(int(parts[y]))
             if p == q:
                 continue
-            for k in (x, y):
-                if k not in cache:
-                    cache[k] = shingle_sets([group["text"].iloc[k]], words)[0]
             if is_link(cache[x], cache[y], percent):
                 joined[max(p, q)] = min(p, q)
                 out.append((int(reps[x]), int(reps[y])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return loaded.groupBy("bucket", "s", "kind", "o").applyInPandas(run, "a long, b long")
+    return loaded.groupBy("main", "s", "kind", "o").applyInPandas(run, "a long, b long")
