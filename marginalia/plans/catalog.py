@@ -100,24 +100,24 @@ def sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = "select event_type as source, cast(ts as date) as day, case when value < 2 then 'failed' else 'completed' end as status, cast(ts as date) as last_verified, event_id as seq from events"
 
 
-@query(f"select source, day, arg_max(status, seq) as status, count(*) as writes from ({LEDGER_SQL}) group by all")
+@query(f"select source, cast(day as varchar) as day, arg_max(status, seq) as status, count(*) as writes from ({LEDGER_SQL}) group by source, cast(day as varchar)")
 def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = sync_events(spark, sf_dir)
     kept = ledger.upsert(e.select("source", "day", "status").limit(0), e)
-    return kept.join(e.groupBy("source", "day").agg(F.count(F.lit(1)).alias("writes")), ["source", "day"])
+    return kept.join(e.groupBy("source", "day").agg(F.count(F.lit(1)).alias("writes")), ["source", "day"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query(f"""
     with l as (select source, day, arg_max(status, seq) as status, max(last_verified) as last_verified from ({LEDGER_SQL}) where seq % 7 < 3 group by all),
     d as (select source, cast(day as date) as day from (select distinct event_type as source from events), generate_series(date '2023-12-28', date '2024-02-02', interval 1 day) as g(day))
-    select d.source, d.day from d left join l on d.source = l.source and d.day = l.day
+    select d.source, cast(d.day as varchar) as day from d left join l on d.source = l.source and d.day = l.day
     where d.day = date '2024-01-30' or l.source is null or l.status = 'failed' or l.last_verified is null or l.last_verified < date '2024-01-30' - 21
 """)
 def days_needing_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = sync_events(spark, sf_dir).where("seq % 7 < 3")
     kept = ledger.upsert(e.select("source", "day", "status", "last_verified").limit(0), e)
     sources = read(spark, sf_dir, "events").select(F.col("event_type").alias("source")).distinct()
-    return ledger.days_needing_fetch(sources, kept, "2023-12-28", "2024-02-02", "2024-01-30", recheck_days=21)
+    return ledger.days_needing_fetch(sources, kept, "2023-12-28", "2024-02-02", "2024-01-30", recheck_days=21).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""
@@ -187,7 +187,7 @@ def tier_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     with a as (select event_id, (props->>'k')::int as k from events)
     select event_id, case k % 4 when 0 then 'rct' when 1 then 'cohort_prospective' else 'unknown' end as study_design,
-           case k % 4 when 0 then least(1.0, greatest(0.0, k / 10.0 - 1))::double when 1 then 0.5 else 0.0 end as confidence, case when k % 4 = 0 then k end::int as sample_size from a
+           case k % 4 when 0 then least(1.0, greatest(0.0, k / 10.0 - 1))::double when 1 then 0.5 else 0.0 end as confidence, case when k % 4 = 0 then k end::varchar as sample_size from a
 """)
 def llm_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
@@ -198,7 +198,7 @@ def llm_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") % 4 == 2, F.lit('{"study_design": "rct"} and {"study_design": "letter"}'))
         .otherwise(F.lit('{"study_design": "rct", "confidence": null}'))
     )
-    return quality.decode_classification(said.withColumn("answer", answer)).select("event_id", "study_design", "confidence", "sample_size")
+    return quality.decode_classification(said.withColumn("answer", answer)).select("event_id", "study_design", "confidence", F.col("sample_size").cast("string").alias("sample_size"))
 
 
 @query("""
@@ -393,9 +393,10 @@ def window_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").withColumn("r", F.rank().over(top)).where("r <= 3").select("o_custkey", "o_orderkey", F.col("r").cast("long").alias("r"))
 
 
-@query("select c_mktsegment, c_nationkey, count(*) as n from customer group by cube (c_mktsegment, c_nationkey)")
+@query("select coalesce(c_mktsegment, '*') as c_mktsegment, coalesce(c_nationkey, -1)::int as c_nationkey, count(*) as n from customer group by cube (c_mktsegment, c_nationkey)")
 def cube_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    cube = read(spark, sf_dir, "customer").cube("c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return cube.select(F.coalesce("c_mktsegment", F.lit("*")).alias("c_mktsegment"), F.coalesce("c_nationkey", F.lit(-1)).alias("c_nationkey"), "n")
 
 
 @query("""
