@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,6 +14,14 @@ FILLED = ("doi", "pmid", "abstract", "journal", "publication_date", "license")
 LISTS = ("authors", "publication_types", "keywords")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that the cluster names; where none is named (a laptop), in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return df.checkpoint()
+
+
 def first_known(c: str, seq: str) -> Column:
     return F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c)
 
@@ -80,7 +89,7 @@ def find_existing(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) of an edge list (a, b): the smallest node reached, by doubling minimum labels.
 
-    Each round halves the distance to the smallest label and is cut by a checkpoint where the session has a folder.
+    Each round halves the distance to the smallest label and is cut by a checkpoint.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
@@ -88,7 +97,7 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         near = both.join(labels.toDF("b", "cb"), "b").groupBy("a").agg(F.min("cb").alias("m"))
         moved = labels.join(near.toDF("node", "m"), "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
         jumped = moved.join(moved.toDF("c", "cc"), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        jumped = jumped.checkpoint()
+        jumped = cut(jumped)
         changed = jumped.join(labels.toDF("node", "old"), "node").where("c <> old").limit(1).count()
         labels = jumped
         if not changed:
