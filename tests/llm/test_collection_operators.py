@@ -249,3 +249,26 @@ def test_warc_query_matches_sql(spark):
     db.execute(f"create view pages as select * from read_parquet('{SF}/pages.parquet')")
     want = Counter(db.execute(f"select page_id, payload_bytes, payload_digest, record_type, refers_to from ({ORACLE_SQL['op2_warc']})").fetchall())
     assert Counter(map(tuple, op2_warc(spark, SF).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())) == want
+
+
+def test_strays_meet_all_blocks(spark, monkeypatch):
+    """The way for large buckets, on small ones: one band of one register makes buckets of unlike texts."""
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    common = [f"c{i}" for i in range(40)]
+    rng = random.Random(8)
+    rows = []
+    for g in range(8):
+        own = [f"g{g}w{i}" for i in range(30)]
+        for _ in range(5):
+            copy = own + common
+            copy[rng.randrange(30)] = f"e{rng.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    want, _ = brute.components(rows, 4, 80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = near_dedup.sketches(docs, 4, 24, "doc_id", "text")
+    classes = sets.select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "regs")
+    members = classes.select(F.lit(1).alias("bucket"), "rep", F.col("rep").alias("c"))
+    links = near_dedup.rest_links(members, classes, docs, 4, 80)
+    got = {r["v"]: r["c"] for r in near_dedup.components(links).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == want
