@@ -19,7 +19,7 @@ from .common import BROADCAST_IDS, chunks, mix, ship, texts_of
 
 BUCKETS, DIM, GRAMS = 1 << 15, 8, (3, 4)
 #: Labelled rows that training may use, at most (its only sample; scoring covers everything).
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1500
 EPOCHS, BATCH, RATE = 12, 32, 0.4
 
 
@@ -137,9 +137,12 @@ def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col:
             bags = [np.unique(ids[e - k : e], return_counts=True) for e, k in zip(ends, n, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array([b.astype(np.uint32).tobytes() for b, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary())], ["_id", "label", "buckets", "counts"])
 
-    got = sorted(chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary").toArrow().to_pylist(), key=lambda r: (r["_id"], r["buckets"]))
-    bags = [(np.frombuffer(r["buckets"], np.uint32).astype(np.int64), np.frombuffer(r["counts"], np.uint32).astype(float)) for r in got]
-    return fit(bags, np.array([r["label"] for r in got], np.int64)) if bags else Embeddings(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
+    got = chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary").toArrow()
+    order = np.argsort(got.column("_id").to_numpy(), kind="stable").tolist()
+    labels = got.column("label").to_numpy()[order].astype(np.int64)
+    # views of the gathered buffers, row by row: the driver holds the sample once
+    bags = [tuple(np.frombuffer(got.column(c)[i].as_buffer(), np.uint32) for c in ("buckets", "counts")) for i in order]
+    return fit(bags, labels) if bags else Embeddings(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
 
 
 def quality_scores(docs: DataFrame, model: Embeddings, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
