@@ -123,9 +123,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Neighbouring spans join, and what lies between their words stays; separate spans are parted by a line end.
     """
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **options).where((F.col("passes") > 0) | (F.size("spans") > 0))
-    wanted = plan.groupBy("doc_id", "key").agg(F.collect_list(F.struct("passes", "spans")).alias("_mix"))  # one entry for each equal row of a document
-    rows = docs.withColumn("_key", F.xxhash64(F.col(text_col).cast("string"))).withColumn("_id", F.col(id_col).cast("long")).dropDuplicates(["_id", "_key"])
-    both = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_key"] == wanted["key"])).select(*[rows[c] for c in docs.columns], F.explode("_mix").alias("_mix"))
+    # keys without nulls: the shuffle that finds equal rows then serves the join as well, and texts move once
+    named = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
+    wanted = plan.groupBy(named(F.col("doc_id")).alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("passes", "spans")).alias("_mix"))  # one entry for each equal row of a document
+    rows = docs.withColumn("_id", named(F.col(id_col))).withColumn("_key", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates(["_id", "_key"])
+    both = rows.join(wanted, ["_id", "_key"]).select(*docs.columns, F.explode("_mix").alias("_mix"))
     whole = both.where("_mix.passes > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_mix.passes")))).select(*docs.columns)
     names, at = docs.columns, docs.columns.index(text_col)
 
