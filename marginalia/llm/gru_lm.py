@@ -2,9 +2,9 @@
 
 Exact word counts of the whole training corpus give the unigram base and the probabilities of rare words.  The network
 predicts frequent words and classes of rare ones (by their ending); its output softmax is factored into classes.  It
-is trained by truncated backpropagation in numpy: every partition of the training texts starts from the same weights,
-runs through its texts, and the results are averaged by Spark, for a few rounds that share out the corpus.  A text is
-scored from its first token to its end, the state carried across windows.
+is trained by truncated backpropagation in numpy: the training texts are dealt by a hash over rounds and partitions of
+about as many tokens each; every partition starts from the same weights, runs through its texts, and the results are
+averaged by Spark after each round.  A text is scored from its first token to its end, the state carried across windows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ FREQUENT = 1 << 16
 WINDOW, LANES, ROUNDS, STEP = 16, 256, 2, 0.004
 #: Backpropagation goes through one window in so many (every text is run through as a whole for its state).
 STRIDE = 4
+#: Training tokens of a partition, on average, and of a stretch, at most: longer texts are cut before they are dealt.
+PART_TOKENS, STRETCH = 1 << 20, 1 << 10
 FLOOR = 0.1
 #: Lower-cases A-Z in UTF-8; bytes.split() then cuts at U+0009..U+000D and the space, and nowhere else.
 LOWER = bytes(range(256)).translate(bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode()))
@@ -146,11 +148,21 @@ class Net:
         grad["x"][ids[order][first]] += np.add.reduceat(g[order], first)
 
 
+def stretches(text: np.ndarray) -> Iterator[np.ndarray]:
+    """Parts of at most ``STRETCH`` tokens; each is led in by the window before it, whose tokens (as ~token) are no targets."""
+    for at in range(0, len(text), STRETCH):
+        yield np.concatenate((~text[max(0, at - WINDOW) : at], text[at : at + STRETCH]))
+
+
 def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
-    """Adam on truncated windows: texts run through ``LANES`` lanes, each state reset where a text starts."""
+    """Adam on truncated windows: texts run through ``LANES`` lanes to their ends, each state reset where a text starts.
+
+    Where the last texts end, windows are filled up with starts, which are no targets; a step is as long as its window
+    has targets, so that every token counts alike however few lanes are left.
+    """
     m, v = ({n: np.zeros_like(p) for n, p in net.p.items()} for _ in range(2))
     lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
-    state, done, windows, seen = np.zeros((LANES, HIDDEN), np.float32), False, 0, 0
+    state, done, windows, seen, widest, k = np.zeros((LANES, HIDDEN), np.float32), False, 0, 0, 0, 0
     while True:
         for i in range(LANES):
             while len(lanes[i]) <= WINDOW and not done:
@@ -159,12 +171,17 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
                     done = True
                 else:  # SYMBOLS marks the start
                     lanes[i] = np.concatenate((lanes[i], [SYMBOLS], text))
-        live = [i for i in range(LANES) if len(lanes[i]) > WINDOW]
-        if not live or (done and len(live) < LANES // 4 and windows):
-            return seen  # the few that remain are too narrow to be worth a step
-        block = np.stack([lanes[i][: WINDOW + 1] for i in live])
-        for i in live:
+        live = [i for i in range(LANES) if len(lanes[i]) > 1]
+        if not live:
+            return seen
+        block = np.full((len(live), WINDOW + 1), SYMBOLS)
+        for row, i in enumerate(live):
+            part = lanes[i][: WINDOW + 1]
+            block[row, : len(part)] = part
             lanes[i] = lanes[i][WINDOW:]
+        target = block[:, 1:].T
+        ok = ((target >= 0) & (target != SYMBOLS)).ravel()
+        block = np.where(block < 0, ~block, block)
         h, tape, hidden = state[live], [], []
         for t in range(WINDOW):
             start = block[:, t] == SYMBOLS
@@ -176,20 +193,18 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
             hidden.append(h)
         state[live] = h
         windows += 1
-        if windows % STRIDE:
+        if windows % STRIDE or not ok.any():
             continue
-        target = block[:, 1:].T
-        ok = (target != SYMBOLS).ravel()
         stacked = np.concatenate(hidden)
         grad = {n: np.zeros_like(p) for n, p in net.p.items()}
         back = np.zeros_like(stacked)
         back[ok] = net.outputs(stacked[ok], target.ravel()[ok], grad)[1]
         net.backward(tape, list(back.reshape(WINDOW, len(live), HIDDEN)), grad)
-        seen += int(ok.sum())
-        k = windows // STRIDE
-        rate = STEP * math.sqrt(1 - 0.99**k) / (1 - 0.9**k)
+        targets = int(ok.sum())
+        seen, widest, k = seen + targets, max(widest, targets), k + 1
+        rate = STEP * targets / widest * math.sqrt(1 - 0.99**k) / (1 - 0.9**k)
         for n, g in grad.items():
-            g /= max(1, ok.sum())
+            g /= targets
             m[n] += 0.1 * (g - m[n])
             v[n] += 0.01 * (g * g - v[n])
             net.p[n] -= rate * m[n] / (np.sqrt(v[n]) + 1e-6)
@@ -292,7 +307,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tail_log = np.log10(np.array([n + FLOOR * (v + 1) for n, v in zip(tail_n, tail_v, strict=True)]))
     frequency = np.array([c for _, c in frequent[:own]] + [0] * (own - len(frequent[:own])) + tail_n, float) + 1
     shared = spark.sparkContext.broadcast(lexicon)
-    net = train_network(train, shared, Net(frequency=frequency / frequency.sum()))
+    net = train_network(train, shared, Net(frequency=frequency / frequency.sum()), n_all)
     weights = spark.sparkContext.broadcast((net.flat(), tail_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,25 +361,35 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def train_network(train: DataFrame, lexicon, net: Net, piece: int = 4096) -> Net:
-    """Rounds of local training and averaging; each round takes its share of the texts, by hash."""
+def train_network(train: DataFrame, lexicon, net: Net, tokens: int, piece: int = 4096) -> Net:
+    """Rounds of local training and averaging; each takes its share of the texts' stretches, by hash, as does each partition."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text", 1 << 20):
+            found = [(d, n, x.astype(np.int16).tobytes()) for d, t in zip(batch.column("deal").to_pylist(), texts_of(batch, "text"), strict=True) for n, x in enumerate(stretches(lexicon.value.encode(t)[0]))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["deal", "part", "symbols"])
+
+    # copies are dealt by their id, those without one by their place
+    dealt = train.withColumn("place", F.monotonically_increasing_id()).select(F.xxhash64(F.coalesce("doc_id", "place"), "key").alias("deal"), "text")
+    parts = staged(dealt.mapInArrow(cut, "deal long, part int, symbols binary"), "stretches")
+    workers = max(1, round(tokens / PART_TOKENS / ROUNDS))
     for r in range(ROUNDS):
         weights = train.sparkSession.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             own = Net(weights.value)
-            texts = (lexicon.value.encode(t)[0] for batch in chunks(batches, "text", 1 << 20) for t in texts_of(batch, "text"))
+            texts = (np.frombuffer(x, np.int16).astype(np.int64) for batch in batches for x in batch.column("symbols").to_pylist())
             if seen := train_lanes(own, texts):
                 flat = own.flat().astype(np.float64)
-                parts = [flat[i : i + piece] for i in range(0, len(flat), piece)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "weight", "values"])
+                cells = [flat[i : i + piece] for i in range(0, len(flat), piece)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([float(seen)] * len(cells)), pa.array([c.tobytes() for c in cells], pa.binary())], ["piece", "weight", "values"])
 
         def average(group: pd.DataFrame) -> pd.DataFrame:
             values = np.stack([np.frombuffer(v, np.float64) for v in group["values"]])
             mean = np.average(values, axis=0, weights=group["weight"].to_numpy())
             return pd.DataFrame({"piece": [group["piece"].iloc[0]], "values": [mean.tobytes()]})
 
-        shard = train.where(F.pmod(F.xxhash64("key", F.lit("round")), F.lit(ROUNDS)) == r).select("text")
+        shard = parts.where(F.pmod(F.xxhash64("deal", "part", F.lit("round")), F.lit(ROUNDS)) == r).repartition(workers, "deal", "part").select("symbols")
         local = shard.mapInArrow(run, "piece int, weight double, values binary")
         rows = local.groupBy("piece").applyInPandas(average, "piece int, values binary").collect()  # the model's size
         if rows:

@@ -172,6 +172,26 @@ def test_network_sums_to_one_and_gradient():
         assert grad[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-5)
 
 
+def lane_net():
+    return gru_lm.Net(frequency=np.full(gru_lm.SYMBOLS, 1 / gru_lm.SYMBOLS))
+
+
+def test_lanes_run_to_their_ends():
+    rng = np.random.default_rng(1)
+    few = [rng.integers(0, gru_lm.SYMBOLS, n) for n in [70] * 50]
+    assert gru_lm.train_lanes(lane_net(), iter(few)) >= 50 * 16  # fewer than a quarter of the lanes
+    long = [rng.integers(0, gru_lm.SYMBOLS, n) for n in [20_000] + [70] * 300]
+    assert gru_lm.train_lanes(lane_net(), iter(long)) >= 20_000 / gru_lm.STRIDE - gru_lm.WINDOW * gru_lm.STRIDE
+
+
+def test_stretches_hold_every_token_once():
+    text = np.random.default_rng(2).integers(0, gru_lm.SYMBOLS, 3 * gru_lm.STRETCH + 5)
+    parts = list(gru_lm.stretches(text))
+    assert np.array_equal(np.concatenate([p[p >= 0] for p in parts]), text)
+    assert [int((p < 0).sum()) for p in parts] == [0] + [gru_lm.WINDOW] * 3
+    assert np.array_equal(~parts[1][: gru_lm.WINDOW], text[gru_lm.STRETCH - gru_lm.WINDOW : gru_lm.STRETCH])
+
+
 def test_digests_of_ids(spark):
     from pyspark.sql import functions as F
 
