@@ -2,9 +2,10 @@
 
 Exact word counts of the whole training corpus give the unigram base and the probabilities of rare words.  The network
 predicts frequent words and classes of rare ones (by their ending); its output softmax is factored into classes.  It
-is trained by truncated backpropagation in numpy: the training texts are dealt by a hash over rounds and partitions of
-about as many tokens each; every partition starts from the same weights, runs through its texts, and the results are
-averaged by Spark after each round.  A text is scored from its first token to its end, the state carried across windows.
+is trained by truncated backpropagation through every window in numpy: the training texts are dealt by a hash over
+rounds and partitions of about as many tokens each; every partition starts from the same weights, runs through its
+texts, and the results are averaged by Spark after each round.  A text is scored from its first token to its end, the
+state carried across windows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ SYMBOLS = CLASSES * CLASSES
 FREQUENT = 1 << 16
 #: Tokens of a window, texts side by side, averaging rounds, and step of the optimiser.
 WINDOW, LANES, ROUNDS, STEP = 16, 256, 2, 0.004
-#: Backpropagation goes through one window in so many (every text is run through as a whole for its state).
-STRIDE = 4
 #: Training tokens of a partition, on average, and of a stretch, at most: longer texts are cut before they are dealt.
 PART_TOKENS, STRETCH = 1 << 20, 1 << 10
 FLOOR = 0.1
@@ -162,7 +161,7 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
     """
     m, v = ({n: np.zeros_like(p) for n, p in net.p.items()} for _ in range(2))
     lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
-    state, done, windows, seen, widest, k = np.zeros((LANES, HIDDEN), np.float32), False, 0, 0, 0, 0
+    state, done, seen, widest, k = np.zeros((LANES, HIDDEN), np.float32), False, 0, 0, 0
     while True:
         for i in range(LANES):
             while len(lanes[i]) <= WINDOW and not done:
@@ -192,8 +191,7 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
             tape.append(kept)
             hidden.append(h)
         state[live] = h
-        windows += 1
-        if windows % STRIDE or not ok.any():
+        if not ok.any():
             continue
         stacked = np.concatenate(hidden)
         grad = {n: np.zeros_like(p) for n, p in net.p.items()}
