@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields that the first non-null value fills, and lists that the first non-empty value fills.
@@ -86,14 +85,14 @@ def find_existing(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("existing_id", F.coalesce("_id_doi", "_id_pmid")).drop("_d", "_p", "_id_doi", "_id_pmid")
 
 
-def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def label_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge list (a, b): the smallest node reached, by doubling minimum labels.
 
-    Each round halves the distance to the smallest label and is cut by a checkpoint.
+    Each round halves the distance to the smallest label and is cut by a checkpoint; the last one changes no label.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.toDF("b", "cb"), "b").groupBy("a").agg(F.min("cb").alias("m"))
         moved = labels.join(near.toDF("node", "m"), "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
         jumped = moved.join(moved.toDF("c", "cc"), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c"))
@@ -101,56 +100,40 @@ def label_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         changed = jumped.join(labels.toDF("node", "old"), "node").where("c <> old").limit(1).count()
         labels = jumped
         if not changed:
-            break
-    return labels.select("node", F.col("c").alias("component"))
+            return labels.select("node", F.col("c").alias("component"))
 
 
 def merge_records(records: DataFrame) -> DataFrame:
     """The sequential merge on two keys: every row's (seq, publication, outcome).
 
-    Rows linked by DOI or PMID form components; each is folded in order of ``seq`` by the rules of a store with two
-    unique columns: a row joins the publication with its DOI, else that with its PMID; a null identifier is filled; a
-    fill that would repeat another publication's identifier makes the row ``failed``.  ``publication`` is the seq of
-    the row that was added.  Blank identifiers match nothing.
-    """
-    slim = records.select("seq", F.nullif("doi", F.lit("")).alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"))
-    edges = slim.where("doi is not null").groupBy("doi").agg(F.min("seq").alias("a")).join(slim, "doi").select("a", F.col("seq").alias("b"))
-    edges = edges.unionByName(slim.where("pmid is not null").groupBy("pmid").agg(F.min("seq").alias("a")).join(slim, "pmid").select("a", F.col("seq").alias("b")))
-    parts = slim.join(label_components(edges).withColumnRenamed("node", "seq"), "seq", "left").withColumn("component", F.coalesce("component", "seq"))
-    # components of one key at most need no order-dependent fold: the first row is added, the rest merge
-    kinds = parts.groupBy("component").agg(F.count_distinct("doi").alias("d"), F.count_distinct("pmid").alias("p"))
-    plain = parts.join(kinds.where("d + p <= 1"), "component").select("seq", F.min("seq").over(Window.partitionBy("component")).alias("publication"))
-    plain = plain.withColumn("outcome", F.when(F.col("seq") == F.col("publication"), "added").otherwise("merged"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        by_doi: dict[str, int] = {}
-        by_pmid: dict[str, int] = {}
-        held: dict[int, list[str | None]] = {}
-        out = []
-        for row in group.sort_values("seq").itertuples(index=False):
-            doi, pmid = (x if isinstance(x, str) else None for x in (row.doi, row.pmid))
-            target = by_doi.get(doi) if doi else None
-            if target is None and pmid:
-                target = by_pmid.get(pmid)
-            if target is None:
-                target = int(row.seq)
-                held[target] = [None, None]
-                status = "added"
-            else:
-                status = "merged"
-                clash = (doi and held[target][0] is None and by_doi.get(doi, target) != target) or (pmid and held[target][1] is None and by_pmid.get(pmid, target) != target)
-                if clash:
-                    out.append((int(row.seq), target, "failed"))
-                    continue
-            if doi and held[target][0] is None:
-                held[target][0] = doi
-                by_doi[doi] = target
-            if pmid and held[target][1] is None:
-                held[target][1] = pmid
-                by_pmid[pmid] = target
-            out.append((int(row.seq), target, status))
-        return pd.DataFrame(out, columns=["seq", "publication", "outcome"])
-
-    mixed = parts.join(kinds.where("d + p > 1"), "component").groupBy("component").applyInPandas(fold, "seq long, publication long, outcome string")
-    return plain.select("seq", "publication", "outcome").unionByName(mixed)
+    Rows are folded in order of ``seq`` (distinct) by the rules of a store with two unique columns: a row joins the
+    publication with its DOI, else that with its PMID; a null identifier is filled; a fill that would repeat another
+    publication's identifier makes the row ``failed``.  ``publication`` is the seq of the row that was added.  Blank
+    identifiers match nothing.
 
+    All rows are resolved at once, in rounds: each takes the earliest claims on the identifiers as the round before
+    left them, and says which it claims itself.  A row is settled once all rows before it are, so the first round that
+    changes nothing is the sequential result.  No group is collected anywhere; a round is cut by a checkpoint.
+    """
+    none, no = F.lit(None).cast("long"), F.lit(False)
+    rows = records.select(F.col("seq").cast("long").alias("seq"), F.nullif("doi", F.lit("")).alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"))
+    rows = rows.select("*", none.alias("publication"), F.lit("").alias("outcome"), no.alias("takes_doi"), no.alias("takes_pmid"))
+    while True:
+        claims = {c: rows.where(f"takes_{c}") for c in ("doi", "pmid")}
+        # who holds an identifier, and since which row a publication has one
+        held = {c: x.groupBy(c).agg(F.min(F.struct("seq", "publication")).alias(f"by_{c}")) for c, x in claims.items()}
+        filled = {c: x.groupBy("publication").agg(F.min("seq").alias(f"since_{c}")).withColumnRenamed("publication", "target") for c, x in claims.items()}
+        both = rows.join(held["doi"], "doi", "left").join(held["pmid"], "pmid", "left")
+        for c in ("doi", "pmid"):
+            both = both.withColumn(f"by_{c}", F.when(F.col(f"by_{c}.seq") < F.col("seq"), F.col(f"by_{c}.publication")))
+        both = both.withColumn("target", F.coalesce("by_doi", "by_pmid", "seq")).join(filled["doi"], "target", "left").join(filled["pmid"], "target", "left")
+        added = F.col("by_doi").isNull() & F.col("by_pmid").isNull()
+        free = {c: F.coalesce(F.col(f"since_{c}") >= F.col("seq"), F.lit(True)) for c in ("doi", "pmid")}
+        failed = ~added & free["pmid"] & F.coalesce(F.col("by_pmid") != F.col("target"), no)
+        takes = {c: F.col(c).isNotNull() & (added | (~failed & free[c])) for c in ("doi", "pmid")}
+        outcome = F.when(added, "added").when(failed, "failed").otherwise("merged")
+        same = F.col("publication").eqNullSafe(F.col("target")) & (F.col("outcome") == outcome) & (F.col("takes_doi") == takes["doi"]) & (F.col("takes_pmid") == takes["pmid"])
+        rows = cut(both.select("seq", "doi", "pmid", F.col("target").alias("publication"), outcome.alias("outcome"), takes["doi"].alias("takes_doi"), takes["pmid"].alias("takes_pmid"), same.alias("same")))
+        if not rows.where("not same").limit(1).count():
+            return rows.select("seq", "publication", "outcome")
+        rows = rows.drop("same")

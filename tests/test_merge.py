@@ -41,6 +41,15 @@ def test_bridging_row_fails(spark):
     assert {r["seq"]: (r["publication"], r["outcome"]) for r in got} == {1: (1, "added"), 2: (2, "added"), 3: (1, "failed"), 4: (1, "merged"), 5: (5, "added"), 6: (6, "added")}
 
 
+def test_merge_of_one_large_component(spark):
+    """No Python group holds a component, and a chain of identifiers is followed to its end."""
+    rows = [(i, f"d{i % 4}" if i % 4 else None, f"p{i // 3}" if i % 3 else None) for i in range(300)]
+    rows += [(1000 + i, f"c{(i + 1) // 2}", f"q{i // 2}") for i in range(24)]
+    merged = merge.merge_records(spark.createDataFrame(rows, "seq long, doi string, pmid string"))
+    assert "InPandas" not in merged._jdf.queryExecution().toString()
+    assert {r["seq"]: (r["publication"], r["outcome"]) for r in merged.collect()} == sequential(rows)
+
+
 def test_fold_fills_but_keeps_the_first(spark):
     rows = [(2, "k", "s2", "T2", "A2", ["x"], True), (1, "k", "s1", "T1", None, [], False), (3, "k", "s1", "T3", "A3", ["y"], False)]
     r = merge.fold_by_key(spark.createDataFrame(rows, "seq long, key string, source string, title string, abstract string, authors array<string>, oa boolean"), ["key"], filled=["abstract"], lists=["authors"], flags=["oa"], firsts=["title"]).first()
