@@ -1,9 +1,10 @@
 """HTML extraction with site template removal.
 
 Every page is parsed to a tree whose element subtrees are hashed.  Spark counts, per host, on how many different
-contents each subtree occurs; subtrees that recur across many are the site's template and are deleted.  What the
-markup itself names as apparatus (navigation, adverts, forms, comments ...) goes too; the rest of the article is
-returned block by block.
+contents each subtree occurs; subtrees that recur across many are the site's template and are deleted.  Elements whose
+tag, role or whole class name says that they never hold article text (navigation, adverts, forms, comments ...) go
+too; an element that only has a word of apparatus in its class or id is left to the counts.  The rest of the article
+is returned block by block.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ SCOPES = frozenset("article aside blockquote body caption dd details div fieldse
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select", "datalist"), "tbody": ("table",), "tfoot": ("table",)}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of a class or id that name apparatus.
+#: Whole classes and ids that never hold article text; their elements go wherever they are.
+UNMISTAKABLE = frozenset("ad ads advert adverts advertisement advertisements adsense cookie-notice cookie-banner cookie-consent gdpr-notice consent-banner newsletter-signup breadcrumb breadcrumbs pagination navbar site-header site-footer comments comment-list disqus_thread share-buttons social-share".split())
+#: Words of a class or id that may name apparatus: such an element goes where it recurs on its host, inside articles too.
 APPARATUS = frozenset("ad ads adv advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar masthead topbar header footer colophon comment comments respond replies disqus discussion share sharing social related recommended recommendations login search skip".split())
 #: Elements that count as template inside an article, too; its paragraphs and headings are content however often they recur.
 CONTAINERS = frozenset("div section aside ul ol dl table figure header footer nav form".split())
@@ -45,28 +48,31 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("apparatus", "digest", "items", "tag")
+    __slots__ = ("apparatus", "digest", "items", "suspect", "tag")
 
-    def __init__(self, tag: str, apparatus: bool):
-        self.tag, self.apparatus, self.items, self.digest = tag, apparatus, [], 0
+    def __init__(self, tag: str, apparatus: bool, suspect: bool = False):
+        self.tag, self.apparatus, self.suspect, self.items, self.digest = tag, apparatus, suspect, [], 0
 
 
-def is_apparatus(tag: str, attributes: str) -> bool:
+def is_apparatus(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is apparatus in any case, and whether it is if it recurs."""
     if tag in DROPPED:
-        return True
+        return True, False
+    suspect = False
     if not attributes:
-        return False
+        return False, False
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "h1", "h2", "h3"):
-            if any(w.lower() in APPARATUS for w in _NAME.findall(value)):
-                return True
-        elif name in ("class", "id") and tag == "article" and any(w.lower() in ("comment", "comments", "reply") for w in _NAME.findall(value)):
-            return True
+            if any(w in UNMISTAKABLE for w in value.lower().split()):
+                return True, False
+            suspect = suspect or any(w.lower() in APPARATUS for w in _NAME.findall(value))
+        elif name in ("class", "id") and tag == "article" and any(w in ("comment", "comments", "reply") for w in value.lower().split()):
+            return True, False
         elif (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-    return False
+            return True, False
+    return False, suspect
 
 
 def parse(page: str) -> Node:
@@ -108,7 +114,7 @@ def parse(page: str) -> Node:
         if tag in CLOSES:
             while i := open_at(CLOSES[tag], HOLDS[tag]):
                 close(i)
-        node = Node(tag, is_apparatus(tag, m[3]))
+        node = Node(tag, *is_apparatus(tag, m[3]))
         stack[-1].items.append(node)
         if tag in VOID or (m[3].endswith("/") and tag not in BLOCKS and tag not in RAW):
             continue
@@ -163,7 +169,7 @@ def blocks(roots: list[Node], template: frozenset[int] | set[int], inside: bool)
             parts.append(x)
         elif x.apparatus and not (x.tag == "header"):
             parts.append(" ")
-        elif x.digest in template and (not inside or x.tag in CONTAINERS):
+        elif x.digest in template and (not inside or x.suspect or x.tag in CONTAINERS):
             parts.append(" ")
         elif x.tag in ("br", "td", "th"):
             parts.append(" ")
@@ -208,7 +214,7 @@ def subtrees(page: str) -> tuple[int, set[int]]:
         if node.apparatus:
             continue  # goes in any case
         within = within or (inside and node.tag in ("article", "main"))
-        if node.tag in (CONTAINERS if within else BLOCKS) and node.tag not in ("html", "body", "article", "main") and node.items:
+        if (node.suspect or node.tag in (CONTAINERS if within else BLOCKS)) and node.tag not in ("html", "body", "article", "main") and node.items:
             out.add(node.digest)
         todo += [(x, within) for x in node.items if isinstance(x, Node)]
     return content, out

@@ -208,6 +208,15 @@ def test_site_template(spark, monkeypatch):
     assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == want
 
 
+def test_names_are_left_to_the_counts(spark):
+    names = ("id='discussion'", "class='related-work'", "class=search-results", "class='social-history'", "class='section-header'", "class=notice", "class=share")
+    own = [(i, f"https://one.example/{i}", "<article><p>Story</p>" + f"<section {n}><p>Text {i}</p></section></article>") for i, n in enumerate(names)]
+    bar = "<span class='share'>Share on all sites</span>"
+    own += [(100 + i, f"https://two.example/{i}", f"<article><p>Story {i}</p><div class='ad'>Buy {i}</div><p>End</p>{bar}</article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(own, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story\n\nText {i}" for i in range(len(names))} | {100 + i: f"Story {i}\n\nEnd" for i in range(9)}
+
+
 def test_warc_round_trip(spark):
     long_page = "é<p>" * 60_000
     rows = [(5, "http://a", "x" * 200), (3, "http://b\r\nX: y", "x" * 200), (9, None, "x" * 200), (4, "http://c", None), (6, "http://c", ""), (7, "d", "y" * 99), (8, "d", "y" * 99), (10, "e", long_page), (2, "f", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9), (11, "g", long_page)]
