@@ -29,11 +29,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archive_round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    measured = read.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"), "record_type", "refers_to")
+    return warc_rows(warc.archive_round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
+
+
+def warc_rows(read: DataFrame) -> DataFrame:
+    """Measures of what was read back; a record that fails verification is an error."""
+    payload = F.when(F.col("verified"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("unverified record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("binary"))
+    measured = read.withColumn("payload", payload).select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"), "record_type", "refers_to")
     # a revisit's payload is that of its response
-    targets = measured.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("bytes").alias("target_bytes"), F.col("sha").alias("target_sha"))
-    both = measured.join(targets.join(measured.select(F.col("refers_to").alias("target")).where("target is not null").distinct(), "target", "left_semi"), F.col("refers_to") == F.col("target"), "left")
+    targets = measured.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("digest").alias("target_digest"), F.col("bytes").alias("target_bytes"), F.col("sha").alias("target_sha"))
+    wanted = measured.where("refers_to is not null").select(F.col("refers_to").alias("target"), F.col("digest").alias("target_digest")).distinct()
+    targets = targets.join(wanted, ["target", "target_digest"], "left_semi").dropDuplicates(["target", "target_digest"])
+    both = measured.join(targets, (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
     return both.select("page_id", F.coalesce("bytes", "target_bytes").alias("payload_bytes"), F.coalesce("sha", "target_sha").alias("payload_digest"), "record_type", "refers_to")
 
 

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, ship
+from .common import chunks, ship, staged
 
 #: Bytes of a segment's block at most, bytes of a transfer chunk, records of a file, and the smallest payload that a revisit may stand for.
 SEGMENT, CHUNK, FILE_RECORDS, LEAST_REVISIT = 1 << 16, 1 << 13, 2000, 100
@@ -60,21 +60,29 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return _VERSION + lines.encode() + b"\r\n" + block + b"\r\n"
 
 
-def page_records(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT) -> list[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
-    shared = [("WARC-Target-URI", re.sub(r"[\r\n]", "", url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Page-Id", str(page_id))]
+def page_records(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, segment: int = SEGMENT, ordinal: int = 0) -> list[bytes]:
+    """The records of one row: a revisit, or a response with its continuations.
+
+    A row is named by its page, its payload's digest and its ordinal among the rows that are equal in both.
+    """
+    key = f"{page_id}/{digest}/{ordinal}"
+    shared = [("WARC-Target-URI", re.sub(r"[\r\n]", "", url)), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if page_id is not None:
+        shared.append(("X-Page-Id", str(page_id)))
+    if ordinal:
+        shared.append(("X-Row-Ordinal", str(ordinal)))
     if refers_to is not None:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_uri(page_id)), *shared, ("WARC-Profile", profile), ("WARC-Refers-To", record_uri(refers_to)), ("X-Refers-To-Page", str(refers_to))], b"")]
+        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_uri(key)), *shared, ("WARC-Profile", profile), ("WARC-Refers-To", record_uri(f"{refers_to}/{digest}/0")), ("X-Refers-To-Page", str(refers_to))], b"")]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
     out = []
     for n, part in enumerate(parts, 1):
-        head = [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", record_uri(page_id, n)), *shared]
+        head = [("WARC-Type", "response" if n == 1 else "continuation"), ("WARC-Record-ID", record_uri(key, n)), *shared]
         if len(parts) > 1:
             head.append(("WARC-Segment-Number", str(n)))
         if n > 1:
-            head.append(("WARC-Segment-Origin-ID", record_uri(page_id)))
+            head.append(("WARC-Segment-Origin-ID", record_uri(key)))
         if 1 < n == len(parts):
             head.append(("WARC-Segment-Total-Length", str(len(block))))
         out.append(record(head, part))
@@ -97,30 +105,43 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def first_copies(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(digest, first): the smallest page_id of each payload of at least ``least`` bytes that occurs more than once."""
-    keyed = pages.where(F.octet_length("payload") >= least).select(F.sha2("payload", 256).alias("digest"), "page_id")
-    return keyed.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    """(digest, first, most) of each payload that a row repeats.
+
+    ``first`` is the smallest page_id of a payload of at least ``least`` bytes, ``most`` how many rows of one page_id
+    have the payload.
+    """
+    keyed = pages.select(F.sha2("payload", 256).alias("digest"), "page_id", (F.octet_length("payload") >= least).alias("long"))
+    same = keyed.groupBy("digest", "page_id", "long").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.when(F.col("long"), F.col("page_id"))).alias("first")
+    return same.groupBy("digest").agg(first, F.max("n").alias("most"), F.sum("n").alias("n")).where("n > 1 and (first is not null or most > 1)").select("digest", "first", "most")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, segment: int = SEGMENT, copies_bound: int = 200_000) -> None:
     """Writes (page_id, url, payload binary) as gzip-compressed WARC files under ``path``.
 
     Pages stay where they are read unless more than ``copies_bound`` payloads repeat (about 80 bytes each are
-    broadcast below that); then they are joined by digest.
+    broadcast below that); then they are joined by digest.  Only rows that repeat a page_id and its payload are
+    shuffled, to be numbered.
     """
     ship(pages.sparkSession)
-    copies = first_copies(pages, least)
+    copies = staged(first_copies(pages, least), "copies")
     few = copies.limit(copies_bound + 1).count() <= copies_bound
     keyed = pages.withColumn("digest", F.sha2("payload", 256)).join(F.broadcast(copies) if few else copies, "digest", "left")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
+    if copies.where("most > 1").limit(1).count():
+        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
+        again = F.coalesce(F.col("most") > 1, F.lit(False))
+        keyed = keyed.where(~again).withColumn("ordinal", F.lit(0)).unionByName(keyed.where(again).withColumn("ordinal", number))
+    else:
+        keyed = keyed.withColumn("ordinal", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "payload"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)
-            out = [r for page, url, payload, digest, refers_to in rows for r in page_records(page, url, payload, digest, refers_to, segment)]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "ordinal")), strict=True)
+            out = [r for page, url, payload, digest, refers_to, ordinal in rows for r in page_records(page, url, payload, digest, refers_to, segment, ordinal)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    records = keyed.select("page_id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(run, "record binary")
+    records = keyed.select("page_id", "url", "payload", "digest", refers.alias("refers_to"), "ordinal").mapInArrow(run, "record binary")
     # a string column only to the writer, which copies its bytes as they are; the line end closes each record
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -137,7 +158,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 rows, size = [], 0
                 for h, block in parse(gzip.decompress(data.as_py())):
                     refers = h.get("x-refers-to-page")
-                    rows.append((h["warc-record-id"], h["warc-type"], int(h["x-page-id"]), h["warc-payload-digest"].partition(":")[2], int(refers) if refers else None, int(h.get("warc-segment-number", 0)), h.get("warc-segment-origin-id"), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
+                    rows.append((h["warc-record-id"], h["warc-type"], int(h["x-page-id"]) if "x-page-id" in h else None, h["warc-payload-digest"].partition(":")[2], int(refers) if refers else None, int(h.get("warc-segment-number", 0)), h.get("warc-segment-origin-id"), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block))
                     size += len(block)
                     if size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -189,11 +210,11 @@ def reassemble(records: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, record_type, refers_to, payload, digest, verified) of every page, as read back from the archives.
 
-    A null html is an empty payload; a null url an empty one.  Rows with a null page_id have no name in an archive
-    and are left out; rows that repeat a page_id count once if they are equal in payload (of others, one is kept).
-    An empty table gives an empty result.  A revisit's payload is null: it is that of the page it refers to.
+    A null html is an empty payload; a null url an empty one.  Every row has a record of its own, also where page_ids
+    repeat or are null; rows with a null page_id are responses.  An empty table gives an empty result.  A revisit's
+    payload is null: it is that of the response with its digest of the page it refers to.
     """
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload")).where("page_id is not null")
+    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     write_archives(pages, path)
     records = read_records(pages.sparkSession, path)
     none = F.lit(None)

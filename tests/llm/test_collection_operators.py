@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import html_text, mixing, multi_index, near_dedup, warc
 from marginalia.llm.common import scratch
-from marginalia.llm.queries import op2_warc
+from marginalia.llm.queries import op2_warc, warc_rows
 
 from . import brute
 
@@ -231,6 +231,17 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(pages.limit(0), scratch(spark, "warc")).count() == 0
 
 
+def test_warc_keeps_every_row(spark):
+    long, other = "é<p>" * 60_000, "other" * 30_000
+    rows = [(1, "u", long), (1, "u", long), (1, "u", other), (2, "v", long), (None, "w", other), (None, "w", other), (None, "x", None), (3, "s", "short"), (3, "s", "short"), (None, "y", "n" * 200)]
+    read = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), scratch(spark, "warc"))
+    got = Counter(map(tuple, warc_rows(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
+    sha = lambda h: warc.hashlib.sha256((h or "").encode()).hexdigest()
+    assert got == Counter((i, len((h or "").encode()), sha(h), "revisit" if i == 2 else "response", 1 if i == 2 else None) for i, _, h in rows)
+    with pytest.raises(Exception, match="unverified record of page 2"):
+        warc_rows(read.limit(0).unionByName(spark.createDataFrame([(2, "response", None, None, "d", False)], read.schema))).collect()
+
+
 def test_warc_damage(spark):
     records = [r for n in (1, 2) for r in warc.page_records(n, "u", b"z" * 90, warc.hashlib.sha256(b"z" * 90).hexdigest(), None, segment=50)]
     rows = [(h["warc-record-id"], h["warc-type"], int(h["x-page-id"]), h["warc-payload-digest"][7:], None, int(h["warc-segment-number"]), h.get("warc-segment-origin-id"), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, bytearray(b)) for h, b in warc.parse(b"\r\n".join(records))]
