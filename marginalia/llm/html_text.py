@@ -1,10 +1,15 @@
 """HTML extraction with site template removal.
 
-Every page is parsed to a tree whose element subtrees are hashed.  Spark counts, per host, on how many different
-contents each subtree occurs; subtrees that recur across many are the site's template and are deleted.  Elements whose
-tag, role or whole class name says that they never hold article text (navigation, adverts, forms, comments ...) go
-too; an element that only has a word of apparatus in its class or id is left to the counts.  The rest of the article
-is returned block by block.
+Every page is parsed to a tree whose element subtrees are hashed twice: by content (tags and text) and by shape (tags,
+names and nesting; text, links and the number of equal neighbours left out).  Spark counts, per host, on how many
+different contents each hash occurs; subtrees that recur across many are the site's template and are deleted.  The
+content hash stands for any block outside the article, and for containers inside; the shape hash finds apparatus whose
+words change from page to page, so it stands only for elements that are apparatus by tag, role or name, or that hold
+hardly more than links.
+
+A host of few pages gives no counts.  What its tag, role or whole class name shows to hold no article text
+(navigation, adverts, forms, scripts ...) therefore goes on every page, after the templates.  The rest of the article is
+returned block by block.
 """
 
 from __future__ import annotations
@@ -18,12 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, texts_of
+from .common import chunks, ship, staged, texts_of
 
 #: A subtree is template if it occurs with at least so many different contents of its host, and at least this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.1
 #: Template subtrees (host, hash) that are broadcast, at most (about 100 bytes each); above it, they are joined to the pages.
 BROADCAST_TEMPLATES = 100_000
+#: Ways in which equal pages are split for that join.
+SALTS = 16
 
 # Fixed values of HTML: elements without content, with raw content, that end a paragraph, and that never hold article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,50 +47,81 @@ UNMISTAKABLE = frozenset("ad ads advert adverts advertisement advertisements ads
 APPARATUS = frozenset("ad ads adv advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar masthead topbar header footer colophon comment comments respond replies disqus discussion share sharing social related recommended recommendations login search skip".split())
 #: Elements that count as template inside an article, too; its paragraphs and headings are content however often they recur.
 CONTAINERS = frozenset("div section aside ul ol dl table figure header footer nav form".split())
+#: A menu: a container with so many links at least, and at least this share of its text in them.
+LISTS, MENU_LINKS, MENU_SHARE = frozenset("div section ul ol dl table center header".split()), 3, 0.8
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("apparatus", "digest", "items", "suspect", "tag")
-
-    def __init__(self, tag: str, apparatus: bool, suspect: bool = False):
-        self.tag, self.apparatus, self.suspect, self.items, self.digest = tag, apparatus, suspect, [], 0
-
-
-def is_apparatus(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is apparatus in any case, and whether it is if it recurs."""
+    __slots__ = ("apparatus", "chars", "digest", "items", "linked", "links", "names", "shape", "suspect", "tag")
+
+    def __init__(self, tag: str, apparatus: bool, suspect: bool = False, names: str = ""):
+        self.tag, self.apparatus, self.suspect, self.names, self.items = tag, apparatus, suspect, names, []
+        self.digest = self.shape = self.chars = self.linked = self.links = 0
+
+    def seal(self) -> None:
+        """Hashes of the subtree, once it is complete; what a text weighs, and how much of it is in links."""
+        content, shape = [self.tag], [self.tag, self.names]
+        for x in self.items:
+            if isinstance(x, str):
+                text = x.strip()
+                self.chars += len(text)
+                content.append(text)
+                part = "t" if text else ""
+            else:
+                if not x.apparatus:
+                    self.chars += x.chars
+                    self.linked += x.linked
+                    self.links += x.links
+                content.append(format(x.digest, "x"))
+                part = format(x.shape, "x")
+            if part and part != shape[-1]:
+                shape.append(part)
+        if self.tag == "a":
+            self.linked, self.links = self.chars, 1
+        self.digest = xxhash.xxh3_64_intdigest("\x1f".join(content).encode("utf-8", "surrogatepass"))
+        self.shape = xxhash.xxh3_64_intdigest("\x1f".join(shape).encode("utf-8", "surrogatepass"), 1)
+
+    def is_menu(self) -> bool:
+        return self.links >= MENU_LINKS and self.tag in LISTS and self.linked >= MENU_SHARE * self.chars
+
+
+def is_apparatus(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is apparatus in any case, whether it is if it recurs, and its names without digits."""
     if tag in DROPPED:
-        return True, False
-    suspect = False
+        return True, False, ""
+    suspect, names = False, ""
     if not attributes:
-        return False, False
+        return False, False, ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         name = name.lower()
+        if name in ("class", "id"):
+            names += " " + _DIGITS.sub("", value)
         if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "h1", "h2", "h3"):
             if any(w in UNMISTAKABLE for w in value.lower().split()):
-                return True, False
+                return True, False, names
             suspect = suspect or any(w.lower() in APPARATUS for w in _NAME.findall(value))
         elif name in ("class", "id") and tag == "article" and any(w in ("comment", "comments", "reply") for w in value.lower().split()):
-            return True, False
+            return True, False, names
         elif (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, False
-    return False, suspect
+            return True, False, names
+    return False, suspect, names
 
 
 def parse(page: str) -> Node:
-    """The page's tree; every node's digest covers its tag, text and children."""
+    """The page's tree, every node sealed."""
     root = Node("#root", False)
     stack, at = [root], 0
 
     def close(n: int) -> None:
         while len(stack) > n:
-            node = stack.pop()
-            node.digest = xxhash.xxh3_64_intdigest("\x1f".join([node.tag, *(x.strip() if isinstance(x, str) else format(x.digest, "x") for x in node.items)]).encode("utf-8", "surrogatepass"))
+            stack.pop().seal()
 
     def open_at(tags: tuple[str, ...], stops: frozenset | tuple) -> int:
         for i in range(len(stack) - 1, 0, -1):
@@ -148,8 +186,47 @@ def articles(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(roots: list[Node], template: frozenset[int] | set[int], inside: bool) -> list[str]:
-    """Texts of the blocks under ``roots``, without apparatus and template subtrees."""
+def candidates(node: Node, within: bool) -> list[int]:
+    """The hashes by which the counts may delete an element; ``within``: inside an article."""
+    if node.tag in ("#root", "html", "body", "article", "main"):
+        return [node.shape] if node.apparatus else []
+    found = []
+    if node.items and (node.apparatus or node.suspect or node.tag in (CONTAINERS if within else BLOCKS)):
+        found.append(node.digest)
+    if node.apparatus or (not within and (node.suspect or node.tag == "header" or node.is_menu())):
+        found.append(node.shape)
+    return found
+
+
+def prune(root: Node, template: frozenset[int] | set[int], inside: bool) -> tuple[int, int]:
+    """Deletes template subtrees, then what is apparatus in any case; returns how many elements fell to each.
+
+    A header outside articles is the site's.
+    """
+    by_count = by_rule = 0
+    todo = [(root, False)]
+    while todo:
+        node, within = todo.pop()
+        kept: list[Node | str] = []
+        for x in node.items:
+            if isinstance(x, str):
+                kept.append(x)
+                continue
+            if template and any(h in template for h in candidates(x, within)):
+                by_count += 1
+            elif x.apparatus or (x.tag == "header" and not within):
+                by_rule += 1
+            else:
+                kept.append(x)
+                todo.append((x, within or (inside and x.tag in ("article", "main"))))
+                continue
+            kept.append(" ")
+        node.items = kept
+    return by_count, by_rule
+
+
+def blocks(roots: list[Node]) -> list[str]:
+    """Texts of the blocks under ``roots``."""
     out: list[str] = []
     parts: list[str] = []
 
@@ -167,10 +244,6 @@ def blocks(roots: list[Node], template: frozenset[int] | set[int], inside: bool)
             flush()
         elif isinstance(x, str):
             parts.append(x)
-        elif x.apparatus and not (x.tag == "header"):
-            parts.append(" ")
-        elif x.digest in template and (not inside or x.suspect or x.tag in CONTAINERS):
-            parts.append(" ")
         elif x.tag in ("br", "td", "th"):
             parts.append(" ")
             todo += reversed(x.items)
@@ -186,60 +259,47 @@ def blocks(roots: list[Node], template: frozenset[int] | set[int], inside: bool)
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     root = parse(page)
-    found = articles(root)
-    inside = found != [root]
-    if not inside:
-        drop_headers(root)
-    return "\n\n".join(blocks(found, template, inside))
-
-
-def drop_headers(root: Node) -> None:
-    """Outside articles a header is the site's."""
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.items = [x for x in node.items if isinstance(x, str) or x.tag != "header"]
-        todo += [x for x in node.items if isinstance(x, Node)]
+    prune(root, template, articles(root) != [root])
+    return "\n\n".join(blocks(articles(root)))
 
 
 def subtrees(page: str) -> tuple[int, set[int]]:
     """Hash of the page's content, and the hashes of the subtrees that could be template."""
     root = parse(page)
-    found = articles(root)
-    inside = found != [root]
-    content = xxhash.xxh3_64_intdigest("\n".join(blocks(found, frozenset(), inside)).encode("utf-8", "surrogatepass"))
-    out, todo = set(), [(x, False) for x in root.items if isinstance(x, Node)]
+    inside = articles(root) != [root]
+    out: set[int] = set()
+    todo = [(x, False) for x in root.items if isinstance(x, Node)]
     while todo:
         node, within = todo.pop()
-        if node.apparatus:
-            continue  # goes in any case
-        within = within or (inside and node.tag in ("article", "main"))
-        if (node.suspect or node.tag in (CONTAINERS if within else BLOCKS)) and node.tag not in ("html", "body", "article", "main") and node.items:
-            out.add(node.digest)
-        todo += [(x, within) for x in node.items if isinstance(x, Node)]
-    return content, out
+        out.update(candidates(node, within))
+        if not node.apparatus:
+            within = within or (inside and node.tag in ("article", "main"))
+            todo += [(x, within) for x in node.items if isinstance(x, Node)]
+    prune(root, frozenset(), inside)
+    return xxhash.xxh3_64_intdigest("\n".join(blocks(articles(root))).encode("utf-8", "surrogatepass")), out
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def template_subtrees(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur across the contents of a host; ``pages`` has host and html.
-
-    Copies of a page count once, so that an article met at many addresses is not taken for template.
-    """
+def hashed_pages(pages: DataFrame) -> DataFrame:
+    """(host, page, content, hashes) of every page; ``page`` is a hash of its html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html"):
-            rows = []
-            for host, page in zip(batch.column("host").to_pylist(), texts_of(batch, "html"), strict=True):
-                content, hashes = subtrees(page)
-                rows += [(host, signed(content), signed(h)) for h in hashes]
-                rows.append((host, signed(content), None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "content", "hash"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, content long, hash long").distinct()
+            found = [subtrees(page) for page in texts_of(batch, "html")]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array([signed(c) for c, _ in found], pa.int64()), pa.array([[signed(h) for h in hs] for _, hs in found], pa.list_(pa.int64()))], ["host", "page", "content", "hashes"])
+
+    return pages.select("host", "page", "html").mapInArrow(run, "host string, page long, content long, hashes array<long>")
+
+
+def template_subtrees(hashed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash) of the subtrees that recur across the contents of a host, of the result of ``hashed_pages``.
+
+    Copies of a page count once, so that an article met at many addresses is not taken for template.
+    """
+    seen = hashed.select("host", "content", F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash")).distinct()
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages))
     hosts = counts.where("hash is null").select("host", F.col("n").alias("contents"))
     return counts.where("hash is not null").join(hosts, "host").where(F.col("n") >= min_share * F.col("contents")).select("host", "hash")
@@ -251,12 +311,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Blocks are joined by an empty line, white space inside a block is one space, character references are decoded.
     A null or empty html, or one without article text, gives "" and 0.  Pages with a null url share one (unnamed)
     host.  Repeated rows stay; other columns do not matter; an empty table gives an empty result.
+
+    Every page is parsed once to hash its subtrees, which are written to the shared folder (some 8 bytes for each
+    element), and once to extract.  Beyond ``BROADCAST_TEMPLATES`` templates each page gets those that it holds by a
+    join on (host, page), salted, as many rows may hold one page.
     """
     spark = pages.sparkSession
     ship(spark)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    source = source.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
-    found = template_subtrees(source)
+    source = source.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))).withColumn("page", F.xxhash64("html"))
+    hashed = staged(hashed_pages(source), "subtrees")
+    found = staged(template_subtrees(hashed), "templates")
     rows = found.limit(BROADCAST_TEMPLATES + 1).collect()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,17 +329,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             if table is not None:
                 sets = [table.value.get(h, frozenset()) for h in batch.column("host").to_pylist()]
             else:
-                sets = [frozenset(x or ()) for x in batch.column("template").to_pylist()]
-            texts = [main_text(page, {h & ((1 << 64) - 1) for h in s}) if s else main_text(page) for page, s in zip(texts_of(batch, "html"), sets, strict=True)]
+                sets = [{h & ((1 << 64) - 1) for h in x or ()} for x in batch.column("template").to_pylist()]
+            texts = [main_text(page, s) for page, s in zip(texts_of(batch, "html"), sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     out = "page_id long, url string, text string, n_chars long"
     if len(rows) <= BROADCAST_TEMPLATES:
         by_host: dict[str, set[int]] = {}
         for r in rows:
-            by_host.setdefault(r["host"], set()).add(r["hash"])
+            by_host.setdefault(r["host"], set()).add(r["hash"] & ((1 << 64) - 1))
         table = spark.sparkContext.broadcast({h: frozenset(s) for h, s in by_host.items()})
         return source.select("page_id", "url", "host", "html").mapInArrow(run, out)
     table = None
-    lists = found.groupBy("host").agg(F.collect_set("hash").alias("template"))
-    return source.join(lists, "host", "left").select("page_id", "url", "host", "html", "template").mapInArrow(run, out)
+    held = hashed.select("host", "page", F.explode("hashes").alias("hash")).distinct().join(found, ["host", "hash"])
+    lists = held.groupBy("host", "page").agg(F.collect_set("hash").alias("template"))  # no more than a page has elements
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return salted.join(lists, ["host", "page", "salt"], "left").select("page_id", "url", "host", "html", "template").mapInArrow(run, out)

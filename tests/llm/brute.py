@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,3 +52,35 @@ def statistics(text):
     repeated = {j for i, x in enumerate(windows) if n[x] > 1 for j in (i, i + 1, i + 2)}
     lines = [x for x in (text or "").split("\n") if words(x)]
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+
+
+class _Article(HTMLParser):
+    def __init__(self, tag):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.depth, self.out = tag, 0, [""]
+
+    def handle_starttag(self, tag, attributes):
+        if tag == self.tag and (self.depth or self.tag == "article" or not attributes):
+            self.depth += 1
+        elif tag == "br":
+            self.out[-1] += " "
+        elif tag in ("p", "h1"):
+            self.out.append("")
+
+    def handle_endtag(self, tag):
+        if tag == self.tag and self.depth:
+            self.depth -= 1
+        if tag in ("p", "h1"):
+            self.out.append("")
+
+    def handle_data(self, data):
+        if self.depth:
+            self.out[-1] += data
+
+
+def article_text(page, tag="article"):
+    """The blocks of a page's articles, for pages that hold headings, paragraphs, bold text and line breaks in them only."""
+    parser = _Article(tag)
+    parser.feed(page or "")
+    parser.close()
+    return "\n\n".join(t for t in (" ".join(x.split()) for x in parser.out) if t)

@@ -42,6 +42,15 @@ def test_near_duplicates_match_all_pairs(spark, words):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_documents_of_several_texts(spark):
+    """Rows that share an id are one document, which links by each of its texts, in any order of the rows."""
+    one, other, third = (" ".join(f"{p}{i}" for i in range(60)) for p in "abc")
+    rows = [(1, one), (1, other), (2, one + " x"), (3, other + " y"), (4, third), (5, ""), (5, third + " z"), (6, None), (6, ""), (7, third + " v w"), (7, one + " v"), (9, "q")]
+    for some in (rows, rows[::-1]):
+        got = near_dedup.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(3, "text")).collect()
+        assert Counter((r["doc_id"], r["component_id"], r["kept"]) for r in got) == Counter((i, 1 if i in (1, 2, 3, 4, 5, 7) else i, i in (1, 6, 9)) for i, _ in rows)
+
+
 def test_rest_of_a_bucket_is_compared(spark):
     """A chain: neighbours link, the first member links with hardly any."""
     words = [f"x{i}" for i in range(900)]
@@ -217,6 +226,42 @@ def test_names_are_left_to_the_counts(spark):
     assert got == {i: f"Story\n\nText {i}" for i in range(len(names))} | {100 + i: f"Story {i}\n\nEnd" for i in range(9)}
 
 
+def test_pages_match_a_plain_version(spark):
+    for sf in ("sf0.001", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+        want = Counter((r["page_id"], r["url"], brute.article_text(r["html"]), len(brute.article_text(r["html"]))) for r in pages.collect())
+        assert Counter(map(tuple, html_text.extract(pages).collect())) == want
+
+
+def test_templates_do_the_work(spark):
+    """On the given pages, most elements that go were found by the counts; also with the article's tag hidden."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.xxhash64("html").alias("page"))
+    for hide in (False, True):
+        if hide:
+            pages = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+        template = defaultdict(set)
+        for r in html_text.template_subtrees(html_text.hashed_pages(pages)).collect():
+            template[r["host"]].add(r["hash"] & ((1 << 64) - 1))
+        counted = ruled = same = 0
+        rows = pages.collect()
+        for r in rows:
+            root = html_text.parse(r["html"])
+            c, k = html_text.prune(root, template[r["host"]], html_text.articles(root) != [root])
+            counted, ruled = counted + c, ruled + k
+            same += "\n\n".join(html_text.blocks(html_text.articles(root))) == brute.article_text(r["html"], "div" if hide else "article")
+        assert counted > 20 * max(1, ruled)
+        # without the tag, a paragraph that recurs on its host is template
+        assert same >= (0.9 if hide else 1) * len(rows)
+
+
+def test_menus_and_advertisements_of_a_site(spark):
+    """Apparatus whose words differ on every page is found by its shape; a host of few pages keeps what only counts could tell."""
+    page = lambda i: f"<div class='top-menu'><p>Go {i}</p></div><div><a href=/{i}>one {i}</a><a>two {i}</a><a>three</a></div><div id=story-{i}><p>Story {i}</p><p>More {i}</p></div><div class='promo-{i}'>Buy {i}</div>"
+    rows = [(i, f"https://many.example/{i}", page(i)) for i in range(9)] + [(100 + i, f"https://few.example/{i}", page(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n\nMore {i}" for i in range(9)} | {100 + i: f"Go {i}\n\none {i}two {i}three\n\nStory {i}\n\nMore {i}\n\nBuy {i}" for i in range(3)}
+
+
 def test_warc_round_trip(spark):
     long_page = "é<p>" * 60_000
     rows = [(5, "http://a", "x" * 200), (3, "http://b\r\nX: y", "x" * 200), (9, None, "x" * 200), (4, "http://c", None), (6, "http://c", ""), (7, "d", "y" * 99), (8, "d", "y" * 99), (10, "e", long_page), (2, "f", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 9), (11, "g", long_page)]
@@ -289,6 +334,6 @@ def test_strays_meet_all_blocks(spark, monkeypatch):
     sets = near_dedup.sketches(docs, 4, 24, "doc_id", "text")
     classes = sets.select("set_key", F.col("doc_id").alias("rep"), "n_shingles", "regs")
     members = classes.select(F.lit(1).alias("bucket"), "rep", F.col("rep").alias("c"))
-    links = near_dedup.rest_links(members, classes, docs, 4, 80)
+    links = near_dedup.rest_links(members, classes, docs.toDF("v", "text"), 4, 80)
     got = {r["v"]: r["c"] for r in near_dedup.components(links).collect()}
     assert {i: got.get(i, i) for i, _ in rows} == want
