@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, ship, staged
 
-#: Bytes of a segment's block at most, bytes of a transfer chunk, records of a file, and the smallest payload that a revisit may stand for.
-SEGMENT, CHUNK, FILE_RECORDS, LEAST_REVISIT = 1 << 16, 1 << 13, 2000, 100
+#: Bytes of a segment's block at most, bytes of a transfer chunk, records of a file (64 MB at most, as it is read as a
+#: whole), and the smallest payload that a revisit may stand for.
+SEGMENT, CHUNK, FILE_RECORDS, LEAST_REVISIT = 1 << 16, 1 << 13, 1000, 100
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _VERSION = b"WARC/1.1\r\n"
 RECORDS = "record_id string, kind string, page_id long, digest string, refers_to long, number int, origin string, total long, block binary"
@@ -175,11 +176,15 @@ def body_of(message: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+RESULT = "page_id long, record_type string, refers_to long, payload binary, digest string, verified boolean"
+
+
 def reassemble(records: DataFrame) -> DataFrame:
-    """(page_id, payload, digest, verified) of each response: continuations joined, framing undone.
+    """(page_id, record_type, refers_to, payload, digest, verified) of each response and revisit: continuations joined, framing undone.
 
     Segments must be numbered 1 to n without a gap and add up to the stated total, and the payload must have the
-    stated digest; else ``verified`` is false and the payload null.
+    stated digest; else ``verified`` is false and the payload null, as it is for revisits, which are verified.
+    Segments are few; they are written once, so that the archives are parsed twice in all.
     """
 
     def checked(block: bytes, digest: str) -> tuple[bytes | None, bool]:
@@ -191,20 +196,20 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "block"):
-            done = [checked(b, d) for b, d in zip(batch.column("block").to_pylist(), batch.column("digest").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array([p for p, _ in done], pa.binary()), batch.column("digest"), pa.array([ok for _, ok in done])], ["page_id", "payload", "digest", "verified"])
+            kinds, digests = batch.column("kind"), batch.column("digest")
+            done = [(None, True) if k == "revisit" else checked(b, d) for k, b, d in zip(kinds.to_pylist(), batch.column("block").to_pylist(), digests.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), kinds, batch.column("refers_to"), pa.array([p for p, _ in done], pa.binary()), digests, pa.array([ok for _, ok in done])], ["page_id", "record_type", "refers_to", "payload", "digest", "verified"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("number").sort_values("number")
         block, total = b"".join(group["block"]), group["total"].dropna()
         whole = list(group["number"]) == list(range(1, len(group) + 1)) and len(total) == 1 and int(total.iloc[0]) == len(block)
         payload, ok = checked(block, group["digest"].iloc[0]) if whole else (None, False)
-        return pd.DataFrame({"page_id": [group["page_id"].iloc[0]], "payload": [payload], "digest": [group["digest"].iloc[0]], "verified": [ok]})
+        return pd.DataFrame({"page_id": [group["page_id"].iloc[0]], "record_type": ["response"], "refers_to": [None], "payload": [payload], "digest": [group["digest"].iloc[0]], "verified": [ok]})
 
-    out = "page_id long, payload binary, digest string, verified boolean"
-    alone = records.where("kind = 'response' and number = 0").mapInArrow(single, out)
-    parts = records.where("kind in ('response', 'continuation') and number > 0").withColumn("origin", F.coalesce("origin", "record_id"))
-    return alone.unionByName(parts.groupBy("origin").applyInPandas(joined, out))
+    alone = records.where("number = 0 and kind in ('response', 'revisit')").mapInArrow(single, RESULT)
+    parts = staged(records.where("kind in ('response', 'continuation') and number > 0").withColumn("origin", F.coalesce("origin", "record_id")), "segments")
+    return alone.unionByName(parts.groupBy("origin").applyInPandas(joined, RESULT))
 
 
 def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -216,8 +221,4 @@ def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", url
     """
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     write_archives(pages, path)
-    records = read_records(pages.sparkSession, path)
-    none = F.lit(None)
-    responses = reassemble(records).select("page_id", F.lit("response").alias("record_type"), none.cast("long").alias("refers_to"), "payload", "digest", "verified")
-    revisits = records.where("kind = 'revisit'").select("page_id", F.lit("revisit").alias("record_type"), "refers_to", none.cast("binary").alias("payload"), "digest", F.lit(True).alias("verified"))
-    return responses.unionByName(revisits)
+    return reassemble(read_records(pages.sparkSession, path))
