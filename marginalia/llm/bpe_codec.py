@@ -25,13 +25,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, texts_of
+from .common import Remembered, chunks, ship, texts_of
 from .merging import MergeTable, merge_batch
 
 #: Code points of the largest leaf of a text, and symbols of the largest leaf of a pre-token.
 LEAF_CHARS, LEAF_SYMBOLS = 32_768, 48
-#: White-space chunks whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
 #: Unicode's White_Space as a character class (fixed values); str.split() would also cut at U+001C..U+001F.
 _SPACE = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _CHUNK = re.compile(f"[^{_SPACE}]+")
@@ -63,7 +61,7 @@ class WordBpe:
         self.inner, self.last = np.array([vocab[c] for c in inner]), np.array([vocab[c + end] for c in inner])
         self.names = [self.name.get(i, "") for i in range(max(self.name) + 1)]
         #: Packed ids and decoded text of white-space chunks.
-        self.ids_of: dict[str, bytes] = {}
+        self.ids_of = Remembered()
         self.text_of: dict[str, str] = {}
 
     def _merge(self, tokens: list[str]) -> list[tuple[bytes, str]]:
@@ -140,8 +138,8 @@ class WordBpe:
 
     def encode_chunks(self, lists: list[list[str]]) -> None:
         """Makes sure that every chunk of a batch is known."""
-        if len(self.ids_of) > REMEMBERED:
-            self.ids_of.clear()
+        self.ids_of.room()
+        if not self.ids_of:
             self.text_of.clear()
         new = list(set(itertools.chain.from_iterable(lists)).difference(self.ids_of))
         for i in range(0, len(new), 20_000):

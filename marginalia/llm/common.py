@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,10 +27,12 @@ BROADCAST_IDS = 2_000_000
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Where the session names none (tests, a laptop), a local temporary folder is set.
+    Where the session names none, a local master gets a temporary folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -61,6 +64,11 @@ def with_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, column, how)
 
 
+def if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df`` (of a few short columns, staged) to be broadcast if it has few rows; else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none), as an array, without Python."""
     text = F.coalesce(text, F.lit(""))
@@ -69,8 +77,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")  # a pattern of one character needs no regular expression
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches into runs of rows whose texts hold about ``max_bytes`` (one row at least)."""
+def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into runs of rows whose texts hold about ``max_bytes`` (one row at least).
+
+    Numpy work on a run takes some hundred times its bytes for a moment, so the run bounds a worker's memory.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -83,6 +94,23 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             start = end
 
 
+class Remembered(dict):
+    """A worker's memory of short keys, bounded by bytes: once full, it starts afresh when asked for ``room``."""
+
+    BYTES, ENTRY = 1 << 25, 400  # an entry's objects, about, beside eight bytes for each character of its key
+
+    held = 0
+
+    def __setitem__(self, key: str, value: object) -> None:
+        self.held += self.ENTRY + 8 * len(key)
+        super().__setitem__(key, value)
+
+    def room(self) -> None:
+        if self.held > self.BYTES:
+            self.clear()
+            self.held = 0
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
@@ -116,13 +144,13 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest table so far stays in the worker if it is modest."""
+    """base**0 .. base**(n-1) modulo 2**64; the longest table so far stays in the worker if it is modest (8 MB)."""
     known = _POWERS.get(int(base))
     if known is None or len(known) < n:
         known = np.ones(n, np.uint64)
         known[1:] = base
         known = np.cumprod(known, dtype=np.uint64)
-        if n <= 1 << 23:
+        if n <= 1 << 20:
             _POWERS[int(base)] = known
     return known[:n]
 

@@ -17,12 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, texts_of
+from .common import Remembered, chunks, ship, texts_of
 from .merging import MergeTable, merge_batch
 
 MARK = "▁"
-#: Pre-tokens whose counts a worker remembers; then it starts afresh.
-REMEMBERED = 400_000
 _PRETOKEN = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -43,7 +41,7 @@ class PieceCounter:
         left, right, rank, merged = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         self.table = MergeTable(left, right, rank, merged, model.get_piece_size())
         self.char_id = {p: i for p, i in pieces.items() if len(p) == 1}
-        self.known: dict[str, int] = {}
+        self.known = Remembered()
 
     def count_pretokens(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each distinct pre-token."""
@@ -58,8 +56,7 @@ class PieceCounter:
 
     def count(self, texts: list[str]) -> list[int]:
         bags = [Counter(_PRETOKEN.findall(MARK + t.replace(" ", MARK))) if t else Counter() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known.room()
         new = list({w for bag in bags for w in bag if w not in self.known})
         # a bounded number of characters is merged at once; a longer pre-token goes alone
         start = 0
@@ -68,7 +65,8 @@ class PieceCounter:
             while end < len(new) and (end == start or size + len(new[end]) <= 1 << 19):
                 size += len(new[end])
                 end += 1
-            self.known.update(zip(new[start:end], self.count_pretokens(new[start:end]).tolist(), strict=True))
+            for token, n in zip(new[start:end], self.count_pretokens(new[start:end]).tolist(), strict=True):
+                self.known[token] = n
             start = end
         known = self.known
         return [sum(known[w] * n for w, n in bag.items()) for bag in bags]
