@@ -7,6 +7,7 @@ bounded sample of labelled rows.  As the output is linear in the average, scorin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +19,13 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, chunks, mix, ship, texts_of
 
 BUCKETS, DIM, GRAMS = 1 << 15, 8, (3, 4)
-#: Labelled rows that training may use, at most (its only sample; scoring covers everything).
-TRAIN_ROWS = 1500
+#: Labelled rows that training may use, at most (its only sample; scoring covers everything).  A row's bag holds at most
+#: BUCKETS entries of 6 bytes, a text of 3000 characters about 10 kB.
+TRAIN_ROWS = 3000
+#: Characters of a piece of a long text, about: pieces end at white space, so that no feature is cut.
+PIECE = 1 << 18
 EPOCHS, BATCH, RATE = 12, 32, 0.4
+_GAP = re.compile("[\x20\x09-\x0D]")
 
 
 @dataclass
@@ -74,6 +79,41 @@ def feature_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (h[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.bincount(who, minlength=len(texts)).astype(np.int64)
 
 
+def pieces(texts: list[str], size: int = PIECE) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Runs of (row of each part, parts): long texts are cut at white space, and a run has at most about two pieces' size."""
+    rows: list[int] = []
+    parts: list[str] = []
+    held = 0
+    for row, text in enumerate(texts):
+        start = 0
+        while start < len(text) or (not text and start == 0):
+            gap = _GAP.search(text, start + size) if len(text) - start > size else None
+            stop = gap.end() if gap else len(text)
+            rows.append(row)
+            parts.append(text[start:stop])
+            held += stop - start
+            start = stop or 1
+            if held >= size:
+                yield np.array(rows), parts
+                rows, parts, held = [], [], 0
+    if parts:
+        yield np.array(rows), parts
+
+
+def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets and their counts of each text."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows, parts in pieces(texts):
+        ids, n = feature_buckets(parts)
+        k, c = np.unique(np.repeat(rows, n) * BUCKETS + ids, return_counts=True)
+        keys.append(k)
+        counts.append(c)
+    key, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(which, np.concatenate(counts), len(key)).astype(np.uint32)
+    at = np.searchsorted(key, np.arange(len(texts) + 1) * BUCKETS)
+    return [((key[a:b] % BUCKETS).astype(np.uint16), total[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _position(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Place of each character in its word, spread over 64 bits (0 outside words)."""
     step = np.zeros(n + 1, np.int64)
@@ -132,17 +172,15 @@ def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            ids, n = feature_buckets(texts_of(batch, "text"))
-            ends = np.cumsum(n)
-            bags = [np.unique(ids[e - k : e], return_counts=True) for e, k in zip(ends, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array([b.astype(np.uint32).tobytes() for b, _ in bags], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in bags], pa.binary())], ["_id", "label", "buckets", "counts"])
+            found = bags(texts_of(batch, "text"))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["_id", "label", "buckets", "counts"])
 
     got = chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary").toArrow()
     order = np.argsort(got.column("_id").to_numpy(), kind="stable").tolist()
     labels = got.column("label").to_numpy()[order].astype(np.int64)
     # views of the gathered buffers, row by row: the driver holds the sample once
-    bags = [tuple(np.frombuffer(got.column(c)[i].as_buffer(), np.uint32) for c in ("buckets", "counts")) for i in order]
-    return fit(bags, labels) if bags else Embeddings(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
+    kept = [tuple(np.frombuffer(got.column(c)[i].as_buffer(), kind) for c, kind in (("buckets", np.uint16), ("counts", np.uint32))) for i in order]
+    return fit(kept, labels) if kept else Embeddings(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
 
 
 def quality_scores(docs: DataFrame, model: Embeddings, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
@@ -161,9 +199,12 @@ def quality_scores(docs: DataFrame, model: Embeddings, text_col: str = "text", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logits, bias = table.value
         for batch in chunks(batches, text_col):
-            ids, n = feature_buckets(texts_of(batch, text_col))
-            sums = np.bincount(np.repeat(np.arange(batch.num_rows), n), logits[ids], batch.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(sums / np.maximum(n, 1) + bias, -30, 30)))
+            sums, size = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for rows, parts in pieces(texts_of(batch, text_col)):
+                ids, n = feature_buckets(parts)
+                sums += np.bincount(np.repeat(rows, n), logits[ids], batch.num_rows)
+                size += np.bincount(rows, n, batch.num_rows)
+            p = 1 / (1 + np.exp(-np.clip(sums / np.maximum(size, 1) + bias, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*names, score, predicted])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
