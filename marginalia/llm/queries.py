@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, gru_lm, html_text, mixing, multi_index, near_dedup, quality_classifier, quality_rules, token_counts, warc
-from .common import scratch
+from .common import if_small, scratch, staged
 
 
 def vocabulary(name: str) -> str:
@@ -36,12 +36,14 @@ def warc_rows(read: DataFrame) -> DataFrame:
     """Measures of what was read back; a record that fails verification is an error."""
     payload = F.when(F.col("verified"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("unverified record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("binary"))
     measured = read.withColumn("payload", payload).select("page_id", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha"), "record_type", "refers_to")
+    measured = staged(measured, "measured")  # what follows reads a few short columns, and the archives no more
     # a revisit's payload is that of its response
-    targets = measured.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("digest").alias("target_digest"), F.col("bytes").alias("target_bytes"), F.col("sha").alias("target_sha"))
     wanted = measured.where("refers_to is not null").select(F.col("refers_to").alias("target"), F.col("digest").alias("target_digest")).distinct()
-    targets = targets.join(wanted, ["target", "target_digest"], "left_semi").dropDuplicates(["target", "target_digest"])
-    both = measured.join(targets, (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
-    return both.select("page_id", F.coalesce("bytes", "target_bytes").alias("payload_bytes"), F.coalesce("sha", "target_sha").alias("payload_digest"), "record_type", "refers_to")
+    targets = measured.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("digest").alias("target_digest"), F.col("bytes").alias("target_bytes"), F.col("sha").alias("target_sha"))
+    targets = staged(targets.join(wanted, ["target", "target_digest"], "left_semi").dropDuplicates(["target", "target_digest"]), "targets")
+    out = lambda frame, n, sha: frame.select("page_id", F.col(n).alias("payload_bytes"), F.col(sha).alias("payload_digest"), "record_type", "refers_to")
+    revisits = measured.where("refers_to is not null").join(if_small(targets), (F.col("refers_to") == F.col("target")) & (F.col("digest") == F.col("target_digest")), "left")
+    return out(measured.where("refers_to is null"), "bytes", "sha").unionByName(out(revisits, "target_bytes", "target_sha"))
 
 
 def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
-        with p as (select page_id, encode(coalesce(html, '')) as b, sha256(coalesce(html, '')) as d from pages where page_id is not null),
+        with p as (select page_id, encode(coalesce(html, '')) as b, sha256(coalesce(html, '')) as d from pages),
         f as (select d, min(page_id) as first from p where octet_length(b) >= 100 group by d)
         select page_id, octet_length(b)::bigint as payload_bytes, p.d as payload_digest,
                case when first < page_id then 'revisit' else 'response' end as record_type,
