@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Each source's words are laid out as a stream, split over shards of bounded size, in seeded order, and cut into blocks
-of equally many words.  The total number of blocks is apportioned to the sources by highest quotients
-``target / (2 k + 1)``, each source's blocks likewise to its shards, and every shard picks its quota by seeded order:
-whole passes first, then single blocks.
+Each source's documents are dealt by a seeded hash to shards of about equally many words, laid out there in seeded order
+and cut into blocks of equally many words.  The total number of blocks is apportioned to the sources by highest quotients
+``target / (2 k + 1)``, each source's blocks likewise to groups of its shards and from there to the shards.  Every shard
+takes its quota: whole passes first, then blocks from a seeded one on, around the shard's end.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, chunks, ship, texts_of, words
+from .common import WORD, chunks, if_small, ship, staged, texts_of, words
 
 WEIGHTS = (5, 2, 1)
-#: Words of a block, documents of a shard, and the most times that a source may be repeated.
-BLOCK, SHARD_DOCS, MOST = 64, 4096, 3
+#: Words of a block; words and documents of a shard, on average at most; shards of a group; the most times that a source may be repeated.
+BLOCK, SHARD_WORDS, SHARD_DOCS, GROUP_SHARDS, MOST = 64, 1 << 16, 4096, 4096, 3
 _WORD = re.compile(WORD)
 
 
@@ -66,49 +66,55 @@ def sainte_lague(votes: Sequence[float], seats: int, limits: Sequence[int]) -> l
     return got
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = 7, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, seed: int = 7, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, passes, spans, key) of every row.
 
     ``passes`` is how often the whole text is taken, ``spans`` the word ranges [start, stop) taken once more; ``key``
     is a hash of the text.  A null or empty text has size 0 and is not taken; a null source is one source, the last.
-    Rows that repeat are separate rows; rows with a null id are, too.  An empty table gives an empty result.  One row
-    per source reaches the driver; documents never do.
+    Rows that repeat are separate rows; rows with a null id are, too.  An empty table gives an empty result.
+
+    Texts are read once; what follows works on a written table of sizes.  A row per source and per ``GROUP_SHARDS``
+    shards (some 270 million words) reaches the driver; documents never do.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     text = F.col(text_col).cast("string")
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("key"))
+    sized = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("key")), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
     order = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in order]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(order))], sum(sizes), most)
     seats = sainte_lague(targets, round(sum(targets) / block), [-(-most * s // block) for s in sizes])
-    rows = [(r["source"], i, s, t, n) for i, (r, s, t, n) in enumerate(zip(order, sizes, targets, seats, strict=True))]
-    sources = docs.sparkSession.createDataFrame(rows, "source string, no int, source_size long, target double, seats long")
-    shards = max(1, -(-sum(r["docs"] for r in totals) // shard_docs))
-
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "key", "no", "source_size", "target", "seats", F.xxhash64(F.lit(seed), "doc_id", "size", "key").alias("at"))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("at", F.lit("shard")), F.lit(shards)).cast("int"))
-    line = Window.partitionBy("no", "shard").orderBy("at", "doc_id", "size")
-    placed = placed.withColumn("pos", F.row_number().over(line)).withColumn("stop", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("size"))
-
-    def quotas(cells: pd.DataFrame) -> pd.DataFrame:
-        """One source: a row per shard."""
-        cells = cells.sort_values("shard", ignore_index=True)
-        blocks = [-(-int(s) // block) for s in cells["words"]]
-        quota = sainte_lague([float(s) for s in cells["words"]], int(cells["seats"].iloc[0]), [most * b for b in blocks])
-        return pd.DataFrame({"no": cells["no"], "shard": cells["shard"], "blocks": blocks, "passes": [q // b if b else 0 for q, b in zip(quota, blocks, strict=True)], "extra": [q % b if b else 0 for q, b in zip(quota, blocks, strict=True)]})
-
-    cells = placed.groupBy("no", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats")).groupBy("no").applyInPandas(quotas, "no int, shard int, blocks long, passes long, extra long")
-    turn = Window.partitionBy("no", "shard").orderBy(F.xxhash64(F.lit(seed), "no", "shard", "block"), "block")
-    picked = cells.where("extra > 0").select("no", "shard", "extra", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("turn", F.row_number().over(turn)).where("turn <= extra").select("no", "shard", "block")
-    touched = placed.where("size > 0").select("no", "shard", "pos", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("block"))
-    span = F.struct((F.greatest("start", F.col("block") * block) - F.col("start")).alias("start"), (F.least("stop", (F.col("block") + 1) * block) - F.col("start")).alias("stop"))
-    spans = touched.join(picked, ["no", "shard", "block"]).groupBy("no", "shard", "pos").agg(F.sort_array(F.collect_list(span)).alias("spans"))  # at most one span for each block of a text
-    return (
-        placed.join(cells.select("no", "shard", "passes"), ["no", "shard"])
-        .join(spans, ["no", "shard", "pos"], "left")
-        .select("doc_id", "size", "source_size", "target", "passes", F.coalesce("spans", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"), "key")
-    )
+    rows = [(r["source"], i, r["size"], t, max(1, -(-r["size"] // SHARD_WORDS), -(-r["docs"] // SHARD_DOCS))) for i, (r, t) in enumerate(zip(order, targets, strict=True))]
+    sources = if_small(spark.createDataFrame(rows, "source string, no int, source_size long, target double, shards long"))
+
+    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "key", "no", "source_size", "target", "shards", F.xxhash64(F.lit(seed), "doc_id", "size", "key").alias("at"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("at", F.lit("shard")), F.col("shards"))).drop("shards")
+    line = Window.partitionBy("no", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = staged(placed.withColumn("stop", F.sum("size").over(line)).withColumn("start", F.col("stop") - F.col("size")).drop("at"), "placed")
+
+    cells = placed.groupBy("no", "shard").agg(F.sum("size").alias("words")).select("no", "shard", "words", F.ceil(F.col("words") / block).alias("blocks"), F.floor(F.col("shard") / GROUP_SHARDS).alias("part"))
+    parts: dict[int, list] = {}
+    for r in cells.groupBy("no", "part").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks")).orderBy("no", "part").collect():
+        parts.setdefault(r["no"], []).append(r)
+    dealt = [(no, r["part"], n) for no, own in parts.items() for r, n in zip(own, sainte_lague([float(r["words"]) for r in own], seats[no], [most * r["blocks"] for r in own]), strict=True)]
+
+    def quotas(group: pd.DataFrame) -> pd.DataFrame:
+        """One group of shards, a row each."""
+        group = group.sort_values("shard", ignore_index=True)
+        blocks = group["blocks"].tolist()
+        quota = sainte_lague([float(s) for s in group["words"]], int(group["seats"].iloc[0]), [most * b for b in blocks])
+        return pd.DataFrame({"no": group["no"], "shard": group["shard"], "blocks": blocks, "passes": [q // b if b else 0 for q, b in zip(quota, blocks, strict=True)], "extra": [q % b if b else 0 for q, b in zip(quota, blocks, strict=True)]})
+
+    # every part has a row in the driver already: to broadcast them is no more
+    seated = cells.join(F.broadcast(spark.createDataFrame(dealt, "no int, part long, seats long")), ["no", "part"])
+    quota = staged(seated.groupBy("no", "part").applyInPandas(quotas, "no int, shard long, blocks long, passes long, extra long"), "quotas")
+    first = F.pmod(F.xxhash64(F.lit(seed), "no", "shard"), F.greatest("blocks", F.lit(1)))
+    ranges = quota.select("no", "shard", "passes", (first * block).alias("a"), ((first + F.col("extra")) * block).alias("b"), ((first + F.col("extra") - F.col("blocks")) * block).alias("c"))
+    # of a text's words, those from a to b, and those before c where the quota goes on from the shard's start
+    cut = lambda low, high: F.struct((F.greatest("start", low) - F.col("start")).alias("start"), (F.least("stop", high) - F.col("start")).alias("stop"))
+    spans = F.filter(F.array(cut(F.lit(0).cast("long"), F.col("c")), cut(F.col("a"), F.col("b"))), lambda s: s["stop"] > s["start"])
+    return placed.join(if_small(ranges), ["no", "shard"]).select("doc_id", "size", "source_size", "target", "passes", spans.alias("spans"), "key")
 
 
 def taken(plan: DataFrame) -> DataFrame:
@@ -125,10 +131,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **options).where((F.col("passes") > 0) | (F.size("spans") > 0))
     # keys without nulls: the shuffle that finds equal rows then serves the join as well, and texts move once
     named = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
-    wanted = plan.groupBy(named(F.col("doc_id")).alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("passes", "spans")).alias("_mix"))  # one entry for each equal row of a document
+    # equal rows lie side by side in their shard: few ways of being taken, however many they are
+    ways = plan.groupBy(named(F.col("doc_id")).alias("_id"), F.col("key").alias("_key"), "passes", "spans").agg(F.count(F.lit(1)).alias("n"))
+    wanted = ways.groupBy("_id", "_key").agg(F.collect_list(F.struct("passes", "spans", "n")).alias("_mix"))
     rows = docs.withColumn("_id", named(F.col(id_col))).withColumn("_key", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates(["_id", "_key"])
     both = rows.join(wanted, ["_id", "_key"]).select(*docs.columns, F.explode("_mix").alias("_mix"))
-    whole = both.where("_mix.passes > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_mix.passes")))).select(*docs.columns)
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    whole = both.where("_mix.passes > 0").withColumn("_n", times(F.col("_mix.passes") * F.col("_mix.n"))).select(*docs.columns)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +155,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    part = both.where(F.size("_mix.spans") > 0).select(*names, F.col("_mix.spans").alias("_spans")).mapInArrow(cut, docs.schema)
+    part = both.where(F.size("_mix.spans") > 0).select(*names, F.col("_mix.spans").alias("_spans"), times(F.col("_mix.n"))).drop("col").mapInArrow(cut, docs.schema)
     return whole.unionByName(part)
