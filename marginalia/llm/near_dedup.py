@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, ship, staged, texts_of, with_ids, word_hashes
+from .common import chunks, if_small, mix, ship, staged, texts_of, with_ids, word_hashes
 
-#: Registers, and registers of a band: a pair at 0.8 escapes all bands with probability (1 - 0.8**6)**48 = 5e-7, one at
-#: 0.2 (texts that share a passage) meets in a band with 0.3 %.
-REGISTERS, ROWS = 288, 6
+#: Registers, and registers of a band: a pair at 0.8 escapes all bands with probability (1 - 0.8**5)**57 = 2e-10, one at
+#: 0.2 (texts that share a passage) meets in a band with 2 %.
+REGISTERS, ROWS = 285, 5
 #: Ratio of neighbouring levels, number of levels and rate of the sketch.
 BASE, LEVELS, RATE = 1.001, (1 << 16) - 2, 20.0
-#: Members of a block when the rest of a bucket is compared, and of a bucket whose few pairs are listed instead.
-BLOCK, SMALL = 64, 16
+#: Members, and bytes of their texts, of a block when the rest of a bucket is compared; and members of a bucket whose few
+#: pairs are listed instead.
+BLOCK, BLOCK_BYTES, SMALL = 512, 1 << 23, 16
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +86,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
 
 
 def sketches(docs: DataFrame, words: int, registers: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, set_key, regs): set_key is equal for equal sets; both are null for empty sets."""
+    """(doc_id, text_key, n_shingles, set_key, regs): set_key is equal for equal sets; it and regs are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -94,10 +95,10 @@ def sketches(docs: DataFrame, words: int, registers: int, id_col: str, text_col:
             ends = np.cumsum(n)
             keys = [hashlib.blake2b(values[e - k : e].tobytes(), digest_size=16).digest() if k else None for e, k in zip(ends, n, strict=True)]
             packed = [next(regs).tobytes() if k else None for k in n]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "n_shingles", "set_key", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "text_key", "n_shingles", "set_key", "regs"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, regs binary")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, regs binary")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -168,27 +169,37 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, registers: int = REGISTERS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
-    Texts link if they share at least ``percent`` % of the union of their sets of word shingles; words are split at
-    ASCII white space after lower-casing A-Z.  A text with fewer words than a shingle is one shingle, a text without
-    words (null, empty) none: it links with nothing.  Rows that share a doc_id count as one document.  A row with a
-    null id links with nothing and is kept (its component_id is null).  An empty table gives an empty result; columns
-    other than the two named do not matter.
+    Texts link if they share at least ``percent`` % of the union of their sets of word shingles (as 64-bit hashes); words
+    are split at ASCII white space after lower-casing A-Z.  A text with fewer words than a shingle is one shingle, a text
+    without words (null, empty) none: it links with nothing.  Rows that share a doc_id are one document: it links by
+    each of its texts.  A row with a null id links with nothing and is kept (its component_id is null).  An empty table
+    gives an empty result; columns other than the two named do not matter.
     """
     spark = docs.sparkSession
     ship(spark)
     least = percent / 100
     sets = staged(sketches(docs, words, registers, id_col, text_col), "sketches")
     known = sets.where("set_key is not null and doc_id is not null")
-    classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")), "classes")
+    # a class of equal sets, with a number of its own (fixed once written) and its first text
+    first = F.min(F.struct("doc_id", "text_key"))
+    classes = known.groupBy("set_key").agg(first.alias("f"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("rep"), F.col("f.doc_id").alias("first_id"), F.col("f.text_key").alias("text_key"), "set_key", "n_shingles", "regs"), "classes")
+    placed = sets.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key", "left")
+    placed = staged(placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "placed")
     # a bucket's name: the band's number and its registers
     names = F.array(*[F.xxhash64(F.lit(i), F.substring(F.col("regs"), 2 * rows * i + 1, 2 * rows)) for i in range(registers // rows)])
     members = staged(classes.select("rep", F.explode(names).alias("bucket")), "buckets")
-    heads = members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
+    # written, so that the join may split a bucket with many members
+    heads = staged(members.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a"), "heads")
     full = staged(members.join(heads, "bucket"), "shared")  # members of buckets with others
     stars = full.where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    own = docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).cast("string").alias("text"))
-    texts = staged(with_ids(own, full.select(F.col("rep").alias("v")).distinct(), "v", "left_semi").join(classes.select(F.col("rep").alias("v")).distinct(), "v", "left_semi").dropDuplicates(["v"]), "texts")
-    links = staged(confirmed(estimated(stars, classes, least), texts, words, percent), "links")
+    wanted = staged(classes.join(full.select("rep").distinct(), "rep", "left_semi").select(F.col("first_id").alias("v"), "text_key", "rep"), "wanted")
+    own = docs.select(F.col(id_col).cast("long").alias("v"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    texts = staged(own.join(if_small(wanted), ["v", "text_key"]).dropDuplicates(["v", "text_key"]).select(F.col("rep").alias("v"), "text"), "texts")
+    # documents of several texts tie these together
+    several = placed.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
+    tied = placed.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a != b").distinct()
+    links = staged(confirmed(estimated(stars, classes, least), texts, words, percent).unionByName(tied), "links")
     found = components(links)
     label = lambda frame, c: frame.join(c.toDF("rep", "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     apart = label(full, found)
@@ -199,10 +210,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, register
     two = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["c"] != x["c"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
     pairs = few.select(F.explode(two).alias("p")).select("p.a", "p.b").distinct()
     rest = staged(confirmed(estimated(pairs, classes, least), texts, words, percent).unionByName(rest_links(left.where(F.col("n") > SMALL).drop("n"), classes, texts, words, percent)), "rest")
-    found = components(links.unionByName(rest))
-    answer = sets.join(classes.select("set_key", "rep"), "set_key", "left").join(found.toDF("rep", "c"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id"))
-    return answer.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labelled = staged(label(classes.select("rep", "first_id"), components(links.unionByName(rest))), "labelled")
+    smallest = staged(labelled.groupBy("c").agg(F.min("first_id").alias("component_id")), "smallest")
+    # a row without words belongs where its document's other texts do
+    bare = placed.where("doc_id is not null and rep is null").select("doc_id").distinct()
+    twins = staged(with_ids(placed.where("rep is not null"), bare, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("twin")), "twins")
+    whole = placed.join(if_small(twins), "doc_id", "left").withColumn("rep", F.coalesce("rep", "twin"))
+    answer = whole.join(labelled.join(smallest, "c").select("rep", "component_id"), "rep", "left")
+    answer = answer.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return answer.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -210,15 +226,18 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
 
     ``members``: (bucket, rep, c).  A bucket's largest component names it; all buckets of that name are taken
     together, so that a pair is compared once however many buckets it shares.  The component's members and the others,
-    the strays, are cut into blocks of about ``BLOCK``; each block of strays meets each block in a group of its own,
-    which emits a link only where it joins two components.
+    the strays, are cut into blocks of about ``BLOCK`` members and ``BLOCK_BYTES``; each block of strays meets each block
+    in a group of its own, which emits a link only where it joins two components.  A text is thus copied once for each
+    block that it meets, a 512th of the members; registers rule out most pairs before any set is compared.
     """
     least = percent / 100
     named = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    gathered = staged(members.join(named, "bucket").select("main", "rep", "c").distinct().withColumn("stray", F.col("c") != F.col("main")), "gathered")
-    sizes = gathered.groupBy("main").agg(F.ceil(F.count_if("stray") / BLOCK).cast("int").alias("strays"), F.ceil(F.count_if(~F.col("stray")) / BLOCK).cast("int").alias("mains"))
+    gathered = members.join(if_small(staged(named, "named")), "bucket").select("main", "rep", "c").distinct().withColumn("stray", F.col("c") != F.col("main"))
+    gathered = staged(gathered.join(texts.select(F.col("v").alias("rep"), F.octet_length("text").alias("bytes")), "rep"), "gathered")
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("bytes"))) / BLOCK_BYTES)).cast("int")
+    sizes = gathered.groupBy("main").agg(blocks(F.col("stray")).alias("strays"), blocks(~F.col("stray")).alias("mains"))
     strays, mains = F.col("strays"), F.col("mains")
-    placed = gathered.join(sizes, "main").withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), strays).otherwise(mains)).cast("int"))
+    placed = gathered.join(if_small(staged(sizes, "sizes")), "main").withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), strays).otherwise(mains)).cast("int"))
     group = lambda kind, s, o: F.struct(s.cast("int").alias("s"), F.lit(kind).alias("kind"), o.cast("int").alias("o"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     mine = F.col("mine")

@@ -142,16 +142,18 @@ def test_highest_quotients():
     assert mixing.capped_targets([10, 100, 1000], [5, 2, 1], 1110) == [30.0, 300.0, 780.0]
 
 
-def test_multi_index_recall(spark):
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_multi_index_recall(spark, table):
+    """The dealt queries against brute force; the share visited falls as the table grows."""
+    vectors = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
     data = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors.collect()}
     ids = np.array(sorted(data))
     x = np.stack([data[i] for i in ids])
     found = defaultdict(dict)
-    for r in multi_index.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0")).collect():
+    for r in multi_index.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0")).collect():
         found[r["query_id"]][r["vec_id"]] = r["score"]
     hits = total = 0
-    for q in ids[ids % 20 == 0]:
+    for q in ids[ids % 100 == 0]:
         d = np.sqrt(((x - data[q]) ** 2).sum(1))
         best = [int(ids[i]) for i in np.lexsort((ids, d)) if ids[i] != q][:10]
         assert len(found[q]) == 10
@@ -162,6 +164,26 @@ def test_multi_index_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_multi_index_grows_with_the_table():
+    sizes = [300, 2000, 10_000, 50_000, 10**6, 10**9]
+    assert [multi_index.centroids_for(n) for n in sizes] == [32, 64, 128, 256, 1024, 1024]
+    shares = [multi_index.share_for(n) for n in sizes]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.06
+
+
+def test_multi_index_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i % 40, rng.normal(size=6).tolist()) for i in range(200)]
+    got = defaultdict(list)
+    for r in multi_index.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id in (0, 7)"), visit=1.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (0, 7):
+        own = np.array(min(v for i, v in rows if i == q))
+        near = {i: min(float(np.linalg.norm(np.array(v) - own)) for j, v in rows if j == i) for i in range(40) if i != q}
+        assert [i for i, _ in got[q]] == sorted(near, key=near.get)[:10]
+        assert [s for _, s in got[q]] == pytest.approx(sorted(near.values())[:10])
+
+
 def test_multi_index_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 0.0]), (None, [1.0, 1.0]), (8, [0.5, 0.1]), (8, [0.5, 0.1]), (9, [1.0]), (100, [-0.0, 2.0])]
