@@ -48,7 +48,6 @@ class MergeTable:
             todo = todo[self.slots[at] != todo]
             step += 1
         self.probes = max(1, step)
-        self.pairs: dict[int, tuple[int, int]] | None = None
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -68,23 +67,28 @@ class MergeTable:
         return found
 
 
-def merge_batch(table: MergeTable, flat: np.ndarray, lengths: np.ndarray, longest: int = 256) -> tuple[np.ndarray, np.ndarray]:
+#: Symbols above which a sequence's places are held by rank, since a round over all of it would cost its length.
+LONG = 256
+
+
+def merge_batch(table: MergeTable, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges every sequence to its end; returns the surviving symbols and their number per sequence.
 
-    Symbols below zero never merge.  Sequences of more than ``longest`` symbols are merged one by one with a
-    heap, since a round over them would cost their length for each merge.
+    Symbols below zero never merge.  In each round every sequence applies its own pair of lowest rank, at all its places
+    at once where that gives the same as one after the other.  Sequences up to ``LONG`` symbols go side by side in one
+    array; longer ones each keep lists of places (``merge_ranks``): the same rounds, in another layout.
     """
     lengths = lengths.astype(np.int64)
-    long = np.flatnonzero(lengths > longest)
+    long = np.flatnonzero(lengths > LONG)
     if len(long):
         bounds = np.concatenate(([0], np.cumsum(lengths)))
         short = np.ones(len(lengths), bool)
         short[long] = False
         keep = np.repeat(short, lengths)
-        part, size = merge_batch(table, flat[keep], lengths[short], longest)
+        part, size = merge_batch(table, flat[keep], lengths[short])
         out_len = np.zeros(len(lengths), np.int64)
         out_len[short] = size
-        done = {i: merge_one(table, flat[bounds[i] : bounds[i + 1]]) for i in long}
+        done = {i: merge_ranks(table, flat[bounds[i] : bounds[i + 1]]) for i in long}
         for i, x in done.items():
             out_len[i] = len(x)
         out = np.empty(out_len.sum(), np.int64)
@@ -146,27 +150,63 @@ def merge_batch(table: MergeTable, flat: np.ndarray, lengths: np.ndarray, longes
     return out[order], np.bincount(own, minlength=len(lengths)).astype(np.int64)
 
 
-def merge_one(table: MergeTable, symbols: np.ndarray) -> np.ndarray:
-    """One long sequence: a heap of (rank, position) over a doubly linked list."""
+def merge_ranks(table: MergeTable, symbols: np.ndarray) -> np.ndarray:
+    """One long sequence, rank by rank: the places of each rank are held in lists, so that a round costs what it merges.
+
+    A round takes all places of the lowest rank from left to right.  Where a merge makes a pair of the same or a lower
+    rank, the round ends with it, and that pair comes next.
+    """
     n = len(symbols)
-    sym, nxt, prv, live = symbols.astype(np.int64).tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    found = table.find(symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64)) if n > 1 else np.zeros(0, np.int64)
-    if table.pairs is None:
-        table.pairs = {k: (r, m) for k, r, m in zip(table.key.tolist(), table.rank.tolist(), table.merged.tolist(), strict=True)}
-    pairs, width = table.pairs, table.n
-    heap = [(int(table.rank[f]), i, sym[i], sym[i + 1], int(table.merged[f])) for i, f in enumerate(found.tolist()) if f >= 0]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b, merged = heapq.heappop(heap)
-        j = nxt[i] if live[i] else n
-        if j >= n or sym[i] != a or sym[j] != b:
+    sym = np.append(symbols.astype(np.int64), -1)  # a symbol beyond the end, which merges with nothing
+    nxt, prv, live = np.arange(1, n + 2), np.arange(-1, n), np.ones(n + 1, bool)
+    nxt[n] = n
+    pair = np.full(n + 1, -1, np.int64)
+    places: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def add(rank: int, at: np.ndarray) -> None:
+        if rank not in places:
+            places[rank] = []
+            heapq.heappush(ranks, rank)
+        places[rank].append(at)
+
+    def enter(at: np.ndarray) -> None:
+        """Looks up the pairs that begin at these places."""
+        pair[at] = table.find(sym[at], sym[nxt[at]])
+        at = at[pair[at] >= 0]
+        rank = table.rank[pair[at]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if len(at) else []
+        for part in np.split(at, first[1:]) if len(at) else ():
+            add(int(table.rank[pair[part[0]]]), part)
+
+    enter(np.arange(n))
+    while ranks:
+        rank = heapq.heappop(ranks)
+        at = np.unique(np.concatenate(places.pop(rank)))
+        at = at[live[at] & (pair[at] >= 0)]
+        at = at[table.rank[pair[at]] == rank]
+        if not len(at):
             continue
-        sym[i], live[j], nxt[i] = merged, False, nxt[j]
-        if nxt[j] < n:
-            prv[nxt[j]] = i
-            if merged >= 0 and sym[nxt[j]] >= 0 and (x := pairs.get(merged * width + sym[nxt[j]])):
-                heapq.heappush(heap, (x[0], i, merged, sym[nxt[j]], x[1]))
-        p = prv[i]
-        if p >= 0 and sym[p] >= 0 and (x := pairs.get(sym[p] * width + merged)):
-            heapq.heappush(heap, (x[0], p, sym[p], merged, x[1]))
-    return np.array([s for s, ok in zip(sym, live, strict=True) if ok], np.int64)
+        # of places that touch, every second one from the first of them
+        apart = np.concatenate(([True], nxt[at[:-1]] != at[1:]))
+        start = np.maximum.accumulate(np.where(apart, np.arange(len(at)), 0))
+        take = at[(np.arange(len(at)) - start) % 2 == 0]
+        made, right = table.merged[pair[take]], nxt[nxt[take]]
+        left = np.where(prv[take] >= 0, sym[prv[take]], -1)
+        beside = np.flatnonzero(right[:-1] == take[1:]) + 1  # what is on their left will have merged before
+        left[beside] = made[beside - 1]
+        low = np.zeros(len(take), bool)
+        for f in (table.find(left, made), table.find(made, sym[right])):
+            low |= (f >= 0) & (table.rank[np.maximum(f, 0)] <= rank)
+        if low.any():
+            stop = int(np.argmax(low)) + 1
+            add(rank, at[at > take[stop - 1]])
+            take, made, right = take[:stop], made[:stop], right[:stop]
+        gone = nxt[take]
+        live[gone] = False
+        sym[take], nxt[take], prv[right] = made, right, take
+        before = prv[take]
+        enter(np.unique(np.concatenate((take, before[before >= 0]))))
+    return sym[:n][live[:n]]

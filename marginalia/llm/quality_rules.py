@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_IDS, WORD, words
 
 BITS = 14
-#: Added to each bucket's count in both multinomials.
-SMOOTHING = 1.0
+#: Added to each bucket's count in both multinomials.  A count of mean m lowers the mean of its logarithm by m / (2 (m + a)**2)
+#: at most, 1 / (8 a) in the worst case: with a = 16 less than a sixth of the threshold, in a corpus of any size.
+SMOOTHING = 16.0
 #: Mean log ratio per n-gram below which a text is rejected.
 THRESHOLD = -0.05
 SYMBOLS = "#*$%&|<>"
@@ -66,9 +67,8 @@ def text_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def bucket_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """Log of target probability over raw probability, for each of the 2**bits buckets.
 
-    Equal pseudo-counts, with the raw counts brought to the target's size, leave buckets without evidence neutral; and
-    the variance of the estimate, one over the expected count, is added: a text is rejected on evidence, not for want
-    of it, in a corpus of any size.  ``trusted`` holds the ids of the target texts; without any, every ratio is 0.
+    Equal pseudo-counts, with the raw counts brought to the target's size, leave buckets without evidence neutral: a text
+    is rejected on evidence, not for want of it.  ``trusted`` holds the ids of the target texts; without any, every ratio is 0.
     Spark counts; only the 2**bits sums reach the driver.
     """
     marks = trusted.select(F.col(id_col).cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("_t", F.lit(1))
@@ -85,7 +85,7 @@ def bucket_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, smoothi
     if targets:
         for r in rows:
             expected = r["raw"] * targets / raws + smoothing
-            ratios[r["bucket"]] = math.log((r["target"] + smoothing) / expected) + 1 / expected
+            ratios[r["bucket"]] = math.log((r["target"] + smoothing) / expected)
     return ratios
 
 
