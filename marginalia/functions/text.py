@@ -136,36 +136,62 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
     return found
 
 
+def inverted_index(words: Column) -> Column:
+    """word -> positions of an array of words: sorted once by (word, position), then cut into the runs of equal words."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def cut(all_: Column) -> Column:
+        starts = F.filter(F.transform(all_, lambda x, k: F.when((k == 0) | (F.get(all_, k - 1)["w"] != x["w"]), k)), lambda k: k.isNotNull())
+        return F.transform(F.array(starts), lambda s: runs(all_, s))[0]
+
+    def runs(all_: Column, starts: Column) -> Column:
+        stops = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(all_)))
+        run = lambda a, b: F.struct(F.get(all_, a)["w"].alias("key"), F.transform(F.slice(all_, a + 1, b - a), lambda x: x["i"]).alias("value"))
+        return F.map_from_entries(F.zip_with(starts, stops, run))
+
+    # a lambda over one element names an array, so that it is computed once
+    return F.when(F.size(words) > 0, F.transform(F.array(placed), cut)[0])
+
+
 def inverted_index_text(index: Column) -> Column:
     """The text of a word -> positions map; null if there is no position. Ties go by the word."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
     return F.when(F.size(pairs) > 0, F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "))
 
 
+def _candidates(c: Column) -> tuple[Column, Column]:
+    """What stands in the first fenced block, and from the first to the last brace; null where there is none."""
+    fenced = blank_to_null(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1))
+    return strip(fenced), blank_to_null(F.regexp_extract(c, r"(?s)\{.*\}", 0))
+
+
+def one_json(t: Column) -> Column:
+    """The text if it is one JSON value and nothing else, else null.
+
+    The parser stops after the first value.  So the text is parsed as the element of an array and as the member of an
+    object: what follows the value can't close both.
+    """
+    inside = lambda before, after: F.try_parse_json(F.concat(F.lit(before), t, F.lit(after))).isNotNull()
+    return F.when(inside("[", "]") & inside('{"v":', "}"), blank_to_null(t))
+
+
 def json_object(c: Column) -> Column:
     """The JSON object in a model's answer: all of it, a fenced block, or from the first to the last brace.
 
     The text must be one object and nothing else: two objects with words between are none.
     """
-    def strict(t: Column) -> Column:
-        t = strip(t)
-        # a variant of the whole text, printed again, shows whether the parser stopped early
-        whole = F.when(t.startswith("{") & t.endswith("}") & (depth_once(t)), t)
-        return F.when(F.try_parse_json(whole).isNotNull(), whole)
+    strict = lambda t: one_json(F.when(t.startswith("{") & t.endswith("}"), t))
+    return F.coalesce(*map(strict, (strip(c), *_candidates(c))))
 
-    fenced = blank_to_null(F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1))
-    braces = blank_to_null(F.regexp_extract(c, r"(?s)\{.*\}", 0))
-    return F.coalesce(strict(c), strict(fenced), strict(braces))
-
-
-def depth_once(t: Column) -> Column:
-    """Whether the outermost brace closes at the end only, strings left out of account."""
-    bare = F.regexp_replace(t, r'"(?:[^"\\]|\\.)*"', "")
-    marks = F.regexp_replace(bare, r"[^{}]", "")
-    steps = F.split(marks, "")
-    depth = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("d"), F.lit(0).alias("zeros")),
-        lambda a, x: F.struct((a["d"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)).alias("d"), (a["zeros"] + F.when((x == "}") & (a["d"] == 1), 1).otherwise(0)).alias("zeros")),
-    )
-    return (depth["d"] == 0) & (depth["zeros"] == 1)
+
+def extract_json(c: Column) -> Column:
+    """The JSON text in an answer: any value in a fenced block, else from the first to the last brace; else the answer as it is."""
+    return F.coalesce(*map(one_json, _candidates(c)), c)
+
+
+def plain_citation(r: Column) -> Column:
+    """A reference (struct) as plain text; its raw citation if no part of it is known."""
+    text = lambda name: blank_to_null(r[name])
+    named = F.when(F.size(r["authors"]) > 0, name_list(r["authors"], 3, 2))
+    parts = [named, text("article_title"), text("source"), F.concat(F.lit("("), text("year"), F.lit(")")), volume_part(r["volume"], r["issue"], r["first_page"], r["last_page"]), F.concat(F.lit("doi:"), text("doi"))]
+    return F.coalesce(blank_to_null(F.concat_ws(". ", *parts)), r["citation"])

@@ -48,5 +48,24 @@ def resolve(papers: DataFrame) -> DataFrame:
     return papers.withColumn("resolved", found)
 
 
+def cache_rows(papers: DataFrame, seq: str = "seq") -> DataFrame:
+    """(identifier, kind, html, pdf, seq) to write to the cache, of (identifier, html, pdf, seq): what is no PDF is left out."""
+    none = F.lit(None)
+    html = papers.where("html is not null").select("identifier", F.lit("html").alias("kind"), "html", none.cast("binary").alias("pdf"), seq)
+    return html.unionByName(papers.where(is_pdf(F.col("pdf"))).select("identifier", F.lit("pdf").alias("kind"), none.cast("string").alias("html"), "pdf", seq))
+
+
+def cache_after(cache: DataFrame, written: DataFrame, seq: str = "seq") -> DataFrame:
+    """The cache after rows were written to it: the last of each (identifier, kind) stays; ``seq`` orders both sides."""
+    columns = [c for c in cache.columns if c not in ("identifier", "kind")]
+    last = cache.unionByName(written).groupBy("identifier", "kind").agg(F.max_by(F.struct(*columns), seq).alias("_r"))
+    return last.select("identifier", "kind", *[F.col("_r")[c].alias(c) for c in columns])
+
+
+def cache_without(cache: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
+    """The cache without some identifiers (HTML and PDF), or cleared."""
+    return cache.limit(0) if identifiers is None else cache.join(identifiers.select("identifier").distinct(), "identifier", "left_anti")
+
+
 def is_pdf(data: Column) -> Column:
     return F.substring(data, 1, 4) == F.unhex(F.lit("25504446"))

@@ -6,24 +6,27 @@ The document is walked as a tree: each rule below asks for a path, so that no st
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html import escape
+from collections.abc import Callable, Iterator
+from html import escape  # of table cells; all else is escaped by expressions
 from xml.etree import ElementTree
 from xml.etree.ElementTree import Element
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as T
+
 SCHEMA = """id long, title string, authors array<string>, journal string, volume string, issue string, pages string, year string, doi string, pmc_id string, pmid string,
     abstract_sections array<struct<title:string,content:string>>,
     body_sections array<struct<path:array<int>,depth:int,title:string,paragraphs:array<string>>>,
     figures array<struct<id:string,label:string,caption:string,graphic_url:string>>,
     tables array<struct<id:string,label:string,caption:string,html_content:string>>,
     references array<struct<id:string,label:string,citation:string,authors:array<string>,article_title:string,source:string,year:string,volume:string,issue:string,first_page:string,last_page:string,doi:string,pmid:string>>,
-    html string, error string"""
+    error string"""
+#: Characters of the documents that are parsed and handed on together.
+RUN_CHARS = 1 << 21
 HREF = "{http://www.w3.org/1999/xlink}href"
-IMAGES = (".gif", ".jpg", ".jpeg", ".png", ".svg")
 LINKED = {"fig": "Figure", "figure": "Figure", "table": "Table", "table-wrap": "Table"}
 
 
@@ -158,7 +161,7 @@ def parse(i: int, xml: str | bytes | None, known_pmc: str = "") -> dict:
     for p in parents:
         shift = 1 + max((s["path"][0] for s in body), default=-1)
         body += [s | {"path": [s["path"][0] + shift, *s["path"][1:]]} for s in sections(p)]
-    out = {
+    return {
         "id": i, "title": line(meta.find("title-group/article-title") if meta is not None else None), "authors": [n for c in front.iter("contrib") if c.get("contrib-type") == "author" and (n := person(c.find("name") if c.find("name") is not None else c))],
         "journal": found(front, ".//journal-title"), "volume": found(meta, "volume"), "issue": found(meta, "issue"), "pages": f"{first}-{last}" if first and last else first, "year": found(meta, ".//year"), "doi": ids["doi"], "pmc_id": ids["pmc"], "pmid": ids["pmid"],
         "abstract_sections": abstract_sections(front), "body_sections": body,
@@ -166,75 +169,99 @@ def parse(i: int, xml: str | bytes | None, known_pmc: str = "") -> dict:
         "tables": [{"id": t.get("id", ""), "label": found(t, "label"), "caption": "".join(line(p) for p in t.iterfind("caption/p")), "html_content": table_html(t)} for t in root.iter("table-wrap")],
         "references": [reference(r) for r in root.iter("ref")], "error": None,
     }
-    return out | {"html": render(out)}
 
 
-def linked(text: str) -> str:
-    return re.sub(r"\[([^\]]+)\]\(([^)]+)\)", r'<a href="\2">\1</a>', escape(text))
+def element(tag: str, *content: Column, attributes: str = "") -> Column:
+    """An element around texts that are HTML already; null if one of them is."""
+    return F.concat(F.lit(f"<{tag}{attributes}>"), *content, F.lit(f"</{tag}>"))
+
+
+def some(c: Column, f: Callable[[Column], Column] = T.html_escape) -> Column:
+    """``f`` of a text that is not empty; else null."""
+    return F.when(c != "", f(c))
 
 
-def joined_reference(r: dict) -> str:
+def lines(*parts: Column, between: str = "\n") -> Column:
+    """Parts that are not null, one below the other."""
+    return F.concat_ws(between, *parts)
+
+
+def reference_html(r: Column) -> Column:
     """A reference as HTML; its raw citation if no part of it is known."""
-    names = r["authors"] if len(r["authors"]) <= 3 else [*r["authors"][:2], "et al."]
-    pages = r["first_page"] + (f"-{r['last_page']}" if r["first_page"] and r["last_page"] else "")
-    volume = r["volume"] + (f"({r['issue']})" if r["volume"] and r["issue"] else "")
-    doi = escape(r["doi"])
-    parts = [
-        escape(", ".join(names)), escape(r["article_title"]), f"<em>{escape(r['source'])}</em>" if r["source"] else "", f"({escape(r['year'])})" if r["year"] else "",
-        escape(":".join(filter(None, (volume, pages)))), f'<a href="https://doi.org/{doi}">doi:{doi}</a>' if doi else "",
-    ]
-    return ". ".join(filter(None, parts)) or escape(r["citation"])
-
-
-def image_url(path: str, pmc: str) -> str:
-    if path.startswith(("http://", "https://")) or not pmc:
-        return path
-    return f"https://europepmc.org/articles/{pmc if pmc.startswith('PMC') else 'PMC' + pmc}/bin/{path}" + ("" if path.lower().endswith(IMAGES) else ".jpg")
-
-
-def render(a: dict) -> str:
-    """The article as an HTML fragment."""
-    e = {k: escape(v) for k, v in a.items() if isinstance(v, str)}
-    out = [f"<h1>{e['title']}</h1>"] if a["title"] else []
-    if a["authors"]:
-        shown = ", ".join(a["authors"][:5]) + (" et al." if len(a["authors"]) > 5 else "")
-        out.append(f'<p class="authors"><strong>Authors:</strong> {escape(shown)}</p>')
-    numbers = a["volume"] + (f"({a['issue']})" if a["issue"] else "") + (f": {a['pages']}" if a["pages"] else "")
-    info = " ".join(filter(None, (f"<em>{e['journal']}</em>" if a["journal"] else "", escape(numbers), f"({e['year']})" if a["year"] else "")))
-    ids = " | ".join(
-        f'{name}: <a href="{base}{number}{tail}">{shown}</a>'
-        for name, base, number, tail, shown in (("DOI", "https://doi.org/", e["doi"], "", e["doi"]), ("PMC", "https://europepmc.org/article/PMC/", e["pmc_id"].removeprefix("PMC"), "", e["pmc_id"]), ("PMID", "https://pubmed.ncbi.nlm.nih.gov/", e["pmid"], "/", e["pmid"]))
-        if shown
+    link = lambda doi: F.concat(F.lit('<a href="https://doi.org/'), T.html_escape(doi), F.lit('">doi:'), T.html_escape(doi), F.lit("</a>"))
+    names = some(T.name_list(r["authors"], 3, 2))
+    year = some(r["year"], lambda y: F.concat(F.lit("("), T.html_escape(y), F.lit(")")))
+    numbers = T.html_escape(T.volume_part(r["volume"], r["issue"], r["first_page"], r["last_page"]))
+    whole = lines(names, some(r["article_title"]), element("em", some(r["source"])), year, numbers, some(r["doi"], link), between=". ")
+    return F.when(whole != "", whole).otherwise(T.html_escape(r["citation"]))
+
+
+def figure_html(f: Column, place: Column, pmc: Column) -> Column:
+    number = (place + 1).cast("string")
+    name = T.html_escape(F.coalesce(T.blank_to_null(f["label"]), F.concat(F.lit("Figure "), number)))
+    image = some(f["graphic_url"], lambda path: F.concat(F.lit('  <img src="'), T.html_escape(T.figure_url(path, pmc)), F.lit('" alt="'), name, F.lit('" loading="lazy">')))
+    caption = lines(F.lit("  <figcaption>"), F.concat(F.lit("    "), element("strong", name)), F.concat(F.lit("    "), element("p", some(f["caption"]))), F.lit("  </figcaption>"))
+    return lines(F.concat(F.lit('<figure id="'), T.html_escape(F.coalesce(T.blank_to_null(f["id"]), F.concat(F.lit("fig"), number))), F.lit('">')), image, caption, F.lit("</figure>"))
+
+
+def table_block(t: Column, place: Column) -> Column:
+    number = (place + 1).cast("string")
+    head = F.concat(F.lit('<div class="table-container" id="'), T.html_escape(F.coalesce(T.blank_to_null(t["id"]), F.concat(F.lit("table"), number))), F.lit('">'))
+    name = element("h3", T.html_escape(F.coalesce(T.blank_to_null(t["label"]), F.concat(F.lit("Table "), number))))
+    return lines(head, F.concat(F.lit("  "), name), F.concat(F.lit("  "), element("p", some(t["caption"]), attributes=' class="table-caption"')), T.blank_to_null(t["html_content"]), F.lit("</div>"))
+
+
+def titled(heading: str, items: Column) -> Column:
+    """A part of the page with its heading; null if it has no items."""
+    return F.when(F.size(items) > 0, lines(F.lit(f"<h2>{heading}</h2>"), items))
+
+
+def html(c: Callable[[str], Column] = F.col) -> Column:
+    """The article as an HTML fragment, of the columns of a parsed record."""
+    authors = c("authors")
+    shown = F.concat(F.array_join(F.slice(authors, 1, 5), ", "), F.when(F.size(authors) > 5, " et al.").otherwise(""))
+    pages = some(c("pages"), lambda p: F.concat(F.lit(": "), p))
+    numbers = F.concat(c("volume"), F.coalesce(some(c("issue"), lambda i: F.concat(F.lit("("), i, F.lit(")"))), F.lit("")), F.coalesce(pages, F.lit("")))
+    info = lines(element("em", some(c("journal"))), some(numbers), some(c("year"), lambda y: F.concat(F.lit("("), T.html_escape(y), F.lit(")"))), between=" ")
+    # name, address before and after the number, and the number in the address
+    kinds = (("DOI", "https://doi.org/", "", c("doi"), c("doi")), ("PMC", "https://europepmc.org/article/PMC/", "", c("pmc_id"), F.regexp_replace(c("pmc_id"), "^PMC", "")), ("PMID", "https://pubmed.ncbi.nlm.nih.gov/", "/", c("pmid"), c("pmid")))
+    ids = lines(*[F.when(x != "", F.concat(F.lit(f'{name}: <a href="{base}'), T.html_escape(number), F.lit(f'{tail}">'), T.html_escape(x), F.lit("</a>"))) for name, base, tail, x, number in kinds], between=" | ")
+    abstract = F.transform(c("abstract_sections"), lambda s: element("p", F.coalesce(element("strong", some(s["title"]), F.lit(":")), F.lit("")), F.when(s["title"] != "", " ").otherwise(""), T.html_escape(s["content"])))
+
+    def section(s: Column) -> Column:
+        level = F.least(s["depth"] + 1, F.lit(6)).cast("string")
+        heading = some(s["title"], lambda t: F.concat(F.lit("<h"), level, F.lit(">"), T.html_escape(t), F.lit("</h"), level, F.lit(">")))
+        return lines(heading, F.transform(F.filter(s["paragraphs"], lambda p: p != ""), lambda p: element("p", T.inline_links(p))))
+
+    body = F.filter(F.transform(c("body_sections"), section), lambda x: x != "")
+    items = F.transform(c("references"), lambda r: F.concat(F.lit('  <li id="ref-'), T.html_escape(r["id"]), F.lit('">'), reference_html(r), F.lit("</li>")))
+    return lines(
+        element("h1", some(c("title"))),
+        F.when(F.size(authors) > 0, element("p", F.lit("<strong>Authors:</strong> "), T.html_escape(shown), attributes=' class="authors"')),
+        element("p", some(info, lambda x: x), attributes=' class="journal-info"'),
+        element("p", some(ids, lambda x: x), attributes=' class="identifiers"'),
+        titled("Abstract", abstract),
+        body,
+        titled("Figures", F.transform(c("figures"), lambda f, i: figure_html(f, i, c("pmc_id")))),
+        titled("Tables", F.transform(c("tables"), table_block)),
+        F.when(F.size(items) > 0, lines(F.lit("<h2>References</h2>"), F.lit('<ol class="references">'), items, F.lit("</ol>"))),
     )
-    out += [f'<p class="{c}">{x}</p>' for c, x in (("journal-info", info), ("identifiers", ids)) if x]
-    if a["abstract_sections"]:
-        out.append("<h2>Abstract</h2>")
-        out += [f"<p>{f'<strong>{escape(s["title"])}:</strong> ' if s['title'] else ''}{escape(s['content'])}</p>" for s in a["abstract_sections"]]
-    for s in a["body_sections"]:
-        h = min(s["depth"] + 1, 6)
-        out += [f"<h{h}>{escape(s['title'])}</h{h}>"] if s["title"] else []
-        out += [f"<p>{linked(p)}</p>" for p in s["paragraphs"] if p]
-    for i, f in enumerate(a["figures"], 1):
-        name = escape(f["label"] or f"Figure {i}")
-        out += (["<h2>Figures</h2>"] if i == 1 else []) + [f'<figure id="{escape(f["id"] or f"fig{i}")}">']
-        out += [f'  <img src="{escape(image_url(f["graphic_url"], a["pmc_id"]))}" alt="{name}" loading="lazy">'] if f["graphic_url"] else []
-        out += ["  <figcaption>", f"    <strong>{name}</strong>", *([f"    <p>{escape(f['caption'])}</p>"] if f["caption"] else []), "  </figcaption>", "</figure>"]
-    for i, t in enumerate(a["tables"], 1):
-        out += (["<h2>Tables</h2>"] if i == 1 else []) + [f'<div class="table-container" id="{escape(t["id"] or f"table{i}")}">', f"  <h3>{escape(t['label'] or f'Table {i}')}</h3>"]
-        out += ([f'  <p class="table-caption">{escape(t["caption"])}</p>'] if t["caption"] else []) + ([t["html_content"]] if t["html_content"] else []) + ["</div>"]
-    if a["references"]:
-        out += ["<h2>References</h2>", '<ol class="references">', *(f'  <li id="ref-{escape(r["id"])}">{joined_reference(r)}</li>' for r in a["references"]), "</ol>"]
-    return "\n".join(out)
 
 
 def articles(raw: DataFrame, id_col: str = "id", xml_col: str = "xml", pmc_col: str | None = None) -> DataFrame:
-    """JATS documents (one per row) as nested records with their HTML."""
-    names = ["id", "title", "authors", "journal", "volume", "issue", "pages", "year", "doi", "pmc_id", "pmid", "abstract_sections", "body_sections", "figures", "tables", "references", "html", "error"]
+    """JATS documents (one per row) as nested records with their HTML.
+
+    Python only makes the nested record of the XML, some megabytes of documents at a time; the rest are expressions.
+    A document that is not XML gives its error, and nulls.
+    """
+    names = ["id", "title", "authors", "journal", "volume", "issue", "pages", "year", "doi", "pmc_id", "pmid", "abstract_sections", "body_sections", "figures", "tables", "references", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [parse(i, x, p or "") for i, x, p in zip(f["id"], f["xml"], f["pmc"], strict=True)]
-            yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+            # rows of about RUN_CHARS together; null and broken documents are short
+            for _, some_rows in f.groupby(f["xml"].fillna("").str.len().cumsum() // RUN_CHARS):
+                rows = [parse(i, x, p or "") for i, x, p in zip(some_rows["id"], some_rows["xml"], some_rows["pmc"], strict=True)]
+                yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
 
     pmc = F.col(pmc_col) if pmc_col else F.lit("")
-    return raw.select(F.col(id_col).cast("long").alias("id"), F.col(xml_col).alias("xml"), pmc.alias("pmc")).mapInPandas(run, SCHEMA)
+    return raw.select(F.col(id_col).cast("long").alias("id"), F.col(xml_col).alias("xml"), pmc.alias("pmc")).mapInPandas(run, SCHEMA).withColumn("html", F.when(F.col("error").isNull(), html()))

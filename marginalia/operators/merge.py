@@ -14,10 +14,13 @@ LISTS = ("authors", "publication_types", "keywords")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster names; where none is named (a laptop), in a temporary one."""
+    """``df`` checkpointed in the folder that the cluster names; a local master may do with a temporary one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return df.checkpoint()
 
 

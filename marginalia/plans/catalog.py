@@ -108,13 +108,14 @@ def ledger_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    with l as (select source, day, arg_max(status, seq) as status, max(last_verified) as last_verified from ({LEDGER_SQL}) where seq % 7 < 3 group by all),
+    with l as (select source, day, arg_max(status, seq) as status, arg_max(last_verified, seq) as last_verified from ({LEDGER_SQL}) group by all),
     d as (select source, cast(day as date) as day from (select distinct event_type as source from events), generate_series(date '2023-12-28', date '2024-02-02', interval 1 day) as g(day))
     select d.source, cast(d.day as varchar) as day from d left join l on d.source = l.source and d.day = l.day
     where d.day = date '2024-01-30' or l.source is null or l.status = 'failed' or l.last_verified is null or l.last_verified < date '2024-01-30' - 21
 """)
 def days_needing_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = sync_events(spark, sf_dir).where("seq % 7 < 3")
+    """All events make the ledger; the range asked for begins before its first day and ends after its last."""
+    e = sync_events(spark, sf_dir)
     kept = ledger.upsert(e.select("source", "day", "status", "last_verified").limit(0), e)
     sources = read(spark, sf_dir, "events").select(F.col("event_type").alias("source")).distinct()
     return ledger.days_needing_fetch(sources, kept, "2023-12-28", "2024-02-02", "2024-01-30", recheck_days=21).withColumn("day", F.col("day").cast("string"))
@@ -184,26 +185,9 @@ def tier_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(spark, sf_dir).select("id", "tier", quality.needed_tier(quality.QualityFilter()).alias("decided_by"))
 
 
-@query("""
-    with a as (select event_id, (props->>'k')::int as k from events)
-    select event_id, case k % 4 when 0 then 'rct' when 1 then 'cohort_prospective' else 'unknown' end as study_design,
-           case k % 4 when 0 then least(1.0, greatest(0.0, k / 10.0 - 1))::double when 1 then 0.5 else 0.0 end as confidence, case when k % 4 = 0 then k end::varchar as sample_size from a
-""")
-def llm_json_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    said = read(spark, sf_dir, "events").select("event_id", k.alias("k"))
-    answer = (
-        F.when(F.col("k") % 4 == 0, F.concat(F.lit('Sure:\n```json\n{"study_design": "RCT", "confidence": '), (F.col("k") / 10 - 1).cast("string"), F.lit(', "sample_size": '), F.col("k").cast("string"), F.lit("}\n```")))
-        .when(F.col("k") % 4 == 1, F.lit('I think {"study_design": "cohort_prospective"} fits'))
-        .when(F.col("k") % 4 == 2, F.lit('{"study_design": "rct"} and {"study_design": "letter"}'))
-        .otherwise(F.lit('{"study_design": "rct", "confidence": null}'))
-    )
-    return quality.decode_classification(said.withColumn("answer", answer)).select("event_id", "study_design", "confidence", F.col("sample_size").cast("string").alias("sample_size"))
-
-
 @query("""
     with b as (select doc_id, case quality when 1 then 'LOW' when 0 then 'high' end as selection, case toxic when 1 then 'severe' else 'unclear' end as detection from labels)
-    select doc_id, case when lower(selection) in ('low', 'unclear', 'high') then lower(selection) else 'unclear' end as selection, case when detection in ('low', 'unclear', 'high') then detection else 'unclear' end as detection from b
+    select doc_id, case when selection in ('low', 'unclear', 'high') then selection else 'unclear' end as selection, case when detection in ('low', 'unclear', 'high') then detection else 'unclear' end as detection from b
 """)
 def bias_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "LOW").when(F.col("quality") == 0, "high").alias("selection"), F.when(F.col("toxic") == 1, "severe").otherwise("unclear").alias("detection"))
@@ -286,15 +270,14 @@ def recent_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.recent(read(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), 25, "event_id")
 
 
-@query("""
-    select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ') as abstract from documents where length(text) between 1 and 3000
+@query(r"""
+    select doc_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') as abstract from documents
 """)
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverted index of each text of abstract length, and the text rebuilt from it."""
-    w = F.col("w")
-    docs = read(spark, sf_dir, "documents").where(F.length("text").between(1, 3000)).select("doc_id", F.array_remove(F.split("text", r"[ \t\n\x0B\f\r]+"), "").alias("w"))
-    index = F.map_from_entries(F.transform(F.array_distinct(w), lambda x: F.struct(x, F.filter(F.transform(w, lambda y, i: F.when(y == x, i)), lambda i: i.isNotNull()))))
-    return docs.select("doc_id", F.coalesce(T.inverted_index_text(index), F.lit("")).alias("abstract"))
+    """The inverted index of each text, and the text rebuilt from it."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
+    docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    return docs.select("doc_id", F.coalesce(T.inverted_index_text(T.inverted_index(F.col("w"))), F.lit("")).alias("abstract"))
 
 
 @query("""
@@ -438,21 +421,4 @@ def identifier_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(None)
-def component_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as records with two identifiers: many customers share one, some orders bridge two."""
-    o = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select(o.alias("seq"), F.when(o % 4 != 0, F.concat(F.lit("d"), F.col("o_custkey"))).alias("doi"), F.when(o % 3 != 0, F.concat(F.lit("p"), F.floor(o / 3))).alias("pmid"))
-    return merge.merge_records(rows)
-
-
-@query(None)
-def jats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents wrapped as journal articles and parsed again."""
-    from marginalia.operators import jats
-
-    e = lambda c: T.html_escape(c)
-    body = F.array_join(F.transform(F.split(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), "\n"), lambda x: F.concat(F.lit("<p>"), e(x), F.lit("</p>"))), "")
-    xml = F.concat(F.lit("<article><front><journal-meta><journal-title>"), "source", F.lit('</journal-title></journal-meta><article-meta><article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id></article-meta></front><body><sec><title>T</title>"), body, F.lit("</sec></body></article>"))
-    parsed = jats.articles(read(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
-    return parsed.select("id", "journal", "doi", F.size(F.col("body_sections")[0]["paragraphs"]).alias("n_paragraphs"), F.length("html").alias("n_html"), "error")
+from marginalia.plans import answers  # noqa: E402, F401  (registers its queries here)

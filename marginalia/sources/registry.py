@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -56,15 +57,16 @@ def source_names() -> list[str]:
     return list(_SOURCES)
 
 
-def get_source(name: str) -> tuple[SourceDescriptor, Transport | None]:
-    if name not in _SOURCES:
-        raise ValueError(f"unknown source {name!r}; known: {', '.join(sorted(_SOURCES))}")
-    return _SOURCES[name]
+def get_source(name: str, known: dict | None = None) -> tuple[SourceDescriptor, Transport | None]:
+    known = _SOURCES if known is None else known
+    if name not in known:
+        raise ValueError(f"unknown source {name!r}; known: {', '.join(sorted(known))}")
+    return known[name]
 
 
-def source_options(name: str, given: dict[str, str]) -> dict[str, str]:
+def source_options(name: str, given: dict[str, str], known: dict | None = None) -> dict[str, str]:
     """Given options and defaults; a missing required one is an error before anything is read."""
-    descriptor, _ = get_source(name)
+    descriptor, _ = get_source(name, known)
     out = {p.name: p.default for p in descriptor.params if p.default is not None} | given
     missing = [p.name for p in descriptor.params if p.required and not out.get(p.name)]
     if missing:
@@ -99,21 +101,34 @@ class PublicationReader(DataSourceReader):
                 return
 
 
-class PublicationSource(DataSource):
-    """``format("publications")`` with options source, first, last and those of the source."""
+def publication_source() -> type[DataSource]:
+    """``format("publications")`` for the sources registered so far: options source, first, last and those of the source.
 
-    @classmethod
-    def name(cls) -> str:
-        return "publications"
+    Spark plans a read in a process of its own, which gets the class by value.  So the class is made here, around the
+    sources and their transports; register it again (``use``) after registering a source.
+    """
+    known = dict(_SOURCES)
 
-    def schema(self) -> str:
-        return "source string, day string, seq long, json string"
+    class PublicationSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "publications"
 
-    def reader(self, schema) -> PublicationReader:
-        given = dict(self.options)
-        name, first, last = given.pop("source"), given.pop("first"), given.pop("last")
-        options = source_options(name, given)
-        transport = get_source(name)[1]
-        if transport is None:
-            raise ValueError(f"source {name!r} has no transport; register one")
-        return PublicationReader(name, first, last, options, transport)
+        def schema(self) -> str:
+            return "source string, day string, seq long, json string"
+
+        def reader(self, schema) -> PublicationReader:
+            given = {k.lower(): v for k, v in self.options.items()}
+            name, first, last = given.pop("source"), given.pop("first"), given.pop("last")
+            options = source_options(name, given, known)
+            transport = get_source(name, known)[1]
+            if transport is None:
+                raise ValueError(f"source {name!r} has no transport; register one")
+            return PublicationReader(name, first, last, options, transport)
+
+    return PublicationSource
+
+
+def use(spark: SparkSession) -> None:
+    """Makes the sources registered so far readable by ``spark.read.format("publications")``."""
+    spark.dataSource.register(publication_source())
