@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'",
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
+def named(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it (a lambda over one element names it)."""
+    return F.transform(F.array(c), f)[0]
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -138,25 +145,24 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
 
 def inverted_index(words: Column) -> Column:
     """word -> positions of an array of words: sorted once by (word, position), then cut into the runs of equal words."""
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def cut(all_: Column) -> Column:
         starts = F.filter(F.transform(all_, lambda x, k: F.when((k == 0) | (F.get(all_, k - 1)["w"] != x["w"]), k)), lambda k: k.isNotNull())
-        return F.transform(F.array(starts), lambda s: runs(all_, s))[0]
+        return named(starts, lambda s: runs(all_, s))
 
     def runs(all_: Column, starts: Column) -> Column:
         stops = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(all_)))
         run = lambda a, b: F.struct(F.get(all_, a)["w"].alias("key"), F.transform(F.slice(all_, a + 1, b - a), lambda x: x["i"]).alias("value"))
         return F.map_from_entries(F.zip_with(starts, stops, run))
 
-    # a lambda over one element names an array, so that it is computed once
-    return F.when(F.size(words) > 0, F.transform(F.array(placed), cut)[0])
+    return F.when(F.size(words) > 0, named(placed, cut))
 
 
 def inverted_index_text(index: Column) -> Column:
     """The text of a word -> positions map; null if there is no position. Ties go by the word."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.when(F.size(pairs) > 0, F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "))
+    return named(pairs, lambda p: F.when(F.size(p) > 0, F.array_join(F.transform(F.sort_array(p), lambda x: x["w"]), " ")))
 
 
 def _candidates(c: Column) -> tuple[Column, Column]:
@@ -180,13 +186,13 @@ def json_object(c: Column) -> Column:
 
     The text must be one object and nothing else: two objects with words between are none.
     """
-    strict = lambda t: one_json(F.when(t.startswith("{") & t.endswith("}"), t))
-    return F.coalesce(*map(strict, (strip(c), *_candidates(c))))
+    strict = lambda t: F.when(t.startswith("{") & t.endswith("}"), one_json(t))
+    return F.coalesce(*[named(t, strict) for t in (strip(c), *_candidates(c))])
 
 
 def extract_json(c: Column) -> Column:
     """The JSON text in an answer: any value in a fenced block, else from the first to the last brace; else the answer as it is."""
-    return F.coalesce(*map(one_json, _candidates(c)), c)
+    return F.coalesce(*[named(t, one_json) for t in _candidates(c)], c)
 
 
 def plain_citation(r: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +15,17 @@ LISTS = ("authors", "publication_types", "keywords")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster names; a local master may do with a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local[") and context.master != "local":
+    """``df`` written as Parquet in the folder that the cluster names and read again; a local master may do with a temporary one."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return df.checkpoint()
+        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def first_known(c: str, seq: str) -> Column:
@@ -91,7 +95,7 @@ def find_existing(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 def label_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge list (a, b): the smallest node reached, by doubling minimum labels.
 
-    Each round halves the distance to the smallest label and is cut by a checkpoint; the last one changes no label.
+    Each round halves the distance to the smallest label and is written as a table; the last one changes no label.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
@@ -116,7 +120,7 @@ def merge_records(records: DataFrame) -> DataFrame:
 
     All rows are resolved at once, in rounds: each takes the earliest claims on the identifiers as the round before
     left them, and says which it claims itself.  A row is settled once all rows before it are, so the first round that
-    changes nothing is the sequential result.  No group is collected anywhere; a round is cut by a checkpoint.
+    changes nothing is the sequential result.  No group is collected anywhere; each round is written as a table.
     """
     none, no = F.lit(None).cast("long"), F.lit(False)
     rows = records.select(F.col("seq").cast("long").alias("seq"), F.nullif("doi", F.lit("")).alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"))

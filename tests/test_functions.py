@@ -21,7 +21,7 @@ def test_text(spark):
     assert column(spark, odd, T.html_escape) == [escape(v) for v in odd]
     assert column(spark, odd, T.quote_url) == [quote(v, safe="") for v in odd]
     assert column(spark, odd, lambda c: T.quote_url(c, ":")) == [quote(v, safe=":") for v in odd]
-    assert column(spark, ["10.1234/test.paper-1", "é/ß x"], T.sanitize_identifier) == ["10.1234_test.paper-1", "é_ß_x"]
+    assert column(spark, ["pii:S0140(23)x/7.b-c", "é/ß x"], T.sanitize_identifier) == ["pii_S0140_23_x_7.b-c", "é_ß_x"]
     assert column(spark, ["see [Fig <1>](#f1) & more"], T.inline_links) == ['see <a href="#f1">Fig &lt;1&gt;</a> &amp; more']
     assert column(spark, ["A; B;; C ", "", None], T.split_authors) == [["A", "B", "C"], [], None]
     assert column(spark, ["NCT123456789 NCT00000001 NCT12345678"], T.trial_ids) == [["NCT00000001", "NCT12345678"]]
@@ -32,23 +32,29 @@ def test_text(spark):
 
 
 def test_publication_date(spark):
-    rows = [("2024", "Jan", "15", None), ("2024", None, None, None), ("2024", "3", "5", None), (None, None, None, "2024 Jan-Feb"), ("2024", "Spring", None, None), (None, None, None, None), ("2024", "12", "31", None), (None, None, None, "99")]
+    rows = [("1987", "September", "9", None), ("1987", None, "4", None), ("2011", "07", "8", None), (None, "May", "2", "1999 Winter"), ("2003", "Autumn", "30", None), (None, None, None, None), ("2020", "11", None, "x"), (None, None, None, "87"), ("1990", " FEB ", "28", None)]
     frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, y string, m string, d string, l string")
     got = [r["o"] for r in frame.select("i", T.publication_date(*map(F.col, "ymdl")).alias("o")).orderBy("i").collect()]
-    assert got == ["2024-01-15", "2024", "2024-03-05", "2024", "2024-Spring", None, "2024-12-31", None]
+    assert got == ["1987-09-09", "1987", "2011-07-08", "1999", "2003-Autumn-30", None, "2020-11", None, "1990-02-28"]
 
 
 def test_inverted_index(spark):
-    cases = [None, {}, {"Hello": [0], "world": [1]}, {"the": [0, 4], "cat": [1], "sat": [2], "on": [3], "mat": [5]}, {"b": [0], "a": [0]}]
-    assert column(spark, cases, T.inverted_index_text, "map<string,array<int>>") == [None, None, "Hello world", "the cat sat on the mat", "a b"]
+    cases = [None, {}, {"x": []}, {"Kidney": [3], "of": [2, 5], "a": [1], "trial": [0]}, {"b": [0], "a": [0]}]
+    assert column(spark, cases, T.inverted_index_text, "map<string,array<int>>") == [None, None, None, "trial a of Kidney of", "a b"]
+    words = ["we saw what we saw", "", "once", "b a b a b"]
+    index = lambda c: T.inverted_index(F.array_remove(F.split(c, " "), ""))
+    want = [{w: [i for i, x in enumerate(t.split()) if x == w] for w in t.split()} or None for t in words]
+    assert column(spark, words, index) == want
+    assert column(spark, words, lambda c: T.inverted_index_text(index(c))) == [t or None for t in words]
 
 
 def test_json_in_answers(spark):
     good = ['{"a": 1}', '```json\n{"a": 1}\n```', '```\n{"a": 1}\n```', 'so {"a": 1} it is', '{"a": "}{", "b": {"c": 2}}']
-    bad = ["no json", '{"a":1} and {"b":2}', "", None, '{"a": 1} x }']
+    bad = ["no json", '{"a":1} and {"b":2}', "", None, '{"a": 1} x }', '{"a":1}], [{"b":2}', '{"a":1}},{"x":{"b":2}', '{"a":1},{"b":2}', '{"a":1},"z":{"b":2}', "{} {}", "{"]
     got = column(spark, good + bad, T.json_object)
     assert [json.loads(x) for x in got[:5]] == [{"a": 1}] * 4 + [{"a": "}{", "b": {"c": 2}}]
-    assert got[5:] == [None] * 5
+    assert got[5:] == [None] * len(bad)
+    assert column(spark, ["```\n[1, 2]\n```", 'x {"a": [1]} y', "{1} {2}", "none", None], T.extract_json) == ["[1, 2]", '{"a": [1]}', "{1} {2}", "none", None]
 
 
 def classify(spark, *types):
@@ -57,11 +63,13 @@ def classify(spark, *types):
 
 
 def test_classification(spark):
-    got = classify(spark, ["Randomized Controlled Trial"], ["Systematic Review", "Meta-Analysis"], [], ["Some Unknown Type"], ["Editorial", "Randomized Controlled Trial"], ["systematic review"], [" META-ANALYSIS "], None, ["Multicenter Study"], ["Review"], ["meta_analysis"])
-    assert [got[i]["design"] for i in range(11)] == ["rct", "systematic_review", "unknown", "unknown", "rct", "systematic_review", "meta_analysis", "unknown", "rct", "other", "meta_analysis"]
-    assert (got[0]["tier"], got[0]["confidence"], got[8]["tier"]) == (4, 0.9, 4)
-    assert got[8]["confidence"] == pytest.approx(0.72)
-    assert (got[9]["tier"], got[9]["assessment_tier"], got[2]["assessment_tier"]) == (0, 1, 0)
+    got = classify(spark, ["Letter", "Case Reports"], ["Multicenter Study", "Comment"], None, ["Poem", "Portrait"], ["Review", "Multicenter Study"], ["  case_REPORTS"], ["Multicenter Study"], [])
+    kinds = dict(TYPE_DESIGN)
+    assert [got[i]["design"] for i in (0, 1, 2, 3, 5, 6, 7)] == [kinds["Case Reports"], kinds["Comment"], "unknown", "unknown", kinds["Case Reports"], kinds["Multicenter Study"], "unknown"]
+    assert got[4]["design"] == kinds["Review"]  # of types without a rank the first
+    assert (got[0]["tier"], got[0]["confidence"], got[6]["tier"]) == (1, 0.9, 4)
+    assert got[6]["confidence"] == got[4]["confidence"] == pytest.approx(0.72)
+    assert (got[4]["tier"], got[4]["assessment_tier"], got[7]["assessment_tier"]) == (0, 1, 0)
     every = classify(spark, *[[t] for t, _ in TYPE_DESIGN])
     assert [every[i]["design"] for i in range(len(TYPE_DESIGN))] == [d for _, d in TYPE_DESIGN]
     assert sum(every[i]["confidence"] < 0.8 for i in range(len(TYPE_DESIGN))) == 9
@@ -74,11 +82,31 @@ def test_decode_classification(spark):
     assert got == [("rct", 1.0, 12), ("unknown", 0.5, None), ("unknown", 0.0, None), ("unknown", 0.0, None), ("letter", 0.5, 9)]
 
 
+def test_decode_assessment(spark):
+    whole = {"study_design": "Cohort_Prospective ", "quality_score": 14, "confidence": -1, "evidence_level": "2a", "sample_size": "31", "strengths": ["s"], "design_characteristics": {"randomized": False, "blinded": "single", "multicenter": True}, "bias_risk": {"selection": "low", "reporting": "Low", "attrition": 3}}
+    answers = [json.dumps(whole), "{}", '{"bias_risk": null}', '{"quality_score": "high"}', '{"study_design": 4}', "[1]", None]
+    got = {r["i"]: r for r in quality.decode_assessment(spark.createDataFrame(list(enumerate(answers)), "i int, answer string")).collect()}
+    a = got[0]
+    assert (a["study_design"], a["quality_score"], a["confidence"], a["evidence_level"], a["sample_size"], a["strengths"], a["limitations"]) == ("cohort_prospective", 10.0, 0.0, "2a", 31, ["s"], [])
+    assert (a["is_randomized"], a["is_controlled"], a["is_multicenter"], a["is_blinded"], tuple(a["bias_risk"])) == (False, None, True, "single", ("low", "unclear", "unclear", "unclear", "unclear"))
+    assert [got[i]["is_valid"] for i in range(7)] == [True, True, False, False, False, False, False]
+    assert (got[1]["study_design"], got[1]["quality_score"], got[1]["confidence"]) == ("unknown", 0.0, 0.5)
+    assert (got[5]["confidence"], got[5]["bias_risk"], got[5]["strengths"]) == (0.0, None, [])
+
+
 def test_risk_levels(spark):
-    cases = [(20, False, "full_open", True, "high"), (60, True, "restricted", True, "high"), (80, False, "full_open", False, "high"), (60, False, "full_open", True, "medium"), (80, True, "full_open", True, "medium"), (85, False, "full_open", True, "low"), (39, False, "x", True, "high"), (40, False, "x", True, "medium"), (70, False, "x", True, "medium"), (71, False, "x", True, "low")]
+    def plain(score, industry, data, coi):
+        if score < 40 or (industry and data in ("restricted", "not_available", "not_stated")) or not coi:
+            return "high"
+        return "medium" if score <= 70 or industry else "low"
+
+    levels = ("full_open", "on_request", "restricted", "not_available", "not_stated", "unknown")
+    cases = [(s, i, d, c, plain(s, i, d, c)) for s in (0, 39, 40, 41, 70, 71, 100) for i in (False, True) for d in levels for c in (False, True)]
     frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s int, ind boolean, d string, c boolean, want string")
     rows = frame.withColumn("got", transparency.risk_level(F.col("s"), F.col("ind"), F.col("d"), F.col("c"))).collect()
     assert [r["got"] for r in rows] == [r["want"] for r in rows]
+    off = transparency.risk_level(F.col("s"), F.col("ind"), F.col("d"), F.col("c"), threshold=0, industry_matters=False, coi_matters=False)
+    assert {r["o"] for r in frame.where("not ind or s <= 70").select(off.alias("o")).collect()} == {"low", "medium"}
 
 
 def test_transparency(spark):
