@@ -90,6 +90,7 @@ DESIGN_TIER = (
 RANKED_CONFIDENCE, OTHER_FACTOR = 0.9, 0.8
 
 # Words that mark industry funding, disclosure of interests, and data availability (the first decides).
+INDUSTRY_CONFIDENCE = 0.8
 INDUSTRY_KEYWORDS = ("pharma", "biotech", "therapeutics", "inc.", "corp.", "ltd.", "gmbh", "laboratories", "employee of", "speaker fee", "consultant for", "advisory board")
 COI_KEYWORDS = ("conflict of interest", "competing interest", "no conflict", "nothing to disclose", "declare no", "financial disclosure")
 DATA_KEYWORDS = (

@@ -125,6 +125,11 @@ def model_parts(model: Column, default: str) -> tuple[Column, Column]:
     return F.when(F.size(parts) == 2, F.lower(parts[0])).otherwise(F.lit(default)), F.when(F.size(parts) == 2, F.get(parts, F.lit(1))).otherwise(model)
 
 
+def context_window(model_file: Column, fallback: int) -> Column:
+    """The ``num_ctx`` that a model's file states."""
+    return F.coalesce(blank_to_null(F.regexp_extract(model_file, r"num_ctx\s+(\d+)", 1)).cast("int"), F.lit(fallback))
+
+
 def token_estimate(c: Column) -> Column:
     return F.floor(F.length(c) / 4).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.functions.dims import COI_KEYWORDS, DATA_KEYWORDS, HIGH_RISK_BELOW, INDUSTRY_KEYWORDS, MEDIUM_RISK_TO, MOST_POINTS, POINTS
+from marginalia.functions.dims import COI_KEYWORDS, DATA_KEYWORDS, HIGH_RISK_BELOW, INDUSTRY_CONFIDENCE, INDUSTRY_KEYWORDS, MEDIUM_RISK_TO, MOST_POINTS, POINTS
 from marginalia.functions.text import contains_any
 
 
@@ -22,8 +22,18 @@ def coi_disclosed(text: Column, patterns: tuple[str, ...] = COI_KEYWORDS) -> Col
     return contains_any(text, list(patterns))
 
 
+def is_industry(funder: Column, keywords: tuple[str, ...] = INDUSTRY_KEYWORDS) -> Column:
+    return contains_any(funder, list(keywords))
+
+
 def industry_funded(funders: Column, keywords: tuple[str, ...] = INDUSTRY_KEYWORDS) -> Column:
-    return F.exists(funders, lambda f: contains_any(f, list(keywords)))
+    return F.exists(funders, lambda f: is_industry(f, keywords))
+
+
+def industry_confidence(funders: Column, known: Column | None = None, keywords: tuple[str, ...] = INDUSTRY_KEYWORDS) -> Column:
+    """The highest confidence that a paper is funded by industry: what is known before, and that of each funder."""
+    each = F.transform(funders, lambda f: F.when(is_industry(f, keywords), INDUSTRY_CONFIDENCE).otherwise(0.0))
+    return F.greatest(F.coalesce(F.array_max(each), F.lit(0.0)), F.lit(0.0) if known is None else F.coalesce(known, F.lit(0.0)))
 
 
 def score(has_funder: Column, coi: Column, level: Column, open_access: Column, cited: Column, registered: Column, results: Column) -> Column:
@@ -48,7 +58,7 @@ def risk_level(points: Column, industry: Column, level: Column, coi: Column, thr
 
 
 def analyze(papers: DataFrame, threshold: int = HIGH_RISK_BELOW, coi: tuple[str, ...] = COI_KEYWORDS, data: tuple[tuple[str, str], ...] = DATA_KEYWORDS) -> DataFrame:
-    """Adds coi_disclosed, data_level, industry, score, risk_level and indicators.
+    """Adds coi_disclosed, data_level, industry, industry_confidence, score, risk_level and indicators.
 
     ``papers``: funders array<string>, abstract, is_open_access, cited_by_count, trial_ids array<string> (sorted),
     results_posted array<string>.  At most three trials are looked at.
@@ -58,6 +68,8 @@ def analyze(papers: DataFrame, threshold: int = HIGH_RISK_BELOW, coi: tuple[str,
     out = papers.withColumn("coi_disclosed", coi_disclosed(F.col("abstract"), coi)).withColumn("data_level", data_level(F.col("abstract"), data)).withColumn("industry", industry_funded(F.col("funders")))
     out = out.withColumn("score", score(F.size("funders") > 0, F.col("coi_disclosed"), F.col("data_level"), F.col("is_open_access"), F.col("cited_by_count") > 0, registered, posted))
     out = out.withColumn("risk_level", risk_level(F.col("score"), F.col("industry"), F.col("data_level"), F.col("coi_disclosed"), threshold))
+    out = out.withColumn("industry_confidence", industry_confidence(F.col("funders")))
+    named = F.transform(F.filter("funders", lambda f: is_industry(f)), lambda f: F.concat(F.lit("Industry funder: "), f))
     said = F.array_compact(
         F.array(
             F.when(F.size("funders") == 0, "No funder information"),
@@ -66,7 +78,7 @@ def analyze(papers: DataFrame, threshold: int = HIGH_RISK_BELOW, coi: tuple[str,
             F.when(registered & ~F.coalesce(posted, F.lit(False)), "Registered trial without posted results"),
         )
     )
-    return out.withColumn("indicators", said)
+    return out.withColumn("indicators", F.concat(F.coalesce(named, F.array().cast("array<string>")), said))
 
 
 def downgraded(tier: Column, level: Column, amount: int = 1) -> Column:

@@ -1,33 +1,61 @@
-"""Records that arrive in a stream, merged into a staged table batch by batch.
+"""Records that arrive in a stream, merged into a Parquet table batch by batch.
 
 Late rows merge like all others: nothing is dropped by a watermark.  A batch that is delivered again changes nothing,
-since rows are folded by key in order of ``seq``.
+since rows are folded by key in order of ``seq``.  The table is partitioned by a hash of the key, and a batch rewrites
+only the partitions that it touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.plans.sql import StagedTable
+from marginalia.operators.merge import cut
 
+#: Partitions of the table by the hash of the key.
+BUCKETS = 256
 
-def fold_batch(table: StagedTable, key: Sequence[str], seq: str = "seq"):
-    """A ``foreachBatch`` function: the first row of a key stays, later rows fill its nulls."""
+
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table as it is; empty where nothing has been written yet."""
+    try:
+        return spark.read.schema(f"{schema}, bucket int").parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], f"{schema}, bucket int")
+        raise
+
+
+def fold_batch(path: str, key: Sequence[str], seq: str = "seq", buckets: int = BUCKETS):
+    """A ``foreachBatch`` function: the first row of a key stays, later rows fill its nulls.
+
+    The new state of the touched partitions is written aside first, so that a batch that fails may run again.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        stored = table.read()
-        rows = batch if stored is None else stored.unionByName(batch)
+        spark = batch.sparkSession
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        fresh = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))  # the source is read once
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+        if not touched:
+            return
+        rows = read_table(spark, path, schema).where(F.col("bucket").isin(touched)).unionByName(fresh)
         columns = [c for c in batch.columns if c not in (*key, seq)]
         filled = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(seq), F.col(c)))).getField(c).alias(c) for c in columns]
-        table.commit(rows.groupBy(*key).agg(F.min(seq).alias(seq), *filled))
+        state = cut(rows.groupBy("bucket", *key).agg(F.min(seq).alias(seq), *filled).select(*batch.columns, "bucket"))
+        state.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
     return run
 
 
-def start_upsert(stream: DataFrame, table: StagedTable, key: Sequence[str], checkpoint: str, seq: str = "seq") -> StreamingQuery:
+def start_upsert(stream: DataFrame, path: str, key: Sequence[str], checkpoint: str, seq: str = "seq") -> StreamingQuery:
     """Works off what is there, then ends; run it again for what came since."""
-    return stream.writeStream.foreachBatch(fold_batch(table, key, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(fold_batch(path, key, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows read) of the batches that a query has worked off lately."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]

@@ -117,6 +117,9 @@ def test_transparency(spark):
     assert (got[2]["score"], got[2]["risk_level"]) == (0, "high")
     assert (got[3]["data_level"], got[3]["score"]) == ("on_request", 15 + 10 + 20)
     assert "Registered trial without posted results" in got[3]["indicators"]
+    assert "Industry funder: Acme Pharma Inc." in got[1]["indicators"]
+    assert [got[i]["industry_confidence"] for i in (1, 2, 3)] == [0.8, 0.0, 0.0]
+    assert column(spark, ["PARAMETER num_ctx  8192\nx", "", None], lambda c: T.context_window(c, 4096)) == [8192, 4096, 4096]
 
 
 def test_fulltext(spark):
