@@ -30,7 +30,7 @@ REGISTERS, ROWS = 285, 5
 BASE, LEVELS, RATE = 1.001, (1 << 16) - 2, 20.0
 #: Members, and bytes of their texts, of a block when the rest of a bucket is compared; and members of a bucket whose few
 #: pairs are listed instead.
-BLOCK, BLOCK_BYTES, SMALL = 512, 1 << 23, 16
+BLOCK, BLOCK_BYTES, SMALL = 128, 1 << 21, 16
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +85,26 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b:
     return j[np.arange(len(j)), like.argmax(1)]
 
 
+def possible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether the joint estimate of each pair lies at most seven standard deviations below ``least``."""
+    low = least - 7 * np.sqrt(least * (1 - least) / ra.shape[1])
+    parts = [likely_similarity(ra[i : i + 1000], rb[i : i + 1000], na[i : i + 1000], nb[i : i + 1000]) >= low for i in range(0, len(na), 1000)]
+    return np.concatenate(parts or [np.zeros(0, bool)])
+
+
+def sets_of(texts: list[str], words: int, run: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The shingle set of each text; texts are worked off in runs of about ``run`` characters."""
+    start = 0
+    while start < len(texts):
+        stop, size = start + 1, len(texts[start])
+        while stop < len(texts) and size + len(texts[stop]) <= run:
+            size += len(texts[stop])
+            stop += 1
+        values, n = shingle_sets(texts[start:stop], words)
+        yield from np.split(values, np.cumsum(n)[:-1])
+        start = stop
+
+
 def sketches(docs: DataFrame, words: int, registers: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, n_shingles, set_key, regs): set_key is equal for equal sets; it and regs are null for empty sets."""
 
@@ -112,9 +132,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 continue
             ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
-            # seven standard deviations below the threshold
-            ok = np.concatenate([likely_similarity(ra[i : i + 2000], rb[i : i + 2000], na[i : i + 2000], nb[i : i + 2000]) for i in range(0, len(na), 2000)]) >= least - 7 * np.sqrt(least * (1 - least) / ra.shape[1])
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(possible(ra, rb, na, nb, least)))
 
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
@@ -134,10 +152,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "ta"):
             ta, tb = texts_of(batch, "ta"), texts_of(batch, "tb")
-            values, n = shingle_sets(ta + tb, words)
-            ends = np.concatenate(([0], np.cumsum(n)))
-            get, k = (lambda i: values[ends[i] : ends[i + 1]]), len(ta)
-            ok = [is_link(get(i), get(i + k), percent) for i in range(k)]
+            ok = [is_link(x, y, percent) for x, y in zip(sets_of(ta, words), sets_of(tb, words), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -228,7 +243,7 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
     together, so that a pair is compared once however many buckets it shares.  The component's members and the others,
     the strays, are cut into blocks of about ``BLOCK`` members and ``BLOCK_BYTES``; each block of strays meets each block
     in a group of its own, which emits a link only where it joins two components.  A text is thus copied once for each
-    block that it meets, a 512th of the members; registers rule out most pairs before any set is compared.
+    block that it meets, a 128th of the members; registers rule out most pairs before any set is compared.
     """
     least = percent / 100
     named = members.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
@@ -249,17 +264,20 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
         reps, parts = group["rep"].to_numpy(), group["c"].to_numpy()
         sizes = group["n_shingles"].to_numpy().astype(float)
         regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(len(group), -1)
-        i, j = np.triu_indices(len(group), 1)
+        i, j = (x.astype(np.int32) for x in np.triu_indices(len(group), 1))
         ok = (parts[i] != parts[j]) & (np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j]) - 1e-9)
         i, j = i[ok], j[ok]
         # equal registers first: cheaper than the joint estimate, and rules out most
         width = regs.shape[1]
         few = (least - 8 * np.sqrt(least * (1 - least) / width)) * width
-        ok = np.concatenate([(regs[i[k : k + 4096]] == regs[j[k : k + 4096]]).sum(1) >= few for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
-        i, j = i[ok], j[ok]
-        if len(i):
-            ok = likely_similarity(regs[i], regs[j], sizes[i], sizes[j]) >= least - 7 * np.sqrt(least * (1 - least) / regs.shape[1])
-            i, j = i[ok], j[ok]
+        kept = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(i), 4096):
+            a, b = i[k : k + 4096], j[k : k + 4096]
+            ok = (regs[a] == regs[b]).sum(1) >= few
+            a, b = a[ok], b[ok]
+            ok = possible(regs[a], regs[b], sizes[a], sizes[b], least)
+            kept.append(np.stack((a[ok], b[ok]), 1))
+        i, j = np.concatenate(kept).T
         joined: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -268,9 +286,7 @@ def rest_links(members: DataFrame, classes: DataFrame, texts: DataFrame, words:
             return x
 
         used = np.unique(np.concatenate((i, j)))
-        values, n = shingle_sets(group["text"].iloc[used].tolist(), words)
-        ends = np.cumsum(n)
-        cache = {int(k): values[e - m : e] for k, e, m in zip(used, ends, n, strict=True)}
+        cache = dict(zip(used.tolist(), sets_of(group["text"].iloc[used].tolist(), words), strict=True))
         out = []
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             p, q = top(int(parts[x])), top(int(parts[y]))
