@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -71,9 +72,15 @@ def fold_by_key(records: DataFrame, key: Sequence[str], seq: str = "seq", source
 
 
 def outcomes(records: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:
-    """Adds ``outcome``: the first row of a key is *added*, the others are *merged*."""
-    first = records.groupBy(*key).agg(F.min(seq).alias("_first"))
-    return records.join(first, list(key)).withColumn("outcome", F.when(F.col(seq) == F.col("_first"), "added").otherwise("merged")).drop("_first")
+    """Adds ``outcome``: the first row of a key (nulls are one) is *added*, the others are *merged*.
+
+    The first rows find themselves by key and ``seq`` together, so that the rows of a frequent key are spread.
+    """
+    keys = [f"_k{i}" for i in range(len(key))]
+    first = records.groupBy(*key).agg(F.min(seq).alias("_first")).toDF(*keys, "_first")
+    same = [records[c].eqNullSafe(first[k]) for c, k in zip(key, keys, strict=True)] + [records[seq] == first["_first"]]
+    found = records.join(first, functools.reduce(lambda x, y: x & y, same), "left")
+    return found.withColumn("outcome", F.when(F.col("_first").isNotNull(), "added").otherwise("merged")).drop(*keys, "_first")
 
 
 def insert_ignore(stored: DataFrame, incoming: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:

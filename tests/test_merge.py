@@ -62,6 +62,13 @@ def test_find_existing_prefers_doi(spark):
     assert {r["seq"]: r["existing_id"] for r in merge.find_existing(stored, rows).collect()} == {1: 1, 2: 2, 3: 2, 4: None, 5: None}
 
 
+def test_outcomes_of_keys_with_nulls(spark):
+    rows = [(1, "a", None), (2, "a", None), (3, None, "x"), (4, None, "x"), (5, "b", "x"), (6, None, None)]
+    frame = spark.createDataFrame(rows, "seq long, k string, l string")
+    got = {r["seq"]: r["outcome"] for r in merge.outcomes(frame, ["k", "l"]).collect()}
+    assert got == {1: "added", 2: "merged", 3: "added", 4: "merged", 5: "added", 6: "added"}
+
+
 def test_insert_ignore(spark):
     key = "pub long, url string, seq long"
     got = merge.insert_ignore(spark.createDataFrame([(1, "u", 0)], key), spark.createDataFrame([(1, "u", 1), (1, "v", 3), (1, "v", 2), (2, "u", 4)], key), ["pub", "url"])
