@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import bpe_codec, mixing, near_dedup, quality_classifier, quality_rules
-from marginalia.llm.common import scratch, with_ids
+from marginalia.llm.common import scratch, staged, with_ids
 from marginalia.llm.queries import table, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id."""
-    verdict = near_dedup.near_duplicates(docs)
-    return with_ids(docs, verdict.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = staged(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return with_ids(docs, gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
