@@ -22,7 +22,7 @@ from .common import ship, staged
 #: Rows that the codebooks are fitted on, at most (every row is indexed), and rounds of k-means.
 FIT_ROWS, ROUNDS = 16_384, 12
 #: Centroids of a half, at most (their pairs are the cells, whose counts every worker holds), and distinct vectors of a block of the index.
-MOST_CENTROIDS, BLOCK_ROWS = 1024, 8192
+MOST_CENTROIDS, BLOCK_ROWS = 1024, 2048
 
 
 def centroids_for(n: int) -> int:
@@ -59,20 +59,24 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([squared(x[i : i + 2048], centres).argmin(1) for i in range(0, len(x), 2048)] or [np.zeros(0, np.int64)])
 
 
-def visited_cells(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, want: int) -> list[int]:
+def visited_cells(d1: np.ndarray, d2: np.ndarray, counts: list[int], want: int) -> list[int]:
     """Cells (i * len(d2) + j) by rising d1[i] + d2[j] until they hold ``want`` vectors."""
     a, b = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    heap, out, got = [(float(d1[a[0]] + d2[b[0]]), 0, 0)], [], 0
+    first, second, rows, columns = d1[a].tolist(), d2[b].tolist(), (a * len(d2)).tolist(), b.tolist()
+    heap, out, got, ends = [(first[0] + second[0], 0, 0)], [], 0, len(columns)
     while heap and got < want:
-        _, i, j = heapq.heappop(heap)
-        cell = int(a[i]) * len(d2) + int(b[j])
-        if counts[cell]:
+        _, i, j = heap[0]
+        cell = rows[i] + columns[j]
+        if n := counts[cell]:
             out.append(cell)
-            got += int(counts[cell])
-        if j + 1 < len(b):
-            heapq.heappush(heap, (float(d1[a[i]] + d2[b[j + 1]]), i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (float(d1[a[i + 1]] + d2[b[0]]), i + 1, 0))
+            got += n
+        if j == 0 and i + 1 < len(rows):
+            heapq.heappush(heap, (first[i + 1] + second[0], i + 1, 0))
+        # the cell's place in the heap goes to the next of its row
+        if j + 1 < ends:
+            heapq.heapreplace(heap, (first[i] + second[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
     return out
 
 
@@ -139,7 +143,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, cent
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = books.value
-        counts_of, block_of, splits_of = plan.value
+        counts_of, block_of, splits_of = plan.value[0].tolist(), *plan.value[1:]
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 some = batch.slice(start, 64)
