@@ -14,6 +14,7 @@ import itertools
 import math
 import string
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, staged, texts_of, words
+from .common import chunks, ship, staged, texts_of
 
 #: Hidden units, output classes (each of as many symbols), and how many symbols are endings of rare words.
 HIDDEN, CLASSES, ENDINGS = 24, 32, 64
@@ -52,10 +53,6 @@ def is_training(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
 
-def lowered(word: Column) -> Column:
-    return F.translate(word, string.ascii_uppercase, string.ascii_lowercase)
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place; where the exponential overflows, the result is 0."""
     np.negative(x, out=x)
@@ -97,36 +94,50 @@ class Net:
     def outputs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target; with ``grad``, also gradients (of the sum, added to ``grad``)."""
         cls, word = target // CLASSES, target % CLASSES
-        logit = h @ self.p["c"] + self.p["cb"]
-        logit -= logit.max(1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(1)
+        d = h @ self.p["c"]
+        d += self.p["cb"]
+        d -= d.max(1, keepdims=True)
         rows = np.arange(len(h))
-        score = logit[rows, cls] - np.log(total)
+        score = d[rows, cls]
+        np.exp(d, out=d)
+        total = d.sum(1)
+        score -= np.log(total)
         back = None
         if grad is not None:
-            d = e / total[:, None]
+            d /= total[:, None]
             d[rows, cls] -= 1
             grad["c"] += h.T @ d
             grad["cb"] += d.sum(0)
             back = d @ self.p["c"].T
+        # rows by class: each class reads and writes a slice
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        sorted_h, sorted_word = h[order], word[order]
+        inside = np.empty(len(h), np.float64)
+        sorted_back = None if grad is None else np.empty_like(sorted_h)
         for c in range(CLASSES):
-            some = order[bounds[c] : bounds[c + 1]]
-            if not len(some):
+            i, j = bounds[c], bounds[c + 1]
+            if i == j:
                 continue
-            inner = h[some] @ self.p["w"][c] + self.p["wb"][c]
+            some = sorted_h[i:j]
+            inner = some @ self.p["w"][c]
+            inner += self.p["wb"][c]
             inner -= inner.max(1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(1)
-            score[some] += inner[np.arange(len(some)), word[some]] - np.log(total)
+            at, own = rows[: j - i], sorted_word[i:j]
+            inside[i:j] = inner[at, own]
+            np.exp(inner, out=inner)
+            total = inner.sum(1)
+            inside[i:j] -= np.log(total)
             if grad is not None:
-                d = e / total[:, None]
-                d[np.arange(len(some)), word[some]] -= 1
-                grad["w"][c] += h[some].T @ d
-                grad["wb"][c] += d.sum(0)
-                back[some] += d @ self.p["w"][c].T
+                inner /= total[:, None]
+                inner[at, own] -= 1
+                grad["w"][c] += some.T @ inner
+                grad["wb"][c] += inner.sum(0)
+                sorted_back[i:j] = inner @ self.p["w"][c].T
+        score = score.astype(np.float64)
+        score[order] += inside
+        if grad is not None:
+            back[order] += sorted_back
         return score, back
 
     def backward(self, tape: list[tuple], back: list[np.ndarray], grad: dict) -> None:
@@ -264,17 +275,18 @@ class Lexicon:
         self.log[-1] = 0.0
         self.end = self.place[END.encode()]
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the tokens, and their places among the frequent words (the last place for others)."""
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Symbols of the tokens, their places among the frequent words (the last place for others), and the others."""
         tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
         other, known = len(self.rows), self.place
         place = np.fromiter(map(known.get, tokens, itertools.repeat(other)), np.int64, len(tokens))
         symbol = self.symbol[place]
-        rare = np.flatnonzero(place == other).tolist()
+        at = np.flatnonzero(place == other).tolist()
+        rare = [tokens[i].decode("utf-8", "surrogatepass") for i in at]
         if rare:
             base = SYMBOLS - ENDINGS
-            symbol[rare] = [base + ending(tokens[i].decode("utf-8", "surrogatepass")) for i in rare]
-        return np.append(symbol, self.symbol[self.end]), np.append(place, self.end)
+            symbol[at] = [base + ending(w) for w in rare]
+        return np.append(symbol, self.symbol[self.end]), np.append(place, self.end), rare
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,10 +298,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     train = source.where(is_training(F.col("doc_id")))
-    raw = train.select(F.explode_outer(F.concat(words(F.col("text")), F.array(F.lit(END)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = staged(raw.groupBy(lowered(F.col("w")).alias("word")).agg(F.sum("n").alias("c")), "counts")
+    counts = staged(word_counts(train), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, n_distinct = int(total["n"]), int(total["v"])
     frequent = [(r["word"], r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
@@ -305,74 +316,98 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tail_log = np.log10(np.array([n + FLOOR * (v + 1) for n, v in zip(tail_n, tail_v, strict=True)]))
     frequency = np.array([c for _, c in frequent[:own]] + [0] * (own - len(frequent[:own])) + tail_n, float) + 1
     shared = spark.sparkContext.broadcast(lexicon)
-    net = train_network(train, shared, Net(frequency=frequency / frequency.sum()), n_all)
-    weights = spark.sparkContext.broadcast((net.flat(), tail_log))
+    tails_of = spark.sparkContext.broadcast(tail_log)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, model = shared.value, Net(weights.value[0])
-        tail = weights.value[1]
-        kept, ids, stats, size = [], [], [], 0
-        other = len(lex.rows)
-
-        def flush() -> pa.RecordBatch:
-            score = log_likelihoods(model, ids) / math.log(10)
-            whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
-            n, known, base, within, rare = (np.array(x) for x in zip(*stats, strict=True))
-            return pa.RecordBatch.from_arrays([whole.column("doc_id"), whole.column("key"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score + within, pa.float64()), pa.array(rare, pa.int64())], ["doc_id", "key", "n_tokens", "n_known", "base", "net", "n_rare"])
-
-        for batch in chunks(batches, "text", 1 << 20):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, tail = shared.value, tails_of.value
+        for batch in chunks(batches, "text"):
+            n, known, base, within, packed, rare = [], [], [], [], [], []
             for text in texts_of(batch, "text"):
-                symbols, place = lex.encode(text)
+                symbols, place, unknown = lex.encode(text)
                 logs = lex.log[place]
                 in_tail = symbols >= own
+                n.append(len(symbols))
+                known.append(int((lex.count[place] > 0).sum()))
+                base.append(float(logs.sum()))
                 # of words behind an ending's symbol, the frequent ones' counts are known here
-                within = float(logs[in_tail].sum()) - float(tail[symbols[in_tail] - own].sum())
-                stats.append((len(symbols), int((lex.count[place] > 0).sum()), float(logs.sum()), within, int((place == other).sum())))
-                ids.append(symbols)
-                size += len(symbols)
-            kept.append(batch.select(["doc_id", "key"]))
-            if size > 1 << 22:
-                yield flush()
-                kept, ids, stats, size = [], [], [], 0
-        if kept:
-            yield flush()
-
-    scored = source.mapInArrow(run, "doc_id long, key long, n_tokens long, n_known long, base double, net double, n_rare long")
-    # words beyond the frequent ones: their counts come from a join on the word, summed per distinct row
-    held = spark.createDataFrame(frequent, "word string, c long").select("word")
-    pairs = source.select("doc_id", "key", F.explode_outer(words(F.col("text"))).alias("w")).where(F.col("w").isNotNull())
-    pairs = pairs.select("doc_id", "key", lowered(F.col("w")).alias("word")).join(F.broadcast(held), "word", "left_anti")
-    pairs = pairs.join(counts, "word", "left").groupBy("doc_id", "key").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + FLOOR)).alias("rare"), F.count("c").alias("rare_known"), F.count(F.lit(1)).alias("rare_all"))
-    pairs = pairs.withColumnsRenamed({"doc_id": "d", "key": "k"})
-    both = scored.join(pairs, scored["doc_id"].eqNullSafe(pairs["d"]) & (scored["key"] == pairs["k"]), "left")
-    times = F.greatest(F.coalesce(F.col("rare_all") / F.greatest("n_rare", F.lit(1)), F.lit(1.0)), F.lit(1.0))  # how often the row occurs
-    rare = F.coalesce(F.col("rare") / times, F.lit(0.0))
+                within.append(float(logs[in_tail].sum()) - float(tail[symbols[in_tail] - own].sum()))
+                packed.append(symbols.astype(np.int16).tobytes())
+                rare.append([*Counter(unknown).items()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(packed, pa.binary()), pa.array(rare, pa.map_(pa.string(), pa.int64()))], ["doc_id", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
+
+    # texts are encoded once; each row gets a number as it is written
+    encoded = source.mapInArrow(encode, "doc_id long, n_tokens long, n_known long, base double, within double, symbols binary, rare map<string,long>")
+    encoded = staged(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
+    net, _ = train_network(encoded.where(is_training(F.col("doc_id"))), Net(frequency=frequency / frequency.sum()), n_all)
+    weights = spark.sparkContext.broadcast(net.flat())
+    kept = ("row", "doc_id", "n_tokens", "n_known", "base", "within")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Net(weights.value)
+        for batch in chunks(batches, "symbols", 1 << 22):
+            ids = [np.frombuffer(x, np.int16) for x in batch.column("symbols").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(log_likelihoods(model, ids) / math.log(10), pa.float64())], [*kept, "net"])
+
+    scored = encoded.select(*kept, "symbols").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, within double, net double")
+    # words beyond the frequent ones get their counts from a join
+    pairs = encoded.select("row", F.explode("rare").alias("word", "n")).join(counts, "word", "left")
+    pairs = pairs.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + FLOOR)).alias("rare"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("rare_known"))
+    both = scored.join(pairs, "row", "left")
+    rare = F.coalesce("rare", F.lit(0.0))
     share = math.log10(n_all + FLOOR * (n_distinct + 1))
     return both.select(
         "doc_id",
         (~is_training(F.col("doc_id"))).alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + F.coalesce(F.round(F.col("rare_known") / times), F.lit(0))).cast("long").alias("n_known"),
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + rare - F.col("n_tokens") * share).alias("base_score"),
-        (F.col("net") + rare).alias("score"),
+        (F.col("net") + F.col("within") + rare).alias("score"),
     )
 
 
-def train_network(train: DataFrame, lexicon, net: Net, tokens: int, piece: int = 4096) -> Net:
-    """Rounds of local training and averaging; each takes its share of the texts' stretches, by hash, as does each partition."""
+def word_counts(texts: DataFrame, held: int = 1 << 17) -> DataFrame:
+    """(word, c) of all tokens of ``texts``; a worker hands on its counts when it holds ``held`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+
+        def hand_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+            found.clear()
+            return out
+
+        for batch in chunks(batches, "text"):
+            for text in texts_of(batch, "text"):
+                found.update(text.encode("utf-8").translate(LOWER).split())
+                found[END.encode()] += 1
+            if len(found) > held:
+                yield hand_on()
+        if found:
+            yield hand_on()
+
+    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def train_network(encoded: DataFrame, net: Net, tokens: int, piece: int = 4096) -> tuple[Net, int]:
+    """Rounds of local training and averaging on (doc_id, row, symbols).
+
+    Each round takes its share of the texts' stretches, by hash, as does each partition.  Also returns how many tokens
+    were learned from, which is every one once.
+    """
+    learned = 0
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 20):
-            found = [(d, n, x.astype(np.int16).tobytes()) for d, t in zip(batch.column("deal").to_pylist(), texts_of(batch, "text"), strict=True) for n, x in enumerate(stretches(lexicon.value.encode(t)[0]))]
+        for batch in chunks(batches, "symbols", 1 << 20):
+            found = [(d, n, x.tobytes()) for d, t in zip(batch.column("deal").to_pylist(), batch.column("symbols").to_pylist(), strict=True) for n, x in enumerate(stretches(np.frombuffer(t, np.int16)))]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["deal", "part", "symbols"])
 
-    # copies are dealt by their id, those without one by their place
-    dealt = train.withColumn("place", F.monotonically_increasing_id()).select(F.xxhash64(F.coalesce("doc_id", "place"), "key").alias("deal"), "text")
-    parts = staged(dealt.mapInArrow(cut, "deal long, part int, symbols binary"), "stretches")
+    # copies are dealt by their id, those without one by their row
+    dealt = encoded.select(F.xxhash64(F.coalesce("doc_id", "row"), F.xxhash64("symbols")).alias("deal"), "symbols")
+    parts = dealt.mapInArrow(cut, "deal long, part int, symbols binary")
     workers = max(1, round(tokens / PART_TOKENS / ROUNDS))
     for r in range(ROUNDS):
-        weights = train.sparkSession.sparkContext.broadcast(net.flat())
+        weights = encoded.sparkSession.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             own = Net(weights.value)
@@ -385,11 +420,12 @@ def train_network(train: DataFrame, lexicon, net: Net, tokens: int, piece: int =
         def average(group: pd.DataFrame) -> pd.DataFrame:
             values = np.stack([np.frombuffer(v, np.float64) for v in group["values"]])
             mean = np.average(values, axis=0, weights=group["weight"].to_numpy())
-            return pd.DataFrame({"piece": [group["piece"].iloc[0]], "values": [mean.tobytes()]})
+            return pd.DataFrame({"piece": [group["piece"].iloc[0]], "weight": [group["weight"].sum()], "values": [mean.tobytes()]})
 
-        shard = parts.where(F.pmod(F.xxhash64("deal", "part", F.lit("round")), F.lit(ROUNDS)) == r).repartition(workers, "deal", "part").select("symbols")
+        shard = parts.where(F.pmod(F.xxhash64("deal", "part", F.lit("round")), F.lit(ROUNDS)) == r).repartition(workers, "deal", "part").sortWithinPartitions("deal", "part").select("symbols")
         local = shard.mapInArrow(run, "piece int, weight double, values binary")
-        rows = local.groupBy("piece").applyInPandas(average, "piece int, values binary").collect()  # the model's size
+        rows = local.groupBy("piece").applyInPandas(average, "piece int, weight double, values binary").collect()  # the model's size
         if rows:
+            learned += int(rows[0]["weight"])
             net = Net(np.concatenate([np.frombuffer(x["values"], np.float64) for x in sorted(rows, key=lambda x: x["piece"])]))
-    return net
+    return net, learned

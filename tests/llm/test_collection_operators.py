@@ -128,6 +128,15 @@ def test_mixing_edges(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_equal_sources_tie_by_place(spark):
+    """Blocks left over go to the earlier of equal sources; a rerun gives the same."""
+    rows = [(10 * s + d, "w " * 64, src) for s, src in enumerate(("a", "b", "c", None)) for d in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [{r["doc_id"]: r["taken"] for r in mixing.taken(mixing.mix_plan(d, weights=(1,))).collect()} for d in (docs, docs.repartition(5))]
+    assert runs[0] == runs[1] == {i: 64 for i, _, _ in rows}
+    assert mixing.sainte_lague([4.0, 4.0, 4.0], 4, [9, 9, 9]) == [2, 1, 1]
+
+
 def test_highest_quotients():
     rng = random.Random(3)
     for _ in range(60):

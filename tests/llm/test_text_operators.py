@@ -6,7 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marginalia.llm import bpe_codec, gru_lm, quality_classifier, quality_rules, token_counts
+from pyspark.sql import functions as F
+
+from marginalia.llm import bpe_codec, gru_lm, mixing, quality_classifier, quality_rules, token_counts
 from marginalia.llm.queries import vocabulary
 
 from . import brute
@@ -207,6 +209,100 @@ def test_stretches_hold_every_token_once():
     assert np.array_equal(~parts[1][: gru_lm.WINDOW], text[gru_lm.STRETCH - gru_lm.WINDOW : gru_lm.STRETCH])
 
 
+@pytest.mark.parametrize("workers", [1, 211])
+def test_every_token_is_learned_from_once(spark, monkeypatch, workers):
+    docs = spark.read.parquet(DOCS).select("doc_id", "text").where("doc_id < 30").selectExpr("doc_id", "coalesce(text, '') as text")
+    counts = {r["word"]: r["c"] for r in gru_lm.word_counts(docs).collect()}
+    want = Counter(w for r in docs.collect() for w in [*brute.words(r["text"].translate(brute.UPPER)), gru_lm.END])
+    assert counts == want
+    tokens = sum(counts.values())
+    monkeypatch.setattr(gru_lm, "PART_TOKENS", tokens / gru_lm.ROUNDS / workers)
+    lexicon = gru_lm.Lexicon(sorted(counts.items(), key=lambda x: (x[0] != gru_lm.END, -x[1], x[0])))
+    rows = [(r["doc_id"], r["doc_id"], bytearray(lexicon.encode(r["text"])[0].astype(np.int16).tobytes())) for r in docs.collect()]
+    net, learned = gru_lm.train_network(spark.createDataFrame(rows, "doc_id long, row long, symbols binary"), lane_net(), tokens)
+    assert learned == tokens
+    assert np.abs(net.flat() - lane_net().flat()).max() > 0
+
+
+def test_likelihood_matches_a_plain_loop():
+    rng = np.random.default_rng(4)
+    f = rng.uniform(1, 9, gru_lm.SYMBOLS)
+    net = gru_lm.Net(frequency=f / f.sum())
+    net.p["h"] = rng.normal(0, 0.5, net.p["h"].shape).astype(np.float32)
+    texts = [rng.integers(0, gru_lm.SYMBOLS, n) for n in (1, 40, 0, 3, 700, 16, 17)]
+    for text, got in zip(texts, gru_lm.log_likelihoods(net, texts), strict=True):
+        h, before, total = np.zeros((1, gru_lm.HIDDEN)), gru_lm.SYMBOLS, 0.0
+        for t in text:
+            a, u = net.p["x"][before].astype(float), h @ net.p["h"]
+            gate = lambda x: 1 / (1 + np.exp(-x))
+            k = gru_lm.HIDDEN
+            z, r = gate(a[:k] + u[:, :k]), gate(a[k : 2 * k] + u[:, k : 2 * k])
+            n = np.tanh(a[2 * k :] + r * u[:, 2 * k :])
+            h = (1 - z) * n + z * h
+            c, w = divmod(int(t), gru_lm.CLASSES)
+            first, second = (h @ net.p["c"] + net.p["cb"])[0], (h @ net.p["w"][c] + net.p["wb"][c])[0]
+            total += first[c] - np.log(np.exp(first).sum()) + second[w] - np.log(np.exp(second).sum())
+            before = t
+        assert got == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for _ in range(2):
+        x ^= x >> 32
+        x = x * 0xD6E8FEB86659FD93 & MASK
+    return x ^ (x >> 32)
+
+
+def plain_features(text):
+    """Buckets of the words, and of the runs of 3 and 4 characters in them between blanks."""
+    key = lambda c: plain_mix(ord(c) + 0x51ED27)
+    out = []
+    for w in brute.words(text):
+        total = sum(plain_mix((key(c) + (i + 1) * 0xD1B54A32D192ED03) & MASK) for i, c in enumerate(w))
+        out.append(plain_mix(total & MASK))
+        for n in (3, 4):
+            for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)):
+                h = 0
+                for c in g:
+                    h = (h * 0x9E3779B97F4A7C15 + key(c)) & MASK
+                out.append(plain_mix((h + n) & MASK))
+    return Counter(x & (quality_classifier.BUCKETS - 1) for x in out)
+
+
+def test_classifier_matches_a_plain_version(spark, monkeypatch):
+    texts = [t or "" for t in ODD if "\x1c" not in (t or "")] + ["word " * 9000 + "x" * 3000 + "\n" + "tail é" * 500]
+    want = [plain_features(t) for t in texts]
+    for size in (700, quality_classifier.PIECE):  # long texts in pieces, and whole
+        monkeypatch.setattr(quality_classifier, "PIECE", size)
+        got = quality_classifier.bags(texts) if size > 700 else [quality_classifier.bags([t])[0] for t in texts]
+        assert [dict(zip(b.tolist(), c.tolist(), strict=True)) for b, c in got] == want
+    rng = np.random.default_rng(0)
+    model = quality_classifier.Embeddings(rng.normal(0, 1, (quality_classifier.BUCKETS, quality_classifier.DIM)), rng.normal(0, 1, (quality_classifier.DIM, 2)), np.array([0.3, -0.2]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "_id long, text string").withColumn("_label", F.lit("clash")).withColumn("predicted", F.lit("x"))
+    scores = {r["_id"]: r["score"] for r in quality_classifier.quality_scores(frame, model).collect()}
+    for i, bag in enumerate(want):
+        n = sum(bag.values())
+        hidden = sum((c * model.vectors[b] for b, c in bag.items()), np.zeros(quality_classifier.DIM)) / max(1, n)
+        e = np.exp(hidden @ model.weights + model.bias)
+        assert scores[i] == pytest.approx(e[1] / e.sum(), rel=1e-4)
+
+
+def test_one_very_long_text(spark):
+    """A text of a million characters beside short ones goes through the operators whole."""
+    text = "\n".join(f"line {i} of the long text says word{i % 977} again" for i in range(22_000))
+    docs = spark.createDataFrame([(1, text, "a"), (2, "short one", "b"), (3, "x" * 200_000, "b")], "doc_id long, text string, source string")
+    n, chars, symbols, lines, repeated = brute.statistics(text)
+    r = {x["doc_id"]: x for x in quality_rules.quality_rules(docs, docs.where("doc_id = 2").select("doc_id")).collect()}[1]
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, lines, repeated)
+    scored = {x["doc_id"]: x for x in gru_lm.score_texts(docs.withColumn("held_out", F.lit("clash")).withColumn("key", F.lit(1))).collect()}
+    assert (scored[1]["n_tokens"], scored[3]["n_tokens"]) == (n + 1, 2)
+    taken = {x["doc_id"]: x for x in mixing.taken(mixing.mix_plan(docs)).collect()}
+    assert taken[1]["size"] == n and sum(x["taken"] for x in taken.values()) == pytest.approx(n + 3, abs=2 * mixing.BLOCK)
+
+
 def test_digests_of_ids(spark):
     from pyspark.sql import functions as F
 
