@@ -57,14 +57,15 @@ class StagedTable:
         self.spark, self.root = spark, root.rstrip("/")
 
     def current(self) -> str | None:
+        """Where the last commit is; of two that took the same number, the one whose name comes last."""
         try:
-            rows = self.spark.read.text(f"{self.root}/pointers").collect()
+            pointers = self.spark.read.schema("n long, path string").json(f"{self.root}/pointers")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
-        named = [json.loads(r["value"]) for r in rows]
-        return f"{self.root}/{max(named, key=lambda x: x['n'])['path']}" if named else None
+        last = pointers.orderBy(F.desc("n"), F.desc("path")).first()
+        return f"{self.root}/{last['path']}" if last else None
 
     def read(self) -> DataFrame | None:
         path = self.current()
