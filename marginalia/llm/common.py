@@ -24,6 +24,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_IDS = 2_000_000
 
 
+#: Rows of an Arrow batch, which the JVM and the worker both hold.
+BATCH_ROWS = 2000
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
 
@@ -46,7 +51,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, as ``--py-files`` would."""
+    """Sends this package to the executors once per application, as ``--py-files`` would.
+
+    Rows hold whole texts, so Arrow batches get fewer rows than Spark's default, unless the session has its own number.
+    """
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
     if getattr(spark.sparkContext, "_marginalia_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
@@ -94,6 +104,20 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 1 <<
             start = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Joins Arrow batches until their texts hold about ``max_bytes``."""
+    kept, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+        if size >= max_bytes:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept, size = [], 0
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
 class Remembered(dict):
     """A worker's memory of short keys, bounded by bytes: once full, it starts afresh when asked for ``room``."""
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ship, staged, texts_of
+from .common import chunks, gathered, ship, staged, texts_of
 
 #: Hidden units, output classes (each of as many symbols), and how many symbols are endings of rare words.
 HIDDEN, CLASSES, ENDINGS = 24, 32, 64
@@ -344,7 +344,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Net(weights.value)
-        for batch in chunks(batches, "symbols", 1 << 24):  # many texts side by side, so that few steps are narrow
+        for batch in gathered(batches, "symbols", 1 << 23):  # many texts side by side, so that few steps are narrow
             ids = [np.frombuffer(x, np.int16) for x in batch.column("symbols").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(log_likelihoods(model, ids) / math.log(10), pa.float64())], [*kept, "net"])
 
