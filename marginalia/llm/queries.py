@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, gru_lm, html_text, mixing, multi_index, near_dedup, quality_classifier, quality_rules, token_counts, warc
+from . import bpe_codec, gru_lm, html_text, merkle_manifest, mixing, multi_index, near_dedup, piece_codec, quality_classifier, quality_rules, token_alignment, token_counts, warc
 from .common import if_small, scratch, staged
 
 
@@ -83,8 +83,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_codec.piece_encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    aligned = staged(aligned.withColumns({"n_groups": F.col("n_links"), "groups_sha256": token_alignment.digest(F.col("groups"))}).drop("groups"), "aligned")  # a group has one link
+    found = token_alignment.linked(aligned, keep=("n_groups", "groups_sha256"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_multi_index, op4_html_text, op5_token_counts, op6_bpe_codec, op7_minhash_dedup, op8_quality_rules, op9_gru_lm, op10_mixing)
+    f.__name__: f for f in (op1_quality_classifier, op2_warc, op3_multi_index, op4_html_text, op5_token_counts, op6_bpe_codec, op7_minhash_dedup, op8_quality_rules, op9_gru_lm, op10_mixing, op11_merkle_manifest, op12_piece_codec, op13_token_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
