@@ -3,32 +3,18 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.operators.shared import Rounds, cut
+
 #: Fields that the first non-null value fills, and lists that the first non-empty value fills.
 FILLED = ("doi", "pmid", "abstract", "journal", "publication_date", "license")
 LISTS = ("authors", "publication_types", "keywords")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the folder that the cluster names and read again; a local master may do with a temporary one."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def first_known(c: str, seq: str) -> Column:
     return F.min_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c)
 
@@ -99,55 +85,110 @@ def find_existing(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("existing_id", F.coalesce("_id_doi", "_id_pmid")).drop("_d", "_p", "_id_doi", "_id_pmid")
 
 
-def label_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an edge list (a, b): the smallest node reached, by doubling minimum labels.
+def greedy_matching(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame:
+    """(seq, doi, pmid) of the edges that a pass in order of ``seq`` takes: those of which neither end is taken yet.
 
-    Each round halves the distance to the smallest label and is written as a table; the last one changes no label.
+    In each round the edges that are among the first two of both their ends are looked at.  One that is first at both is
+    taken; one with a single edge before it is taken if that one is not, so that such edges form chains, which pointer
+    doubling follows to their heads in steps that double.  What touches a taken end is then dropped, and what is left
+    makes the next round.  A chain of n edges takes log n steps; edges in random order some log n rounds.  (In the worst
+    case, an order made so that most edges wait for two others, more: the problem is not known to have short rounds.)
+    Nothing is gathered: an end of any number of edges gives its first two, found before the shuffle.
+    """
+    spark = edges.sparkSession
+    rounds = rounds or Rounds(spark)
+    taken = None
+    # equal pairs but the first are never taken
+    active = rounds.next("active", edges.groupBy("doi", "pmid").agg(F.min("seq").alias("seq")))
+    while active.limit(1).count():
+        near = []
+        for end in ("doi", "pmid"):
+            order = Window.partitionBy(end).orderBy("seq")
+            first = active.select(end, "seq", F.row_number().over(order).alias(f"n_{end}"), F.min("seq").over(order).alias(f"first_{end}"))
+            near.append(first.where(f"n_{end} <= 2"))
+        before = F.col("n_doi") + F.col("n_pmid") - 2
+        head = F.when(before == 1, F.when(F.col("n_doi") == 2, F.col("first_doi")).otherwise(F.col("first_pmid"))).otherwise(F.col("seq"))
+        links = rounds.next("links", near[0].join(near[1], "seq").select("seq", "doi", "pmid", head.alias("head"), (before == 1).alias("flip"), (before == 0).alias("free")))
+        while True:
+            up = links.select(F.col("seq").alias("head"), F.col("head").alias("_head"), F.col("flip").alias("_flip"))
+            moved = links.join(up, "head", "left").select("seq", "doi", "pmid", F.coalesce("_head", "head").alias("head"), (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"), "free", (F.coalesce("_head", "head") != F.col("head")).alias("moved"))
+            if not moved.where("moved").limit(1).count():
+                break
+            links = rounds.next("links", moved.drop("moved"))
+        heads = links.where("free").select(F.col("seq").alias("head"))
+        found = cut(links.where("not flip").join(heads, "head", "left_semi").select("seq", "doi", "pmid"))
+        taken = found if taken is None else taken.unionByName(found)
+        active = rounds.next("active", active.join(found.select("doi"), "doi", "left_anti").join(found.select("pmid"), "pmid", "left_anti"))
+    rounds.drop("active", "links")
+    return spark.createDataFrame([], "seq long, doi string, pmid string") if taken is None else taken
+
+
+def resolve(records: DataFrame, claims: DataFrame | None = None, rounds: Rounds | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sequential merge on two keys, over a store: (outcomes, changes), both written.
+
+    Rows come in order of ``seq`` (distinct) to a store with two unique columns: a row joins the publication with its
+    DOI, else that with its PMID, else it is added; a null identifier is filled; a fill that would repeat another
+    publication's identifier makes the row ``failed``.  Blank identifiers match nothing.
+
+    ``claims``: (kind, value, id, full) of the store's identifiers; ``full`` if their publication has both.
+    outcomes: (seq, id, publication, outcome); ``id`` is a stored publication, otherwise ``publication`` is the seq of
+    the row that was added.  changes: (kind, value, id, publication, full) of identifiers that are new or full now.
+
+    No row waits for its turn.  An identifier is unclaimed, *open* (its publication lacks the other) or *full*, and once
+    full it never changes.  Rows with one identifier open it at best, so the first of them tells since when.  A row with
+    both makes both full, unless one is full already or both are open; rows that come after both were opened change
+    nothing.  So the rows that fill or add a pair are a greedy matching in order of ``seq`` (``greedy_matching``), and every row's
+    outcome follows from the times at which its two identifiers were opened and filled.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "node")
-    while True:
-        near = both.join(labels.toDF("b", "cb"), "b").groupBy("a").agg(F.min("cb").alias("m"))
-        moved = labels.join(near.toDF("node", "m"), "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
-        jumped = moved.join(moved.toDF("c", "cc"), "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("c"))
-        jumped = cut(jumped)
-        changed = jumped.join(labels.toDF("node", "old"), "node").where("c <> old").limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels.select("node", F.col("c").alias("component"))
+    spark = records.sparkSession
+    blank = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).alias(c)
+    rows = cut(records.select(F.col("seq").cast("long").alias("seq"), blank("doi"), blank("pmid")))
+    if claims is None:
+        claims = spark.createDataFrame([], "kind string, value string, id long, full boolean")
+    known = cut(claims.groupBy("kind", "value").agg(F.max("id").alias("id"), F.max("full").alias("full")))
+
+    state = {}
+    for end, other in (("doi", "pmid"), ("pmid", "doi")):
+        alone = rows.where(f"{end} is not null and {other} is null").groupBy(end).agg(F.min("seq").alias("opened"))
+        stored = known.where(F.col("kind") == end).select(F.col("value").alias(end), "id", "full")
+        state[end] = cut(alone.join(stored, end, "full").select(end, F.when(F.col("id").isNull(), F.col("opened")).alias(f"{end}_opened"), F.col("id").alias(f"{end}_id"), F.coalesce("full", F.lit(False)).alias(f"{end}_full")))
+
+    def open_before(end: str) -> Column:
+        return F.col(f"{end}_id").isNotNull() | F.coalesce(F.col(f"{end}_opened") < F.col("seq"), F.lit(False))
+
+    pairs = rows.where("doi is not null and pmid is not null").groupBy("doi", "pmid").agg(F.min("seq").alias("seq"))
+    both = pairs.join(state["doi"], "doi", "left").join(state["pmid"], "pmid", "left")
+    both = both.where(~F.coalesce("doi_full", F.lit(False)) & ~F.coalesce("pmid_full", F.lit(False)) & ~(open_before("doi") & open_before("pmid")))
+    taken = greedy_matching(both.select("seq", "doi", "pmid"), rounds)
+    owner = lambda end: F.when(open_before(end), F.struct(F.col(f"{end}_id").alias("id"), F.when(F.col(f"{end}_id").isNull(), F.col(f"{end}_opened")).alias("seq")))
+    fresh = F.struct(F.lit(None).cast("long").alias("id"), F.col("seq"))
+    matched = cut(taken.join(state["doi"], "doi", "left").join(state["pmid"], "pmid", "left").select("seq", "doi", "pmid", F.coalesce(owner("doi"), owner("pmid"), fresh).alias("owner")))
+
+    held, changes = {}, []
+    for end in ("doi", "pmid"):
+        filled = matched.select(end, F.col("seq").alias(f"{end}_filled"), F.col("owner").alias(f"{end}_owner"))
+        held[end] = cut(state[end].join(filled, end, "full"))
+        now = F.col(f"{end}_filled").isNotNull()
+        mine = F.when(now, F.col(f"{end}_owner")).otherwise(F.struct(F.col(f"{end}_id").alias("id"), F.col(f"{end}_opened").alias("seq")))
+        new = held[end].where(now | (F.col(f"{end}_id").isNull() & F.col(f"{end}_opened").isNotNull()))
+        changes.append(new.select(F.lit(end).alias("kind"), F.col(end).alias("value"), mine["id"].alias("id"), mine["seq"].alias("publication"), now.alias("full")))
+
+    joined = rows.join(held["doi"], "doi", "left").join(held["pmid"], "pmid", "left")
+    full, by = {}, {}
+    for end in ("doi", "pmid"):
+        full[end] = F.coalesce(F.col(f"{end}_full"), F.lit(False)) | F.coalesce(F.col(f"{end}_filled") < F.col("seq"), F.lit(False))
+        opened = F.when(open_before(end), F.struct(F.col(f"{end}_id").alias("id"), F.when(F.col(f"{end}_id").isNull(), F.col(f"{end}_opened")).alias("seq")))
+        by[end] = F.when(F.coalesce(F.col(f"{end}_filled") < F.col("seq"), F.lit(False)), F.col(f"{end}_owner")).otherwise(opened)
+    joined = joined.withColumns({"by_doi": by["doi"], "by_pmid": by["pmid"], "full_doi": full["doi"]})
+    mine = F.col("doi_filled") == F.col("seq")
+    target = F.when(mine, F.col("doi_owner")).otherwise(F.coalesce("by_doi", "by_pmid", F.struct(F.lit(None).cast("long").alias("id"), F.col("seq"))))
+    failed = ~F.coalesce(mine, F.lit(False)) & ~F.col("full_doi") & F.col("by_doi").isNotNull() & F.col("by_pmid").isNotNull()
+    done = joined.withColumn("target", target).select("seq", F.col("target.id").alias("id"), F.col("target.seq").alias("publication"), failed.alias("failed"))
+    added = F.col("id").isNull() & (F.col("publication") == F.col("seq"))
+    outcome = F.when(F.col("failed"), "failed").when(added, "added").otherwise("merged")
+    return cut(done.select("seq", "id", "publication", outcome.alias("outcome"))), cut(changes[0].unionByName(changes[1]))
 
 
 def merge_records(records: DataFrame) -> DataFrame:
-    """The sequential merge on two keys: every row's (seq, publication, outcome).
-
-    Rows are folded in order of ``seq`` (distinct) by the rules of a store with two unique columns: a row joins the
-    publication with its DOI, else that with its PMID; a null identifier is filled; a fill that would repeat another
-    publication's identifier makes the row ``failed``.  ``publication`` is the seq of the row that was added.  Blank
-    identifiers match nothing.
-
-    All rows are resolved at once, in rounds: each takes the earliest claims on the identifiers as the round before
-    left them, and says which it claims itself.  A row is settled once all rows before it are, so the first round that
-    changes nothing is the sequential result.  No group is collected anywhere; each round is written as a table.
-    """
-    none, no = F.lit(None).cast("long"), F.lit(False)
-    rows = records.select(F.col("seq").cast("long").alias("seq"), F.nullif("doi", F.lit("")).alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"))
-    rows = rows.select("*", none.alias("publication"), F.lit("").alias("outcome"), no.alias("takes_doi"), no.alias("takes_pmid"))
-    while True:
-        claims = {c: rows.where(f"takes_{c}") for c in ("doi", "pmid")}
-        # who holds an identifier, and since which row a publication has one
-        held = {c: x.groupBy(c).agg(F.min(F.struct("seq", "publication")).alias(f"by_{c}")) for c, x in claims.items()}
-        filled = {c: x.groupBy("publication").agg(F.min("seq").alias(f"since_{c}")).withColumnRenamed("publication", "target") for c, x in claims.items()}
-        both = rows.join(held["doi"], "doi", "left").join(held["pmid"], "pmid", "left")
-        for c in ("doi", "pmid"):
-            both = both.withColumn(f"by_{c}", F.when(F.col(f"by_{c}.seq") < F.col("seq"), F.col(f"by_{c}.publication")))
-        both = both.withColumn("target", F.coalesce("by_doi", "by_pmid", "seq")).join(filled["doi"], "target", "left").join(filled["pmid"], "target", "left")
-        added = F.col("by_doi").isNull() & F.col("by_pmid").isNull()
-        free = {c: F.coalesce(F.col(f"since_{c}") >= F.col("seq"), F.lit(True)) for c in ("doi", "pmid")}
-        failed = ~added & free["pmid"] & F.coalesce(F.col("by_pmid") != F.col("target"), no)
-        takes = {c: F.col(c).isNotNull() & (added | (~failed & free[c])) for c in ("doi", "pmid")}
-        outcome = F.when(added, "added").when(failed, "failed").otherwise("merged")
-        same = F.col("publication").eqNullSafe(F.col("target")) & (F.col("outcome") == outcome) & (F.col("takes_doi") == takes["doi"]) & (F.col("takes_pmid") == takes["pmid"])
-        rows = cut(both.select("seq", "doi", "pmid", F.col("target").alias("publication"), outcome.alias("outcome"), takes["doi"].alias("takes_doi"), takes["pmid"].alias("takes_pmid"), same.alias("same")))
-        if not rows.where("not same").limit(1).count():
-            return rows.select("seq", "publication", "outcome")
-        rows = rows.drop("same")
+    """The sequential merge on two keys without a store (``resolve``): every row's (seq, publication, outcome)."""
+    return resolve(records)[0].select("seq", "publication", "outcome")

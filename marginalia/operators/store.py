@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.merge import cut
+from marginalia.operators.shared import cut
 
 TEXTS = ("title", "doi", "pmid", "abstract", "journal", "publication_date", "license", "first_seen_source")
 LISTS = ("authors", "publication_types", "keywords", "sources")

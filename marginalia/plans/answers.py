@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import fulltext, merge, quality, store
+from marginalia.operators import fulltext, merge, quality, record_store, store
+from marginalia.operators.shared import fresh_path
 from marginalia.plans.catalog import CLASSIFIED_SQL, HOST, classified, query, read
 
 
@@ -163,7 +166,8 @@ def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("identifier", "kind", "page_id", F.md5(F.coalesce(F.col("html").cast("binary"), "pdf")).alias("body_md5"))
 
 
-@query("""
+#: Orders through a store of two unique keys, as rounds that repeat until no outcome changes.
+FOLD_SQL = """
     with recursive base as (select o_orderkey as seq, case when o_orderkey % 4 <> 0 then concat('d', o_custkey) end as doi, case when o_orderkey % 3 <> 0 then concat('p', o_orderkey // 3) end as pmid from orders),
     r as (
         select 0 as i, seq, doi, pmid, null::bigint as publication, '' as outcome, false as td, false as tp, false as same from base
@@ -178,13 +182,33 @@ def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
             select i + 1, seq, doi, pmid, target, o, nd, np, publication is not distinct from target and outcome = o and td = nd and tp = np from n where (select not bool_and(same) from r)
         )
     )
-    select seq, publication, outcome from r where i = (select max(i) from r)
-""")
+"""
+LAST_ROUND = "r where i = (select max(i) from r)"
+
+
+@query(f"{FOLD_SQL} select seq, publication, outcome from {LAST_ROUND}")
 def component_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records with two identifiers: many customers share one, some orders bridge two."""
+    return merge.merge_records(order_records(spark, sf_dir))
+
+
+def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
-    rows = read(spark, sf_dir, "orders").select(o.alias("seq"), F.when(o % 4 != 0, F.concat(F.lit("d"), F.col("o_custkey"))).alias("doi"), F.when(o % 3 != 0, F.concat(F.lit("p"), F.floor(o / 3))).alias("pmid"))
-    return merge.merge_records(rows)
+    return read(spark, sf_dir, "orders").select(o.alias("seq"), F.when(o % 4 != 0, F.concat(F.lit("d"), F.col("o_custkey"))).alias("doi"), F.when(o % 3 != 0, F.concat(F.lit("p"), F.floor(o / 3))).alias("pmid"))
+
+
+@query(f"""{FOLD_SQL}, done as (select seq, publication, outcome from {LAST_ROUND}), ids as (select seq as publication, row_number() over (order by seq) as id from done where outcome = 'added')
+    select seq, outcome, id, 'added' = outcome as is_new from done join ids using (publication)
+""")
+def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same orders in two batches through a store on disk: what happened to each, and the id it has there."""
+    rows = order_records(spark, sf_dir)
+    names = [f.strip().split(" ") for f in record_store.FIELDS.split(", ")]
+    rows = rows.select(*[F.col(n) if n in ("seq", "doi", "pmid") else F.lit("orders").alias(n) if n == "source" else F.lit(None).cast(kind).alias(n) for n, kind in names])
+    kept = record_store.RecordStore(spark, f"store_{uuid.uuid4().hex[:12]}", fresh_path(spark, "store"), buckets=16)
+    middle = rows.agg(F.floor(F.avg("seq"))).first()[0] or 0
+    both = kept.add(0, rows.where(F.col("seq") <= middle)).unionByName(kept.add(1, rows.where(F.col("seq") > middle)))
+    return both.select("seq", "outcome", "id", (F.col("outcome") == "added").alias("is_new"))
 
 
 @query(r"""

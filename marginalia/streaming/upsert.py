@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.operators.merge import cut
+from marginalia.operators.shared import cut
 
 #: Partitions of the table by the hash of the key.
 BUCKETS = 256
