@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa

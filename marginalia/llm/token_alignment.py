@@ -12,9 +12,9 @@ at most ``hot_pairs`` of them, are broadcast, and the others, rare by their coun
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +34,7 @@ _WIDE = re.compile(r"\s{512}")
 #: Pairs whose counts are broadcast: 16 bytes and a flag each, 9 MB.
 HOT_PAIRS = 1 << 19
 #: Tokens of a window that is remembered; a longer one is aligned each time.
-WINDOW = 256
-_BETWEEN = b"\xff" * 4
+WINDOW = 512
 
 
 class ByteTokens:
@@ -82,9 +81,9 @@ class PieceTokens:
 
 
 class Windows(Remembered):
-    """Alignments of windows: the ids of both sides, with a number that is no id between them, and what ``_window`` gives."""
+    """Alignments of windows: the ids of both sides, with -1 between them, and what ``_learn`` gives."""
 
-    BYTES, ENTRY = 100_000_000, 330
+    BYTES, ENTRY = 150_000_000, 330
 
     def keep(self, key: bytes, value: tuple[str, bytes]) -> None:
         self.held += self.ENTRY + len(key) + len(value[0]) + len(value[1])
@@ -95,31 +94,27 @@ class Aligner:
     def __init__(self, byte_file: str, piece_file: str):
         self.a, self.b = ByteTokens(byte_file), PieceTokens(piece_file)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        self.sizes_a, self.sizes_b = self.size_a.tolist(), self.size_b.tolist()
-        self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
+        self.name = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))].__getitem__
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b))
         self.windows = Windows()
 
-    def _window(self, a: list[int], b: list[int]) -> tuple[str, bytes]:
-        """Groups of a window as text, and its links: (a << 32 | b) of the tokens that end together, packed."""
-        if len(a) == len(b) == 1:
-            return f"{a[0]}|{b[0]}", array("q", [a[0] << 32 | b[0]]).tobytes()
-        size_a, size_b, name = self.sizes_a, self.sizes_b, self.names
-        groups, links, side, j, m, behind = [], [], [], 0, len(b), 0  # behind: bytes of b beyond those of a
-        other: list[str] = []
-        for x in a:
-            side.append(name[x])
-            behind -= size_a[x]
-            while behind < 0 and j < m:
-                y = b[j]
-                other.append(name[y])
-                behind += size_b[y]
-                j += 1
-            if not behind:
-                groups.append(f"{','.join(side)}|{','.join(other)}")
-                links.append(x << 32 | y)
-                side, other = [], []
-        return ";".join(groups), array("q", links).tobytes()
+    def _learn(self, ids_a: list[int], ids_b: list[int], ends: tuple[np.ndarray, np.ndarray], cuts: np.ndarray, new: list[tuple[int, bytes]]) -> Iterator[tuple[int, tuple[str, bytes]]]:
+        """Alignments of a text's windows that are not known: (window, (groups as text, links packed)).
+
+        ``ends``: indices behind the tokens of either side that end together.  A window holds those behind its own cut
+        and up to the next; it begins with one, so that its groups depend on nothing before it.
+        """
+        names_a, names_b = list(map(self.name, ids_a)), list(map(self.name, ids_b))
+        links = (np.array(ids_a, np.int64)[ends[0] - 1] << 32) | np.array(ids_b, np.int64)[ends[1] - 1]
+        first = np.searchsorted(ends[0], cuts, side="right").tolist()
+        to_a, to_b = ([0, *e.tolist()] for e in ends)
+        for n, key in new:
+            g, h = first[n], first[n + 1]
+            groups = [f"{names_a[i] if x - i == 1 else ','.join(names_a[i:x])}|{names_b[j] if y - j == 1 else ','.join(names_b[j:y])}" for i, x, j, y in zip(to_a[g:h], to_a[g + 1 : h + 1], to_b[g:h], to_b[g + 1 : h + 1], strict=True)]
+            window = ";".join(groups), links[g:h].tobytes()
+            if len(key) <= 4 * WINDOW:
+                self.windows.keep(key, window)
+            yield n, window
 
     def align(self, text: str) -> tuple[int, int, str, np.ndarray]:
         """(tokens of a, tokens of b, groups, links) of one text; all empty where the bytes of either side are not the text."""
@@ -129,26 +124,32 @@ class Aligner:
         whole = " " + text
         data = whole.encode("utf-8", "surrogatepass")
         ids_a, ids_b = self.a.encode(whole), self.b.encode(text)
-        if b"".join(map(self.a.bytes.__getitem__, ids_a)) != data or b"".join(map(self.b.bytes.__getitem__, ids_b)) != data:
+        if b"".join(map(self.b.bytes.__getitem__, ids_b)) != data:
             return nothing
         a, b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
         size_a, size_b = self.size_a[a], self.size_b[b]
+        if size_a.sum() != len(data):  # bytes have tokens of their own, so that side a spells every text
+            raise AssertionError("byte-level tokens do not cover their text")
         starts_a, starts_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
         # anchors: offsets where a space-marked token begins on both sides
         open_a, open_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
         _, at_a, at_b = np.intersect1d(starts_a[open_a], starts_b[open_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = [*open_a[at_a].tolist(), len(a)], [*open_b[at_b].tolist(), len(b)]
-        packed_a, packed_b, known, found = a.tobytes(), b.tobytes(), self.windows.get, []
-        for i, i2, j, j2 in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True):
-            key = packed_a[4 * i : 4 * i2] + _BETWEEN + packed_b[4 * j : 4 * j2]
-            window = known(key)
-            if window is None:
-                window = self._window(ids_a[i:i2], ids_b[j:j2])
-                if i2 - i <= WINDOW and j2 - j <= WINDOW:
-                    self.windows.keep(key, window)
-            found.append(window)
-        groups, links = zip(*found, strict=True)
-        return len(a), len(b), ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+        cut_a, cut_b = np.append(open_a[at_a], len(a)), np.append(open_b[at_b], len(b))
+        # all windows in one array, each a's ids, -1 and b's ids: a window's key is one slice of it
+        count = len(cut_a) - 1
+        width_a, width_b, turn = np.diff(cut_a), np.diff(cut_b), np.arange(count)
+        both = np.full(len(a) + len(b) + count, -1, np.int32)
+        both[np.arange(len(a)) + np.repeat(cut_b[:-1] + turn, width_a)] = a
+        both[np.arange(len(b)) + np.repeat(cut_a[1:] + turn + 1, width_b)] = b
+        packed, at = both.tobytes(), (4 * (cut_a + cut_b + np.arange(count + 1))).tolist()
+        keys = [packed[p:q] for p, q in itertools.pairwise(at)]
+        found = list(map(self.windows.get, keys))
+        if None in found:
+            new = [(n, keys[n]) for n, window in enumerate(found) if window is None]
+            _, ends_a, ends_b = np.intersect1d(starts_a + size_a, starts_b + size_b, assume_unique=True, return_indices=True)
+            for n, window in self._learn(ids_a, ids_b, (ends_a + 1, ends_b + 1), cut_a, new):
+                found[n] = window
+        return len(a), len(b), ";".join([w[0] for w in found]), np.frombuffer(b"".join([w[1] for w in found]), np.int64)
 
 
 @lru_cache(maxsize=2)
