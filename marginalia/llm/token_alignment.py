@@ -33,8 +33,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _WIDE = re.compile(r"\s{512}")
 #: Pairs whose counts are broadcast: 16 bytes and a flag each, 9 MB.
 HOT_PAIRS = 1 << 19
-#: Tokens of a window that is remembered; a longer one is aligned each time.
-WINDOW = 512
+#: Tokens of a window that is remembered; a longer one hardly comes again and is aligned each time.
+WINDOW = 40
 
 
 class ByteTokens:
@@ -60,10 +60,10 @@ class ByteTokens:
         self.other = Tokenizer.from_file(file)
         self.other.encode_special_tokens = True  # their strings in a text are ordinary text
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if _WIDE.search(text):
-            return self.other.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return np.array(self.other.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
 
 class PieceTokens:
@@ -81,12 +81,12 @@ class PieceTokens:
 
 
 class Windows(Remembered):
-    """Alignments of windows: the ids of both sides, with -1 between them, and what ``_learn`` gives."""
+    """Alignments of windows: the ids of both sides, with -1 between them, and their groups as text."""
 
-    BYTES, ENTRY = 150_000_000, 330
+    BYTES, ENTRY = 120_000_000, 230
 
-    def keep(self, key: bytes, value: tuple[str, bytes]) -> None:
-        self.held += self.ENTRY + len(key) + len(value[0]) + len(value[1])
+    def keep(self, key: bytes, value: str) -> None:
+        self.held += self.ENTRY + len(key) + len(value)
         dict.__setitem__(self, key, value)
 
 
@@ -98,58 +98,57 @@ class Aligner:
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b))
         self.windows = Windows()
 
-    def _learn(self, ids_a: list[int], ids_b: list[int], ends: tuple[np.ndarray, np.ndarray], cuts: np.ndarray, new: list[tuple[int, bytes]]) -> Iterator[tuple[int, tuple[str, bytes]]]:
-        """Alignments of a text's windows that are not known: (window, (groups as text, links packed)).
+    def align(self, text: str) -> tuple[int, int, str, np.ndarray]:
+        """(tokens of a, tokens of b, groups, links) of one text; all empty where the bytes of either side are not the text.
 
-        ``ends``: indices behind the tokens of either side that end together.  A window holds those behind its own cut
-        and up to the next; it begins with one, so that its groups depend on nothing before it.
+        A link is a pair (a << 32 | b) of tokens that end together.
         """
-        names_a, names_b = list(map(self.name, ids_a)), list(map(self.name, ids_b))
-        links = (np.array(ids_a, np.int64)[ends[0] - 1] << 32) | np.array(ids_b, np.int64)[ends[1] - 1]
-        first = np.searchsorted(ends[0], cuts, side="right").tolist()
-        to_a, to_b = ([0, *e.tolist()] for e in ends)
-        for n, key in new:
-            g, h = first[n], first[n + 1]
-            groups = [f"{names_a[i] if x - i == 1 else ','.join(names_a[i:x])}|{names_b[j] if y - j == 1 else ','.join(names_b[j:y])}" for i, x, j, y in zip(to_a[g:h], to_a[g + 1 : h + 1], to_b[g:h], to_b[g + 1 : h + 1], strict=True)]
-            window = ";".join(groups), links[g:h].tobytes()
-            if len(key) <= 4 * WINDOW:
-                self.windows.keep(key, window)
-            yield n, window
-
-    def align(self, text: str) -> tuple[int, int, str, np.ndarray]:
-        """(tokens of a, tokens of b, groups, links) of one text; all empty where the bytes of either side are not the text."""
         nothing = 0, 0, "", np.zeros(0, np.int64)
         if not text:
             return nothing
         whole = " " + text
         data = whole.encode("utf-8", "surrogatepass")
-        ids_a, ids_b = self.a.encode(whole), self.b.encode(text)
+        a, ids_b = self.a.encode(whole), self.b.encode(text)
         if b"".join(map(self.b.bytes.__getitem__, ids_b)) != data:
             return nothing
-        a, b = np.array(ids_a, np.int32), np.array(ids_b, np.int32)
-        size_a, size_b = self.size_a[a], self.size_b[b]
-        if size_a.sum() != len(data):  # bytes have tokens of their own, so that side a spells every text
+        b = np.array(ids_b, np.int32)
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        if ends_a[-1] != len(data):  # bytes have tokens of their own, so that side a spells every text
             raise AssertionError("byte-level tokens do not cover their text")
-        starts_a, starts_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-        # anchors: offsets where a space-marked token begins on both sides
-        open_a, open_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
-        _, at_a, at_b = np.intersect1d(starts_a[open_a], starts_b[open_b], assume_unique=True, return_indices=True)
-        cut_a, cut_b = np.append(open_a[at_a], len(a)), np.append(open_b[at_b], len(b))
+        # shared ends: numbers of tokens, of either side, up to each offset where both sides end
+        _, to_a, to_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = (a[to_a].astype(np.int64) << 32) | b[to_b]
+        to_a, to_b = np.append(0, to_a + 1), np.append(0, to_b + 1)
+        # anchors: shared ends before a token that is space-marked on both sides
+        anchor = np.ones(len(to_a), bool)
+        anchor[1:-1] = self.space_a[a[to_a[1:-1]]] & self.space_b[b[to_b[1:-1]]]
+        first = np.flatnonzero(anchor)
+        cut_a, cut_b = to_a[first], to_b[first]
         # all windows in one array, each a's ids, -1 and b's ids: a window's key is one slice of it
-        count = len(cut_a) - 1
-        width_a, width_b, turn = np.diff(cut_a), np.diff(cut_b), np.arange(count)
-        both = np.full(len(a) + len(b) + count, -1, np.int32)
-        both[np.arange(len(a)) + np.repeat(cut_b[:-1] + turn, width_a)] = a
-        both[np.arange(len(b)) + np.repeat(cut_a[1:] + turn + 1, width_b)] = b
-        packed, at = both.tobytes(), (4 * (cut_a + cut_b + np.arange(count + 1))).tolist()
-        keys = [packed[p:q] for p, q in itertools.pairwise(at)]
+        turn = np.arange(len(first))
+        both = np.full(len(a) + len(b) + len(first) - 1, -1, np.int32)
+        both[np.arange(len(a)) + np.repeat((cut_b + turn)[:-1], np.diff(cut_a))] = a
+        both[np.arange(len(b)) + np.repeat(cut_a[1:] + turn[1:], np.diff(cut_b))] = b
+        packed = both.tobytes()
+        keys = [packed[p:q] for p, q in itertools.pairwise((4 * (cut_a + cut_b + turn)).tolist())]
         found = list(map(self.windows.get, keys))
         if None in found:
-            new = [(n, keys[n]) for n, window in enumerate(found) if window is None]
-            _, ends_a, ends_b = np.intersect1d(starts_a + size_a, starts_b + size_b, assume_unique=True, return_indices=True)
-            for n, window in self._learn(ids_a, ids_b, (ends_a + 1, ends_b + 1), cut_a, new):
-                found[n] = window
-        return len(a), len(b), ";".join([w[0] for w in found]), np.frombuffer(b"".join([w[1] for w in found]), np.int64)
+            self._learn(keys, found, list(map(self.name, a.tolist())), list(map(self.name, ids_b)), to_a.tolist(), to_b.tolist(), first.tolist())
+        return len(a), len(b), ";".join(found), links
+
+    def _learn(self, keys: list[bytes], found: list[str | None], names_a: list[str], names_b: list[str], to_a: list[int], to_b: list[int], first: list[int]) -> None:
+        """Fills in the windows that are not known, from their own shared ends: window n has those from first[n] to first[n + 1]."""
+        for n, groups in enumerate(found):
+            if groups is None:
+                g, h = first[n], first[n + 1]
+                if h == g + 1:
+                    groups = f"{','.join(names_a[to_a[g] : to_a[h]])}|{','.join(names_b[to_b[g] : to_b[h]])}"
+                else:
+                    ends = zip(to_a[g:h], to_a[g + 1 : h + 1], to_b[g:h], to_b[g + 1 : h + 1], strict=True)
+                    groups = ";".join([f"{names_a[i] if x - i == 1 else ','.join(names_a[i:x])}|{names_b[j] if y - j == 1 else ','.join(names_b[j:y])}" for i, x, j, y in ends])
+                if len(keys[n]) <= 4 * WINDOW:
+                    self.windows.keep(keys[n], groups)
+                found[n] = groups
 
 
 @lru_cache(maxsize=2)
