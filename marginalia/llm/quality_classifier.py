@@ -13,15 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, chunks, mix, ship, texts_of
+from .common import BROADCAST_IDS, chunks, mix, ship, staged, texts_of
 
 BUCKETS, DIM, GRAMS = 1 << 15, 8, (3, 4)
 #: Labelled rows that training may use, at most (its only sample; scoring covers everything).  A row's bag holds at most
 #: BUCKETS entries of 6 bytes, a text of 3000 characters about 10 kB.
 TRAIN_ROWS = 3000
+#: Bytes of their features in the driver, at most; a text has up to 196 kB, most have some 5 kB.
+TRAIN_BYTES = 200_000_000
 #: Characters of a piece of a long text, about: pieces end at white space, so that no feature is cut.
 PIECE = 1 << 18
 EPOCHS, BATCH, RATE = 12, 32, 0.4
@@ -159,23 +161,28 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return model
 
 
-def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Embeddings:
-    """Fits on at most ``rows`` labelled documents, those with the smallest hashes of their ids.
+def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = TRAIN_BYTES) -> Embeddings:
+    """Fits on at most ``rows`` labelled documents, those with the smallest hashes of their ids, of ``max_bytes`` in all.
 
-    ``labelled`` holds (id, label); rows with a null in either, or a label other than 0 and 1, are left out.  The
-    sample's ids are few, so they are broadcast; features are taken on the executors from whole texts.
+    ``labelled`` holds (id, label); rows with a null in either, or a label other than 0 and 1, are left out, and an id
+    labelled both ways counts as 0.  Of rows that share a labelled id, the smallest text stands for all.  The sample's
+    ids are few, so they are broadcast; features are taken on the executors from whole texts and written.
     """
     ship(docs.sparkSession)
-    marks = labelled.toDF("_id", "_label").where("_id is not null and _label in (0, 1)").dropDuplicates(["_id"])
+    marks = labelled.toDF("_id", "_label").where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.min("_label").alias("_label"))
     marks = marks.orderBy(F.xxhash64("_id"), "_id").limit(min(rows, BROADCAST_IDS))
-    chosen = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "_id").select("_id", F.col("_label").cast("int").alias("label"), "text")
+    chosen = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "_id")
+    chosen = chosen.groupBy("_id").agg(F.first("_label").cast("int").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             found = bags(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("label"), pa.array([b.tobytes() for b, _ in found], pa.binary()), pa.array([c.tobytes() for _, c in found], pa.binary())], ["_id", "label", "buckets", "counts"])
 
-    got = chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary").toArrow()
+    made = staged(chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary"), "bags")
+    sizes = Window.orderBy(F.xxhash64("_id"), "_id")  # a row per document of the sample
+    room = made.select("_id", F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(sizes).alias("held")).where(F.col("held") <= max_bytes).select("_id")
+    got = made.join(F.broadcast(room), "_id").toArrow()
     order = np.argsort(got.column("_id").to_numpy(), kind="stable").tolist()
     labels = got.column("label").to_numpy()[order].astype(np.int64)
     # views of the gathered buffers, row by row: the driver holds the sample once
