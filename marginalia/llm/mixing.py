@@ -8,6 +8,7 @@ takes its quota: whole passes first, then blocks from a seeded one on, around th
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
@@ -22,29 +23,34 @@ from .common import WORD, chunks, if_small, ship, staged, texts_of, words
 WEIGHTS = (5, 2, 1)
 #: Words of a block; words and documents of a shard, on average at most; shards of a group; the most times that a source may be repeated.
 BLOCK, SHARD_WORDS, SHARD_DOCS, GROUP_SHARDS, MOST = 64, 1 << 16, 4096, 4096, 3
+#: Copies of a row that one task makes at once.
+COPIES = 1 << 16
 _WORD = re.compile(WORD)
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[int], total: int, most: int = MOST) -> list[float]:
-    """Shares of ``total`` by weight; none above ``most`` times its size, the excess shared anew by weight."""
-    share: list[Fraction] = [Fraction(0)] * len(sizes)
-    free, left = {i for i, s in enumerate(sizes) if s > 0}, Fraction(total)
-    while free:
-        each = left / sum(weights[i] for i in free)
-        over = {i for i in free if each * weights[i] > most * sizes[i]}
-        for i in over or free:
-            share[i] = Fraction(most * sizes[i]) if over else each * weights[i]
-        if not over:
+    """Shares of ``total`` by weight; none above ``most`` times its size, the excess shared anew by weight.
+
+    Sources reach their limits in the order of size by weight, so that one pass over them in that order settles all.
+    """
+    share = [0.0] * len(sizes)
+    order = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: Fraction(sizes[i], weights[i]))
+    left, weight = total, sum(weights[i] for i in order)
+    for at, i in enumerate(order):
+        if left * weights[i] <= most * sizes[i] * weight:  # nor does any later one reach its limit
+            for j in order[at:]:
+                share[j] = float(Fraction(left * weights[j], weight))
             break
-        left -= sum(share[i] for i in over)
-        free -= over
-    return [float(x) for x in share]
+        share[i] = float(most * sizes[i])
+        left -= most * sizes[i]
+        weight -= weights[i]
+    return share
 
 
 def sainte_lague(votes: Sequence[float], seats: int, limits: Sequence[int]) -> list[int]:
     """Seats by highest quotients votes / (2 k + 1), ties to the earlier entry, nobody above its limit.
 
-    The divisor is found by bisection, so the number of seats costs no time; what it leaves goes one by one.
+    The divisor is found by bisection, so the number of seats costs no time; the few that it leaves go by a heap of quotients.
     """
     got = [0] * len(votes)
     seats = min(seats, sum(n for v, n in zip(votes, limits, strict=True) if v > 0))
@@ -53,19 +59,38 @@ def sainte_lague(votes: Sequence[float], seats: int, limits: Sequence[int]) -> l
     low, high = 0.0, 2.0 * max(votes) + 1.0  # at the divisor ``high`` nobody has a seat
     for _ in range(200):
         mid = (low + high) / 2
-        if mid <= 0:
+        if not low < mid < high:
             break
         if sum(min(n, int(v / mid + 0.5)) for v, n in zip(votes, limits, strict=True)) > seats:
             low = mid
         else:
             high = mid
     got = [min(n, int(v / high + 0.5)) for v, n in zip(votes, limits, strict=True)]
-    while sum(got) < seats:
-        i = max((i for i, v in enumerate(votes) if v > 0 and got[i] < limits[i]), key=lambda i: (votes[i] / (2 * got[i] + 1), -i))
+    left = seats - sum(got)
+    queue = [(-v / (2 * got[i] + 1), i) for i, v in enumerate(votes) if v > 0 and got[i] < limits[i]] if left else []
+    heapq.heapify(queue)
+    for _ in range(left):
+        i = queue[0][1]
         got[i] += 1
+        if got[i] < limits[i]:
+            heapq.heapreplace(queue, (-votes[i] / (2 * got[i] + 1), i))
+        else:
+            heapq.heappop(queue)
     return got
 
 
+def repeated(counted: DataFrame) -> DataFrame:
+    """A row ``copy`` = 0, 1, ... for each of the ``n`` rows that a row of ``counted`` (written) stands for.
+
+    Rows of up to ``COPIES`` copies are spread where they are; larger ones first into parts of so many, dealt anew.
+    """
+    few = counted.where(f"n <= {COPIES}").withColumn("part", F.lit(0).cast("long"))
+    many = counted.where(f"n > {COPIES}").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("key", "part")
+    last = F.least(F.col("n"), (F.col("part") + 1) * COPIES) - 1
+    both = few.unionByName(many)
+    return both.withColumn("copy", F.explode(F.sequence(F.col("part") * COPIES, last))).drop("n", "part")
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, seed: int = 7, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, passes, spans, key) of every row.
 
@@ -79,8 +104,9 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLO
     spark = docs.sparkSession
     ship(spark)
     text = F.col(text_col).cast("string")
-    sized = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("key")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(text)).cast("long").alias("size"), F.xxhash64(text).alias("key"))
+    sized = staged(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("docs")).collect()
     order = sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in order]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(order))], sum(sizes), most)
@@ -88,7 +114,10 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLO
     rows = [(r["source"], i, r["size"], t, max(1, -(-r["size"] // SHARD_WORDS), -(-r["docs"] // SHARD_DOCS))) for i, (r, t) in enumerate(zip(order, targets, strict=True))]
     sources = if_small(spark.createDataFrame(rows, "source string, no int, source_size long, target double, shards long"))
 
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "key", "no", "source_size", "target", "shards", F.xxhash64(F.lit(seed), "doc_id", "size", "key").alias("at"))
+    at = F.xxhash64(F.lit(seed), "doc_id", "size", "key")
+    at = F.when(F.col("copy") == 0, at).otherwise(F.xxhash64(at, "copy"))  # equal rows are spread over the shards
+    rows = repeated(sized)
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select("doc_id", "size", "key", "no", "source_size", "target", "shards", at.alias("at"))
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("at", F.lit("shard")), F.col("shards"))).drop("shards")
     line = Window.partitionBy("no", "shard").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = staged(placed.withColumn("stop", F.sum("size").over(line)).withColumn("start", F.col("stop") - F.col("size")).drop("at"), "placed")
@@ -131,11 +160,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix_plan(docs, id_col=id_col, text_col=text_col, **options).where((F.col("passes") > 0) | (F.size("spans") > 0))
     # keys without nulls: the shuffle that finds equal rows then serves the join as well, and texts move once
     named = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))
-    # equal rows lie side by side in their shard: few ways of being taken, however many they are
+    # equal rows have few ways of being taken in a shard, whole or up to a block's end: their texts meet a row for each
     ways = plan.groupBy(named(F.col("doc_id")).alias("_id"), F.col("key").alias("_key"), "passes", "spans").agg(F.count(F.lit(1)).alias("n"))
-    wanted = ways.groupBy("_id", "_key").agg(F.collect_list(F.struct("passes", "spans", "n")).alias("_mix"))
+    ways = ways.select("_id", "_key", F.struct("passes", "spans", "n").alias("_mix"))
     rows = docs.withColumn("_id", named(F.col(id_col))).withColumn("_key", F.xxhash64(F.col(text_col).cast("string"))).dropDuplicates(["_id", "_key"])
-    both = rows.join(wanted, ["_id", "_key"]).select(*docs.columns, F.explode("_mix").alias("_mix"))
+    both = rows.join(ways, ["_id", "_key"]).select(*docs.columns, "_mix")
     times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
     whole = both.where("_mix.passes > 0").withColumn("_n", times(F.col("_mix.passes") * F.col("_mix.n"))).select(*docs.columns)
     names, at = docs.columns, docs.columns.index(text_col)
