@@ -4,8 +4,8 @@ Every page is parsed to a tree whose element subtrees are hashed twice: by conte
 names and nesting; text, links and the number of equal neighbours left out).  Spark counts, per host, on how many
 different contents each hash occurs; subtrees that recur across many are the site's template and are deleted.  The
 content hash stands for any block outside the article, and for containers inside; the shape hash finds apparatus whose
-words change from page to page, so it stands only for elements that are apparatus by tag, role or name, or that hold
-hardly more than links.
+words change from page to page (reader comments, sidebars, notices), so it stands only for elements that are apparatus
+by tag, role or name, inside articles by a name that no part of an article has, or that hold hardly more than links.
 
 A host of few pages gives no counts.  What its tag, role or whole class name shows to hold no article text
 (navigation, adverts, forms, scripts ...) therefore goes on every page, after the templates.  The rest of the article is
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,26 +43,32 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select", "datalist"), "tbody": ("table",), "tfoot": ("table",)}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Whole classes and ids that never hold article text; their elements go wherever they are.
-UNMISTAKABLE = frozenset("ad ads advert adverts advertisement advertisements adsense cookie-notice cookie-banner cookie-consent gdpr-notice consent-banner newsletter-signup breadcrumb breadcrumbs pagination navbar site-header site-footer comments comment-list disqus_thread share-buttons social-share".split())
+UNMISTAKABLE = frozenset("ad ads advert adverts advertisement advertisements adsense cookie-notice cookie-banner cookie-consent gdpr-notice consent-banner newsletter-signup breadcrumb breadcrumbs pagination navbar site-header site-footer comments comment-list comment-section commentlist user-comments reader-comments sidebar related-links site-notice disqus_thread share-buttons social-share".split())
 #: Words of a class or id that may name apparatus: such an element goes where it recurs on its host, inside articles too.
-APPARATUS = frozenset("ad ads adv advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar masthead topbar header footer colophon comment comments respond replies disqus discussion share sharing social related recommended recommendations login search skip".split())
+APPARATUS = frozenset("ad ads adv advert adverts advertisement adsense advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar masthead topbar header footer colophon comment comments commentlist respond replies disqus discussion share sharing social related recommended recommendations login search skip".split())
+#: Those of them that never name a part of an article: such an element goes inside an article, too, if its shape recurs.
+WITHIN = frozenset("ad ads adv advert adverts advertisement adsense advertising sponsored promo cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall sidebar widget widgets nav navbar navigation breadcrumb breadcrumbs pager pagination toolbar comment comments commentlist respond replies disqus sharing social related recommended recommendations login".split())
 #: Elements that count as template inside an article, too; its paragraphs and headings are content however often they recur.
 CONTAINERS = frozenset("div section aside ul ol dl table figure header footer nav form".split())
 #: A menu: a container with so many links at least, and at least this share of its text in them.
 LISTS, MENU_LINKS, MENU_SHARE = frozenset("div section ul ol dl table center header".split()), 3, 0.8
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: A well-formed tag: nothing in it needs a second look, and a failed match ends inside the tag.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'=<>`/]++))?+)*+)\s*+(/?)>""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`/]+)))?""")
+_TAG_NAME, _GAP, _ATTRIBUTE_NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[a-zA-Z][^\s/>]*+", r"[\s/]*+", r"[^\s/>][^\s/>=]*+", r"\s*+=\s*+", r"[^\s>]++"))
+_COMMENT_END = re.compile(r"--!?>")
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("apparatus", "chars", "digest", "items", "linked", "links", "names", "shape", "suspect", "tag")
+    __slots__ = ("apparatus", "chars", "digest", "items", "linked", "links", "names", "shape", "suspect", "tag", "within")
 
     def __init__(self, tag: str, apparatus: bool, suspect: bool = False, names: str = ""):
         self.tag, self.apparatus, self.suspect, self.names, self.items = tag, apparatus, suspect, names, []
+        self.within = suspect and any(w.lower() in WITHIN for w in _NAME.findall(names))
         self.digest = self.shape = self.chars = self.linked = self.links = 0
 
     def seal(self) -> None:
@@ -91,15 +98,12 @@ class Node:
         return self.links >= MENU_LINKS and self.tag in LISTS and self.linked >= MENU_SHARE * self.chars
 
 
-def is_apparatus(tag: str, attributes: str) -> tuple[bool, bool, str]:
+def is_apparatus(tag: str, attributes: list[tuple[str, str]]) -> tuple[bool, bool, str]:
     """Whether an element is apparatus in any case, whether it is if it recurs, and its names without digits."""
     if tag in DROPPED:
         return True, False, ""
     suspect, names = False, ""
-    if not attributes:
-        return False, False, ""
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
+    for name, value in attributes:
         name = name.lower()
         if name in ("class", "id"):
             names += " " + _DIGITS.sub("", value)
@@ -114,16 +118,82 @@ def is_apparatus(tag: str, attributes: str) -> tuple[bool, bool, str]:
     return False, suspect, names
 
 
+def tag_at(page: str, at: int) -> tuple[str, list[tuple[str, str]], bool, int] | None:
+    """(name, attributes, closed in itself, end) of the tag whose name begins at ``at``, as browsers read it; None if it never ends.
+
+    Quotes open a value only after "="; a bare value runs to white space or ">".
+    """
+    m = _TAG_NAME.match(page, at)
+    tag, at, found = m[0], m.end(), []
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return tag, found, page[at - 1] == "/", at + 1
+        m = _ATTRIBUTE_NAME.match(page, at)
+        name, value, at = m[0], "", m.end()
+        if m := _EQUALS.match(page, at):
+            at = m.end()
+            if page[at : at + 1] in ('"', "'"):
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            elif m := _BARE.match(page, at):
+                value, at = m[0], m.end()
+        found.append((name, value))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, list[tuple[str, str]], bool, int]]:
+    """(kind, text or tag name, attributes, closed in itself, end) of a page's texts and tags, in one pass.
+
+    ``kind`` is "text", "open" or "close".  Comments and declarations give nothing.  A tag, comment or declaration that
+    never ends takes the rest of the page with it, as in browsers.  The caller may send the place to go on from.
+    """
+    at, n = 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        while 0 <= start and not (page[start + 1 : start + 2].isascii() and (page[start + 1 : start + 2].isalpha() or page[start + 1 : start + 2] in ("!", "?", "/"))):
+            start = page.find("<", start + 1)  # a "<" before anything else is text
+        if start != at:
+            end = n if start < 0 else start
+            yield "text", page[at:end], [], False, end
+            at = end
+            continue
+        sign = page[at + 1]
+        if page.startswith("<!--", at):
+            if page.startswith((">", "->"), at + 4):
+                at = page.find(">", at) + 1
+            else:
+                m = _COMMENT_END.search(page, at + 4)
+                at = m.end() if m else n
+        elif sign in "!?" or (sign == "/" and not (page[at + 2 : at + 3].isascii() and page[at + 2 : at + 3].isalpha())):
+            at = page.find(">", at) + 1 or n
+        else:
+            if m := _TAG.match(page, at):
+                tag, found, closed, at = m[2], [(name, next((v for v in values if v), "")) for name, *values in _ATTRIBUTE.findall(m[3])] if m[3] else [], bool(m[4]), m.end()
+            elif (read := tag_at(page, at + (2 if sign == "/" else 1))) is None:
+                return
+            else:
+                tag, found, closed, at = read
+            at = (yield "close" if sign == "/" else "open", tag.lower(), found, closed, at) or at
+
+
 def parse(page: str) -> Node:
     """The page's tree, every node sealed."""
     root = Node("#root", False)
-    stack, at = [root], 0
+    stack, depth = [root], Counter()
 
     def close(n: int) -> None:
         while len(stack) > n:
-            stack.pop().seal()
+            node = stack.pop()
+            depth[node.tag] -= 1
+            node.seal()
 
     def open_at(tags: tuple[str, ...], stops: frozenset | tuple) -> int:
+        if not any(depth[t] for t in tags):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -131,18 +201,17 @@ def parse(page: str) -> Node:
                 return 0
         return 0
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].items.append(page[at:])
+    read, back = tokens(page), None
+    while True:
+        try:
+            kind, tag, attributes, closed, at = read.send(back)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        back = None
+        if kind == "text":
+            stack[-1].items.append(tag)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if kind == "close":
             i = open_at((tag,), ("table", "td", "th") if tag not in ("table", "td", "th", "tr", "tbody", "thead", "tfoot", "article", "body", "html", "main", "div", "section") else ())
             if i:
                 close(i)
@@ -152,19 +221,18 @@ def parse(page: str) -> Node:
         if tag in CLOSES:
             while i := open_at(CLOSES[tag], HOLDS[tag]):
                 close(i)
-        node = Node(tag, *is_apparatus(tag, m[3]))
+        node = Node(tag, *is_apparatus(tag, attributes))
         stack[-1].items.append(node)
-        if tag in VOID or (m[3].endswith("/") and tag not in BLOCKS and tag not in RAW):
+        if tag in VOID or (closed and tag not in BLOCKS and tag not in RAW):
             continue
+        stack.append(node)
+        depth[tag] += 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             node.items.append(page[at : end.start() if end else len(page)])
-            stack.append(node)
             close(len(stack) - 1)
-            at = page.find(">", end.end() - 1) + 1 if end else len(page)
-            at = at or len(page)
-            continue
-        stack.append(node)
+            back = page.find(">", end.end() - 1) + 1 if end else 0
+            back = back or len(page)
     close(1)
     return root
 
@@ -193,7 +261,7 @@ def candidates(node: Node, within: bool) -> list[int]:
     found = []
     if node.items and (node.apparatus or node.suspect or node.tag in (CONTAINERS if within else BLOCKS)):
         found.append(node.digest)
-    if node.apparatus or (not within and (node.suspect or node.tag == "header" or node.is_menu())):
+    if node.apparatus or (node.within if within else node.suspect or node.tag == "header" or node.is_menu()):
         found.append(node.shape)
     return found
 
