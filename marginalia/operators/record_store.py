@@ -21,7 +21,7 @@ from marginalia.operators.shared import Rounds, cut, exists
 
 FIELDS = "seq long, source string, title string, doi string, pmid string, abstract string, journal string, publication_date string, license string, authors array<string>, publication_types array<string>, keywords array<string>, is_open_access boolean"
 _COLUMNS = [f.strip().split(" ")[0] for f in FIELDS.split(", ")]
-TABLES = {"log": (f"id long, {FIELDS}", "id"), "identifiers": ("key string, id long, full boolean", "key"), "sources": ("publication_id long, url string, seq long, source string, format string, version string", "publication_id")}
+TABLES = {"log": (f"id long, {FIELDS}", "id"), "identifiers": ("key string, id long, full boolean", "key"), "sources": ("publication_id long, url string, source string, format string, version string", "publication_id")}
 
 
 class RecordStore:
@@ -90,13 +90,17 @@ class RecordStore:
         return records.select("seq", "source").join(done, "seq")
 
     def add_sources(self, batch: int, rows: DataFrame) -> None:
-        """Full-text addresses (publication_id, url, seq, source, format, version); the first row of an address counts."""
-        self._write("sources", merge.insert_ignore(rows.limit(0), rows, ["publication_id", "url"]), batch)
+        """Full-text addresses (publication_id, url, seq, source, format, version); the first row of an address counts.
+
+        ``seq`` may be of any type that has an order; it orders the rows of one batch only.
+        """
+        first = rows.groupBy("publication_id", "url").agg(F.min_by(F.struct("source", "format", "version"), "seq").alias("r"))
+        self._write("sources", first.select("publication_id", "url", "r.*"), batch)
 
     def sources(self) -> DataFrame:
         """One row for each (publication, address): the first that came, batch by batch."""
         rest = ["source", "format", "version"]
-        rows = self.spark.table(self.table("sources")).groupBy("publication_id", "url").agg(F.min_by(F.struct(*rest), F.struct("batch", "seq")).alias("r"))
+        rows = self.spark.table(self.table("sources")).groupBy("publication_id", "url").agg(F.min_by(F.struct(*rest), "batch").alias("r"))
         return rows.select("publication_id", "url", *[F.col("r")[c].alias(c) for c in rest])
 
     def publications(self) -> DataFrame:
