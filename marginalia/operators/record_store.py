@@ -50,11 +50,12 @@ class RecordStore:
 
     def _write(self, which: str, rows: DataFrame, batch: int) -> None:
         """Replaces a batch's partition, a file for each bucket."""
-        key = TABLES[which][1]
+        key, spark = TABLES[which][1], rows.sparkSession  # a stream's batches have a session of their own
         columns = [c.split(" ")[0] for c in TABLES[which][0].split(", ")]
         rows.select(*columns).repartition(self.buckets, key).createOrReplaceTempView("_incoming")
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self.table(which)} PARTITION (batch = {int(batch)}) SELECT * FROM _incoming")
-        self.spark.catalog.dropTempView("_incoming")
+        spark.sql(f"INSERT OVERWRITE TABLE {self.table(which)} PARTITION (batch = {int(batch)}) SELECT * FROM _incoming")
+        spark.catalog.dropTempView("_incoming")
+        self.spark.catalog.refreshTable(self.table(which))
 
     def identifiers(self, before: int | None = None) -> DataFrame:
         """(key, id, full), the last word on each identifier; of the batches before one, or of all."""
