@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import fulltext, merge, quality, record_store, store
+from marginalia.operators import enrichment, fulltext, merge, quality, record_store, store, usage
 from marginalia.operators.shared import fresh_path
 from marginalia.plans.catalog import CLASSIFIED_SQL, HOST, classified, query, read
 
@@ -226,3 +226,37 @@ def jats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = F.concat(F.lit("<article><front><journal-meta><journal-title>"), "source", F.lit('</journal-title></journal-meta><article-meta><article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id></article-meta></front><body><sec><title>T</title>"), body, F.lit("</sec></body></article>"))
     parsed = jats.articles(read(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
     return parsed.select("id", "journal", "doi", F.size(F.col("body_sections")[0]["paragraphs"]).alias("n_paragraphs"), F.length("html").alias("n_html"), "error")
+
+
+@query("""
+    with l as (select user_id, ts, case when value >= 10 then concat('v', event_id) end as answer from events where event_id % 3 = 0),
+    r as (select event_id, user_id, ts from events where event_id % 3 = 1),
+    j as (select r.event_id, r.ts, l.ts as looked_at, l.answer from r asof left join l on r.user_id = l.user_id and r.ts >= l.ts)
+    select event_id, case when ts - looked_at <= interval 2 day then answer end as answer, coalesce(ts - looked_at <= interval 2 day, false) as known from j
+""")
+def enrichment_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event as a lookup of its user, some without an answer; others take the newest of the last two days."""
+    e = read(spark, sf_dir, "events")
+    lookups = e.where("event_id % 3 = 0").select("user_id", F.col("ts").alias("at"), F.when(F.col("value") >= 10, F.concat(F.lit("v"), "event_id")).alias("answer"))
+    rows = enrichment.as_of(e.where("event_id % 3 = 1").select("event_id", "user_id", F.col("ts").alias("at")), lookups, "user_id", 2)
+    return rows.select("event_id", F.col("lookup.answer").alias("answer"), F.col("lookup").isNotNull().alias("known"))
+
+
+@query("""
+    with q as (select o_orderpriority as model, date_trunc('quarter', o_orderdate) as q, count(*) as n from orders group by all),
+    p as (select model, q::timestamp as valid_from, case when n % 4 <> 0 then (q + interval 3 month)::timestamp end as valid_to, 1.0 + n % 7 as input_price, 2.0 + n % 5 as output_price from q where extract(quarter from q) % 2 = 1),
+    s as (select *, lead(valid_from) over (partition by model order by valid_from) as later from p),
+    f as (select o_orderpriority as model, (max(o_orderkey) % 10)::double as input_price, (max(o_custkey) % 10)::double as output_price from orders where o_orderpriority < '4' group by 1),
+    c as (select o_orderkey as call_id, o_orderpriority as model, o_orderdate as called, floor(o_totalprice) as i, o_orderkey % 1000 as o from orders)
+    select call_id, c.i / 1e6 * coalesce(s.input_price, f.input_price, 1.5) + c.o / 1e6 * coalesce(s.output_price, f.output_price, 6.0) as cost
+    from c left join s on c.model = s.model and called >= valid_from and called < least(coalesce(valid_to, later, timestamp '9999-01-01'), coalesce(later, timestamp '9999-01-01')) left join f on c.model = f.model
+""")
+def cost_by_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as calls, priced by a list of each model's quarters with gaps and open ends, then by fallback lists."""
+    o = read(spark, sf_dir, "orders")
+    quarters = o.groupBy(F.col("o_orderpriority").alias("model"), F.date_trunc("quarter", "o_orderdate").alias("valid_from")).agg(F.count(F.lit(1)).alias("n")).where(F.quarter("valid_from") % 2 == 1)
+    end = F.when(F.col("n") % 4 != 0, F.date_trunc("quarter", F.add_months("valid_from", 3)))
+    prices = quarters.select("model", "valid_from", end.alias("valid_to"), (1.0 + F.col("n") % 7).alias("input_price"), (2.0 + F.col("n") % 5).alias("output_price"))
+    fallback = o.where("o_orderpriority < '4'").groupBy(F.col("o_orderpriority").alias("model")).agg((F.max("o_orderkey") % 10).cast("double").alias("input_price"), (F.max("o_custkey") % 10).cast("double").alias("output_price"))
+    calls = o.select(F.col("o_orderkey").alias("call_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("at"), F.floor("o_totalprice").cast("double").alias("input_tokens"), (F.col("o_orderkey") % 1000).alias("output_tokens"))
+    return usage.with_cost_at(calls, prices, fallback, (1.5, 6.0)).select("call_id", "cost")

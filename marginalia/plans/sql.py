@@ -1,15 +1,12 @@
-"""Pass-through SQL, migrations, and commits of whole tables."""
+"""Pass-through SQL and migrations."""
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
 
 
 def execute(spark: SparkSession, statement: str, args: Sequence[Any] = ()) -> DataFrame:
@@ -46,39 +43,6 @@ def create_tables(spark: SparkSession, ddl: str) -> None:
         spark.sql(statement)
 
 
-class StagedTable:
-    """A Parquet table whose readers see whole commits only.
-
-    Each commit is a directory of its own; a pointer file, written last, names the current one.  Readers resolve the
-    pointer once, so a failed writer leaves nothing behind that anybody reads.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def current(self) -> str | None:
-        """Where the last commit is; of two that took the same number, the one whose name comes last."""
-        try:
-            pointers = self.spark.read.schema("n long, path string").json(f"{self.root}/pointers")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        last = pointers.orderBy(F.desc("n"), F.desc("path")).first()
-        return f"{self.root}/{last['path']}" if last else None
-
-    def read(self) -> DataFrame | None:
-        path = self.current()
-        return None if path is None else self.spark.read.parquet(path)
-
-    def commit(self, df: DataFrame) -> None:
-        path = self.current()
-        n = int(path.rsplit("/", 1)[1].split("-")[0]) + 1 if path else 1
-        name = f"{n:09d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{name}")
-        self.spark.range(1).select(F.lit(json.dumps({"n": n, "path": name})).alias("value")).coalesce(1).write.mode("append").text(f"{self.root}/pointers")
-
-
 @dataclass(frozen=True)
 class Migration:
     version: int

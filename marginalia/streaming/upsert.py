@@ -1,61 +1,57 @@
 """Records that arrive in a stream, merged into a Parquet table batch by batch.
 
-Late rows merge like all others: nothing is dropped by a watermark.  A batch that is delivered again changes nothing,
-since rows are folded by key in order of ``seq``.  The table is partitioned by a hash of the key, and a batch rewrites
-only the partitions that it touches.
+Late rows merge like all others: nothing is dropped by a watermark.  Each batch, folded by key, is a partition of its
+own (the stream's label and the batch's number), and the table is a fold of all of them.  A batch that is delivered
+again, or that was lost between its parts, writes the same partition again; nothing that another batch wrote is touched.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marginalia.operators.shared import cut
+from marginalia.operators.shared import exists
 
-#: Partitions of the table by the hash of the key.
-BUCKETS = 256
 
+def fold_batch(path: str, key: Sequence[str], seq: str = "seq", label: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that writes a batch as ``label``'s partition of that number.
 
-def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table as it is; empty where nothing has been written yet."""
-    try:
-        return spark.read.schema(f"{schema}, bucket int").parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], f"{schema}, bucket int")
-        raise
+    The first row of a key stays, later rows fill its nulls: of each column the first value is written, with its ``seq``.
+    """
 
+    def run(batch: DataFrame, n: int) -> None:
+        firsts(batch, key, seq).write.mode("overwrite").parquet(f"{path}/label={label}/batch={n}")
 
-def fold_batch(path: str, key: Sequence[str], seq: str = "seq", buckets: int = BUCKETS):
-    """A ``foreachBatch`` function: the first row of a key stays, later rows fill its nulls.
+    return run
 
-    The new state of the touched partitions is written aside first, so that a batch that fails may run again.
-    """
 
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-        fresh = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))  # the source is read once
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
-        if not touched:
-            return
-        rows = read_table(spark, path, schema).where(F.col("bucket").isin(touched)).unionByName(fresh)
-        columns = [c for c in batch.columns if c not in (*key, seq)]
-        filled = [F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(seq), F.col(c)))).getField(c).alias(c) for c in columns]
-        state = cut(rows.groupBy("bucket", *key).agg(F.min(seq).alias(seq), *filled).select(*batch.columns, "bucket"))
-        state.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def firsts(rows: DataFrame, key: Sequence[str], seq: str = "seq") -> DataFrame:
+    """For each key its smallest ``seq``, and of each other column the first value with its ``seq``."""
+    columns = [c for c in rows.columns if c not in (*key, seq)]
+    return rows.groupBy(*key).agg(F.min(seq).alias(seq), *[F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(seq).alias("at"), F.col(c).alias("value")))).alias(c) for c in columns])
 
-    return run
+
+def read_table(spark: SparkSession, path: str, schema: str, key: Sequence[str], seq: str = "seq") -> DataFrame:
+    """The table as it is, with the columns of ``schema``; empty where nothing has been written yet."""
+    plain = spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return plain
+    columns = [c for c in plain.columns if c not in (*key, seq)]
+    rows = spark.read.schema(firsts(plain, key, seq).schema).parquet(path)
+    table = rows.groupBy(*key).agg(F.min(seq).alias(seq), *[F.min(c).getField("value").alias(c) for c in columns])
+    return table.select(*plain.columns)
 
 
 def start_upsert(stream: DataFrame, path: str, key: Sequence[str], checkpoint: str, seq: str = "seq") -> StreamingQuery:
-    """Works off what is there, then ends; run it again for what came since."""
-    return stream.writeStream.foreachBatch(fold_batch(path, key, seq)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Works off what is there, then ends; run it again for what came since.  Batches are labelled by their checkpoint."""
+    label = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return stream.writeStream.foreachBatch(fold_batch(path, key, seq, label)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(query: StreamingQuery) -> list[tuple[int, int]]:
-    """(batch, rows read) of the batches that a query has worked off lately."""
+    """(batch, rows read) of the batches that a query has worked off lately; ``publications.ProgressTable`` keeps them all."""
     return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
