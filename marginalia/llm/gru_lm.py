@@ -34,6 +34,8 @@ FREQUENT = 1 << 16
 WINDOW, LANES, ROUNDS, STEP = 16, 256, 2, 0.004
 #: Training tokens of a partition, on average, and of a stretch, at most: longer texts are cut before they are dealt.
 PART_TOKENS, STRETCH = 1 << 20, 1 << 10
+#: Tasks whose weights one task averages.
+FAN_IN = 64
 FLOOR = 0.1
 #: Lower-cases A-Z in UTF-8; bytes.split() then cuts at U+0009..U+000D and the space, and nowhere else.
 LOWER = bytes(range(256)).translate(bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode()))
@@ -389,6 +391,37 @@ def word_counts(texts: DataFrame, held: int = 1 << 17) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def averaged(local: DataFrame, parts: int) -> DataFrame:
+    """The weighted mean of each piece of (piece, weight, values), of which ``parts`` tasks give one each, as a tree.
+
+    A task of a level takes the pieces of ``FAN_IN`` tasks, as they come, into one running mean of the model's size; so
+    no group grows with the number of tasks.
+    """
+    schema = "piece int, weight double, values binary"
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        means: dict[int, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for piece, weight, values in zip(*(batch.column(c).to_pylist() for c in ("piece", "weight", "values")), strict=True):
+                before, mean = means.get(piece, (0.0, 0.0))
+                means[piece] = before + weight, mean + (np.frombuffer(values, np.float64) - mean) * (weight / (before + weight))
+        if means:
+            found = sorted(means.items())
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([w for _, (w, _) in found]), pa.array([m.tobytes() for _, (_, m) in found], pa.binary())], ["piece", "weight", "values"])
+
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        # all pieces of a task go one way, so that each task of the next level has a model's worth of each
+        local = local.withColumn("_to", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition(parts, "_to").drop("_to").mapInArrow(joined, schema)
+
+    def average(group: pd.DataFrame) -> pd.DataFrame:
+        values = np.stack([np.frombuffer(v, np.float64) for v in group["values"]])
+        mean = np.average(values, axis=0, weights=group["weight"].to_numpy())
+        return pd.DataFrame({"piece": [group["piece"].iloc[0]], "weight": [group["weight"].sum()], "values": [mean.tobytes()]})
+
+    return local.groupBy("piece").applyInPandas(average, schema)
+
+
 def train_network(encoded: DataFrame, net: Net, tokens: int, piece: int = 4096) -> tuple[Net, int]:
     """Rounds of local training and averaging on (doc_id, row, symbols).
 
@@ -417,14 +450,9 @@ def train_network(encoded: DataFrame, net: Net, tokens: int, piece: int = 4096)
                 cells = [flat[i : i + piece] for i in range(0, len(flat), piece)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(cells)), pa.int32()), pa.array([float(seen)] * len(cells)), pa.array([c.tobytes() for c in cells], pa.binary())], ["piece", "weight", "values"])
 
-        def average(group: pd.DataFrame) -> pd.DataFrame:
-            values = np.stack([np.frombuffer(v, np.float64) for v in group["values"]])
-            mean = np.average(values, axis=0, weights=group["weight"].to_numpy())
-            return pd.DataFrame({"piece": [group["piece"].iloc[0]], "weight": [group["weight"].sum()], "values": [mean.tobytes()]})
-
         shard = parts.where(F.pmod(F.xxhash64("deal", "part", F.lit("round")), F.lit(ROUNDS)) == r).repartition(workers, "deal", "part").sortWithinPartitions("deal", "part").select("symbols")
         local = shard.mapInArrow(run, "piece int, weight double, values binary")
-        rows = local.groupBy("piece").applyInPandas(average, "piece int, weight double, values binary").collect()  # the model's size
+        rows = averaged(local, workers).collect()  # the model's size
         if rows:
             learned += int(rows[0]["weight"])
             net = Net(np.concatenate([np.frombuffer(x["values"], np.float64) for x in sorted(rows, key=lambda x: x["piece"])]))
