@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.dims import VERSIONS
@@ -127,3 +127,16 @@ def to_publications(records: DataFrame, source: str) -> DataFrame:
 def fulltext_rows(records: DataFrame, id_col: str = "id") -> DataFrame:
     one = records.select(F.col(id_col).alias("publication_id"), F.explode("fulltext_sources").alias("s"))
     return one.select("publication_id", F.coalesce("s.source", F.lit("unknown")).alias("source"), "s.url", F.coalesce("s.format", F.lit("html")).alias("format"), "s.version")
+
+
+def citation_files(spark: SparkSession, path: str, tag: str = "PubmedArticle") -> DataFrame:
+    """(id, xml) of every ``tag`` element in large XML files, which are split at the elements' ends.
+
+    A file of thirty thousand articles is as many tasks as its size asks for: what a task reads ends with the element's
+    closing tag (``lineSep`` of the text source, which also finds its place in the middle of a file), and what stands
+    before the opening tag, a file's head, is left out; so is a file's end.  ``id`` is a hash of the element's text.
+    Compressed files are read by one task each, as their formats ask.
+    """
+    parts = spark.read.option("lineSep", f"</{tag}>").text(path)
+    found = F.regexp_extract("value", rf"(?s).*?(<{tag}[\s>].*)", 1)
+    return parts.select(found.alias("_x")).where("_x <> ''").select(F.xxhash64("_x").alias("id"), F.concat("_x", F.lit(f"</{tag}>")).alias("xml"))
