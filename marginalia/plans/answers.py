@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.functions import record_json
 from marginalia.functions import text as T
 from marginalia.operators import enrichment, fulltext, merge, quality, record_store, store, usage
 from marginalia.operators.shared import fresh_path
@@ -213,10 +214,10 @@ def store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
     with d as (select doc_id as id, source, string_split(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(10)) as lines from documents),
-    p as (select *, list_transform(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), lambda x: 7 + length(regexp_replace(
-            replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\[([^\]]+)\]\(([^)]+)\)', '<a href="\2">\1</a>', 'g'))) as sizes from d)
-    select id, source as journal, concat('10.1/', id) as doi, len(lines)::int as n_paragraphs,
-           (length(concat('<p class="journal-info"><em>', source, '</em></p>', '<p class="identifiers">DOI: <a href="https://doi.org/10.1/', id, '">10.1/', id, '</a></p>', '<h2>T</h2>')) + 2 + coalesce(list_sum(sizes), 0) + len(sizes))::int as n_html, null::varchar as error from p
+    p as (select *, list_transform(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), lambda x: concat('<p>', regexp_replace(
+            replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\[([^\]]+)\]\(([^)]+)\)', '<a href="\2">\1</a>', 'g'), '</p>')) as shown from d),
+    h as (select *, array_to_string(list_concat([concat('<p class="journal-info"><em>', source, '</em></p>'), concat('<p class="identifiers">DOI: <a href="https://doi.org/10.1/', id, '">10.1/', id, '</a></p>'), '<h2>T</h2>'], shown), chr(10)) as html from p)
+    select id, source as journal, concat('10.1/', id) as doi, len(lines)::int as n_paragraphs, length(html)::int as n_html, md5(html) as html_md5, null::varchar as error from h
 """)
 def jats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped as journal articles and parsed again."""
@@ -225,7 +226,7 @@ def jats_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.array_join(F.transform(F.split(F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), "\n"), lambda x: F.concat(F.lit("<p>"), T.html_escape(x), F.lit("</p>"))), "")
     xml = F.concat(F.lit("<article><front><journal-meta><journal-title>"), "source", F.lit('</journal-title></journal-meta><article-meta><article-id pub-id-type="doi">10.1/'), "doc_id", F.lit("</article-id></article-meta></front><body><sec><title>T</title>"), body, F.lit("</sec></body></article>"))
     parsed = jats.articles(read(spark, sf_dir, "documents").select("doc_id", xml.alias("xml")), "doc_id", "xml")
-    return parsed.select("id", "journal", "doi", F.size(F.col("body_sections")[0]["paragraphs"]).alias("n_paragraphs"), F.length("html").alias("n_html"), "error")
+    return parsed.select("id", "journal", "doi", F.size(F.col("body_sections")[0]["paragraphs"]).alias("n_paragraphs"), F.length("html").alias("n_html"), F.md5(F.col("html").cast("binary")).alias("html_md5"), "error")
 
 
 @query("""
@@ -260,3 +261,22 @@ def cost_by_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fallback = o.where("o_orderpriority < '4'").groupBy(F.col("o_orderpriority").alias("model")).agg((F.max("o_orderkey") % 10).cast("double").alias("input_price"), (F.max("o_custkey") % 10).cast("double").alias("output_price"))
     calls = o.select(F.col("o_orderkey").alias("call_id"), F.col("o_orderpriority").alias("model"), F.col("o_orderdate").alias("at"), F.floor("o_totalprice").cast("double").alias("input_tokens"), (F.col("o_orderkey") % 1000).alias("output_tokens"))
     return usage.with_cost_at(calls, prices, fallback, (1.5, 6.0)).select("call_id", "cost")
+
+
+@query("""
+    with e as (select event_id, (props->>'k')::int as k, event_type from events)
+    select event_id, case when k % 7 = 0 then null when k % 5 = 0 then null else concat('{"document_id":"', event_id, '","transparency_score":', k, ',"risk_level":"', case k % 3 when 0 then 'low' when 1 then 'high' else 'unknown' end,
+           '","industry_funding_detected":', case when k % 2 = 0 then 'true' else 'false' end, ',"industry_funding_confidence":0.0,"data_availability_level":', case when k % 4 = 1 then 'null' when k % 4 = 2 then '"on_request"' else '"unknown"' end,
+           ',"coi_disclosed":true,"trial_registered":false,"trial_results_compliant":false,"outcome_switching_detected":false,"risk_indicators":', case when k % 2 = 0 then concat('["', event_type, '"]') else '[]' end,
+           ',"tier_downgrade_applied":0,"analyzed_at":null,"analyzer_version":"1.0"}') end as json from e
+""")
+def transparency_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transparency results from JSON with keys missing, null, or of no allowed value, and as JSON again."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    risk = F.when(k % 5 == 0, "extreme").otherwise(F.element_at(F.array(*map(F.lit, ("low", "high", "unknown"))), k % 3 + 1))
+    flags = F.when(k % 2 == 0, F.concat(F.lit(',"industry_funding_detected":true,"risk_indicators":["'), "event_type", F.lit('"]'))).otherwise("")
+    level = F.when(k % 4 == 1, ',"data_availability_level":null').when(k % 4 == 2, ',"data_availability_level":"on_request"').otherwise("")
+    known = F.when(k % 7 == 0, F.lit("{")).otherwise(F.concat(F.lit('{"document_id":"'), "event_id", F.lit('",')))
+    text = F.concat(known, F.lit('"transparency_score":'), k.cast("string"), F.lit(',"risk_level":"'), risk, F.lit('"'), flags, level, F.lit("}"))
+    rows = read(spark, sf_dir, "events").select("event_id", record_json.transparency(text).alias("r"))
+    return rows.select("event_id", record_json.transparency_json(F.col("r")).alias("json"))
