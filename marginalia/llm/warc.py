@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, ship, staged
@@ -121,20 +121,16 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT, segm
     """Writes (page_id, url, payload binary) as gzip-compressed WARC files under ``path``.
 
     Pages stay where they are read unless more than ``copies_bound`` payloads repeat (about 80 bytes each are
-    broadcast below that); then they are joined by digest.  Only rows that repeat a page_id and its payload are
-    shuffled, to be numbered.
+    broadcast below that); then they are joined by digest.  Rows that repeat a page_id and its payload get a number of
+    their own, by partition and place in it, so that no task gathers them.
     """
     ship(pages.sparkSession)
     copies = staged(first_copies(pages, least), "copies")
     few = copies.limit(copies_bound + 1).count() <= copies_bound
     keyed = pages.withColumn("digest", F.sha2("payload", 256)).join(F.broadcast(copies) if few else copies, "digest", "left")
     refers = F.when(F.col("first") < F.col("page_id"), F.col("first"))
-    if copies.where("most > 1").limit(1).count():
-        number = F.row_number().over(Window.partitionBy("digest", "page_id").orderBy("url")) - 1
-        again = F.coalesce(F.col("most") > 1, F.lit(False))
-        keyed = keyed.where(~again).withColumn("ordinal", F.lit(0)).unionByName(keyed.where(again).withColumn("ordinal", number))
-    else:
-        keyed = keyed.withColumn("ordinal", F.lit(0))
+    again = F.coalesce(F.col("most") > 1, F.lit(False))
+    keyed = keyed.withColumn("ordinal", F.when(again, F.monotonically_increasing_id() + 1).otherwise(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "payload"):
