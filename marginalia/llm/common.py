@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -16,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators.shared import fresh_path
+
 #: Separators between words: space and U+0009..U+000D; every other character is part of a word.
 SEPARATOR = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,18 +29,8 @@ BATCH_ROWS = 2000
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
-
-    Where the session names none, a local master gets a temporary folder; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+#: A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``).
+scratch = fresh_path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +43,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once per application, as ``--py-files`` would.
 
-    Rows hold whole texts, so Arrow batches get fewer rows than Spark's default, unless the session has its own number.
+    Rows hold whole texts, so Arrow batches get fewer rows than Spark's default.  That is a setting of the session, which
+    has no other way to say it: where it holds the default of 10,000, it is set to ``BATCH_ROWS`` and stays so.
     """
     if spark.conf.get(_ROWS_KEY) == "10000":
         spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))

@@ -1,8 +1,10 @@
 """Token counts by rank-synchronous array merging.
 
 Texts are cut before each run of word-start marks; the distinct pre-tokens of a run of rows are held as ragged
-arrays of characters and merged together (``merging.merge_batch``).  A symbol that survives counts once, or once
-per UTF-8 byte if the vocabulary lacks it.
+arrays of characters and merged together (``merging.merge_batch``): each round, every sequence applies its lowest-rank
+pair.  There are two layouts of the same rounds: sequences of up to ``merging.LONG`` symbols lie side by side, a longer
+one keeps the places of each rank in arrays of its own, since a round over all of it would cost its length.  A symbol
+that survives counts once, or once per UTF-8 byte if the vocabulary lacks it.
 """
 
 from __future__ import annotations
