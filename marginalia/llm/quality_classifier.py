@@ -161,8 +161,8 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     return model
 
 
-def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = TRAIN_BYTES) -> Embeddings:
-    """Fits on at most ``rows`` labelled documents, those with the smallest hashes of their ids, of ``max_bytes`` in all.
+def sample(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(_id, label, buckets, counts) of at most ``rows`` labelled documents, those with the smallest hashes of their ids, of ``max_bytes`` in all.
 
     ``labelled`` holds (id, label); rows with a null in either, or a label other than 0 and 1, are left out, and an id
     labelled both ways counts as 0.  Of rows that share a labelled id, the smallest text stands for all.  The sample's
@@ -182,12 +182,28 @@ def train(docs: DataFrame, labelled: DataFrame, rows: int = TRAIN_ROWS, id_col:
     made = staged(chosen.mapInArrow(run, "_id long, label int, buckets binary, counts binary"), "bags")
     sizes = Window.orderBy(F.xxhash64("_id"), "_id")  # a row per document of the sample
     room = made.select("_id", F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(sizes).alias("held")).where(F.col("held") <= max_bytes).select("_id")
-    got = made.join(F.broadcast(room), "_id").toArrow()
-    order = np.argsort(got.column("_id").to_numpy(), kind="stable").tolist()
-    labels = got.column("label").to_numpy()[order].astype(np.int64)
-    # views of the gathered buffers, row by row: the driver holds the sample once
-    kept = [tuple(np.frombuffer(got.column(c)[i].as_buffer(), kind) for c, kind in (("buckets", np.uint16), ("counts", np.uint32))) for i in order]
-    return fit(kept, labels) if kept else Embeddings(np.zeros((BUCKETS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
+    return made.join(F.broadcast(room), "_id")
+
+
+def train(docs: DataFrame, labelled: DataFrame, **options) -> Embeddings:
+    """Fits on the documents of ``sample``, which takes the same arguments.
+
+    One task holds the sample and fits; the driver gets the model only, a megabyte or two.
+    """
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if some:
+            got = pa.Table.from_batches(some)
+            order = np.argsort(got.column("_id").to_numpy(), kind="stable").tolist()
+            kept = [tuple(np.frombuffer(got.column(c)[i].as_buffer(), kind) for c, kind in (("buckets", np.uint16), ("counts", np.uint32))) for i in order]
+            model = fit(kept, got.column("label").to_numpy()[order].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.vectors, model.weights, model.bias)], ["vectors", "weights", "bias"])
+
+    rows = sample(docs, labelled, **options)
+    found = rows.repartition(1).mapInArrow(fitted, "vectors binary, weights binary, bias binary").collect()
+    flat = [np.frombuffer(found[0][c], float) if found else None for c in ("vectors", "weights", "bias")]
+    return Embeddings(*(np.zeros(shape) if x is None else x.reshape(shape).copy() for x, shape in zip(flat, ((BUCKETS, DIM), (DIM, 2), (2,)), strict=True)))
 
 
 def quality_scores(docs: DataFrame, model: Embeddings, text_col: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:

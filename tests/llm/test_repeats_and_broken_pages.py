@@ -3,6 +3,7 @@
 import time
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -10,41 +11,33 @@ from pyspark.sql import functions as F
 from marginalia.llm import html_text, mixing, quality_classifier
 
 
-def gathered(monkeypatch):
-    """What reaches ``fit``."""
-    seen = {}
+def labels_of(docs, labels, **options):
+    """Labels of the sample that training fits on, by id."""
+    return {r["_id"]: r["label"] for r in quality_classifier.sample(docs, labels, **options).collect()}
 
-    def fit(bags, labels, seed=3):
-        seen["bags"], seen["labels"] = len(bags), labels.tolist()
-        return quality_classifier.Embeddings(*(quality_classifier.np.zeros(s) for s in ((quality_classifier.BUCKETS, quality_classifier.DIM), (quality_classifier.DIM, 2), 2)))
 
-    monkeypatch.setattr(quality_classifier, "fit", fit)
-    return seen
-
-
-def test_rows_of_one_labelled_id_are_one_example(spark, monkeypatch):
-    seen = gathered(monkeypatch)
+def test_rows_of_one_labelled_id_are_one_example(spark):
     docs = spark.range(5001).select(F.when(F.col("id") < 5000, 1).otherwise(2).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
-    quality_classifier.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
-    assert seen == {"bags": 2, "labels": [1, 0]}
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality_classifier.sample(docs, labels).count() == 2 and labels_of(docs, labels) == {1: 1, 2: 0}
 
 
-def test_labels_in_conflict_do_not_depend_on_order(spark, monkeypatch):
-    seen = gathered(monkeypatch)
+def test_labels_in_conflict_do_not_depend_on_order(spark):
     docs = spark.createDataFrame([(i, f"word {i}") for i in range(4)], "doc_id long, text string")
     for rows in ([(1, 0), (1, 1), (2, 1), (3, None), (None, 1), (0, 7)], [(2, 1), (1, 1), (1, 0), (0, 7)]):
-        quality_classifier.train(docs, spark.createDataFrame(rows, "doc_id long, quality int"))
-        assert seen == {"bags": 2, "labels": [0, 1]}
+        assert labels_of(docs, spark.createDataFrame(rows, "doc_id long, quality int")) == {1: 0, 2: 1}
 
 
-def test_training_bytes_are_bounded(spark, monkeypatch):
-    seen = gathered(monkeypatch)
+def test_training_is_bounded_and_fits_in_a_task(spark):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(40)), lambda x: F.md5((x + F.col("id") * 100).cast("string")))).alias("text"))
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
-    quality_classifier.train(docs, labels)
-    assert seen["bags"] == 50
-    quality_classifier.train(docs, labels, max_bytes=100_000)
-    assert 0 < seen["bags"] < 20
+    assert len(labels_of(docs, labels)) == 50 and len(labels_of(docs, labels, rows=7)) == 7
+    assert 0 < len(labels_of(docs, labels, max_bytes=100_000)) < 20
+    rows = sorted(quality_classifier.sample(docs, labels).collect())
+    plain = quality_classifier.fit([(np.frombuffer(r["buckets"], np.uint16), np.frombuffer(r["counts"], np.uint32)) for r in rows], np.array([r["label"] for r in rows]))
+    model = quality_classifier.train(docs, labels)
+    assert all(np.array_equal(a, b) for a, b in ((model.vectors, plain.vectors), (model.weights, plain.weights), (model.bias, plain.bias)))
+    assert not quality_classifier.train(docs.limit(0), labels).vectors.any()
 
 
 def test_shards_of_repeated_rows_stay_alike(spark, monkeypatch):
