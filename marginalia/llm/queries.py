@@ -114,4 +114,30 @@ ORACLE_SQL: dict[str, str] = {
                case when first < page_id then first end as refers_to
         from p left join f on p.d = f.d
     """,
+    "op11_merkle_manifest": """
+        with recursive d as (select doc_id, source, lang, n_chars, text, list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
+                lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)::ubigint[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::ubigint))) as c from documents),
+        f as (select *, concat(coalesce(concat(strlen(doc_id::varchar), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(n_chars::varchar), ':', n_chars), '-')) as given,
+                case when xor(c, 4294967295::ubigint) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as touched from d),
+        l as (select doc_id, source, sha256(concat(given, coalesce(concat(strlen(text), ':', text), '-'))) as leaf, sha256(concat(given, coalesce(concat(strlen(touched), ':', touched), '-'))) as start from f),
+        s as (select source, count(*) as n, row_number() over (order by source nulls first) - 1 as tree from l group by source),
+        k as (select doc_id, leaf, start, tree, n, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos from l join s on l.source is not distinct from s.source),
+        nodes as (select tree, 0 as level, pos, n, leaf as digest from k
+            union all select tree, level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' order by pos)) from nodes where n > 1 group by tree, level, pos // 16, n),
+        up as (select 0 as level, tree as pos, (select count(*) from s) as n, digest from nodes where n = 1
+            union all select level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' order by pos)) from up where n > 1 group by level, pos // 16, n),
+        runs as (select tree, level, pos // 16 as run, list(digest order by pos) as ds from nodes where n > 1 group by tree, level, pos // 16),
+        above as (select level, pos // 16 as run, list(digest order by pos) as ds from up where n > 1 group by level, pos // 16),
+        climb as (select tree, pos as leaf_pos, 0 as level, pos, start as f, '' as proof from k
+            union all select c.tree, leaf_pos, c.level + 1, c.pos // 16, sha256(concat(array_to_string(ds[1:c.pos % 16], ''), f, array_to_string(ds[c.pos % 16 + 2:], ''))),
+                concat(proof, array_to_string(ds[1:c.pos % 16], ''), array_to_string(ds[c.pos % 16 + 2:], '')) from climb c join runs r on r.tree = c.tree and r.level = c.level and r.run = c.pos // 16),
+        tops as (select tree, leaf_pos, arg_max(f, level) as f, arg_max(proof, level) as proof from climb group by tree, leaf_pos),
+        rise as (select tree, leaf_pos, 0 as level, tree as pos, f, proof from tops
+            union all select c.tree, leaf_pos, c.level + 1, c.pos // 16, sha256(concat(array_to_string(ds[1:c.pos % 16], ''), f, array_to_string(ds[c.pos % 16 + 2:], ''))),
+                concat(proof, array_to_string(ds[1:c.pos % 16], ''), array_to_string(ds[c.pos % 16 + 2:], '')) from rise c join above r on r.level = c.level and r.run = c.pos // 16),
+        ends as (select tree, leaf_pos, arg_max(f, level) as folded_root, sha256(arg_max(proof, level)) as proof_sha256 from rise group by tree, leaf_pos),
+        root as (select digest as root from up where n = 1)
+        select doc_id, leaf, b.digest as subroot, root, proof_sha256, folded_root, folded_root = root as verified
+        from k join ends on k.tree = ends.tree and k.pos = ends.leaf_pos join nodes b on b.tree = k.tree and b.n = 1, root
+    """,
 }
