@@ -117,9 +117,9 @@ ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": """
         with recursive d as (select doc_id, source, lang, n_chars, text, list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)),
                 lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)::ubigint[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::ubigint))) as c from documents),
-        f as (select *, concat(coalesce(concat(strlen(doc_id::varchar), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(n_chars::varchar), ':', n_chars), '-')) as given,
-                case when xor(c, 4294967295::ubigint) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as touched from d),
-        l as (select doc_id, source, sha256(concat(given, coalesce(concat(strlen(text), ':', text), '-'))) as leaf, sha256(concat(given, coalesce(concat(strlen(touched), ':', touched), '-'))) as start from f),
+        f as (select *, concat(coalesce(strlen(doc_id::varchar)::varchar || ':' || doc_id::varchar, '-'), coalesce(strlen(source)::varchar || ':' || source::varchar, '-'), coalesce(strlen(lang)::varchar || ':' || lang::varchar, '-'), coalesce(strlen(n_chars::varchar)::varchar || ':' || n_chars::varchar, '-')) as given,
+                case when doc_id is not null and xor(c, 4294967295::ubigint) % 5 = 0 then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as touched from d),
+        l as (select doc_id, source, sha256(concat(given, coalesce(strlen(text)::varchar || ':' || text::varchar, '-'))) as leaf, sha256(concat(given, coalesce(strlen(touched)::varchar || ':' || touched::varchar, '-'))) as start from f),
         s as (select source, count(*) as n, row_number() over (order by source nulls first) - 1 as tree from l group by source),
         k as (select doc_id, leaf, start, tree, n, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos from l join s on l.source is not distinct from s.source),
         nodes as (select tree, 0 as level, pos, n, leaf as digest from k

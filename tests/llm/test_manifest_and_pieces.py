@@ -239,3 +239,16 @@ def test_remembered_windows_change_nothing():
         tool.windows.clear()
         fresh.append(plain(text))
     assert [plain(t) for t in texts] == fresh and [plain(t) for t in reversed(texts)] == fresh[::-1]
+
+
+def test_manifest_sql_matches_plain_trees(odd):
+    """The SQL that stands beside the query, on odd rows and on one source of several levels."""
+    import duckdb
+
+    many = [(i, f"Text {i}", "en", "s" if i % 3 else None, 5, "", 0, 0) for i in range(700)]
+    for rows in ([tuple(r) for r in odd.collect()], many):
+        db = duckdb.connect()
+        db.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+        db.executemany("insert into documents values (?, ?, ?, ?, ?)", [r[:5] for r in rows])
+        got = db.execute(f"select doc_id, leaf, subroot, root, proof_sha256, folded_root, verified from ({queries.ORACLE_SQL['op11_merkle_manifest']})").fetchall()
+        assert Counter(got) == plain_manifest([(i, s, lang, n, t) for i, t, lang, s, n, *_ in rows])
