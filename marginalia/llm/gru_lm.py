@@ -65,99 +65,122 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Net:
-    """Weights and passes of the network; arrays in a fixed order so that they can be averaged."""
+    """Weights and passes of the network; arrays in a fixed order so that they can be averaged.
 
-    NAMES = ("x", "h", "c", "cb", "w", "wb")
+    Arguments and results have a row for each token.  Gates and the softmax are computed with a column for each token:
+    a gate is then one block of memory, and maxima and sums go along many tokens at once.
+    """
+
+    SHAPES = {"x": (SYMBOLS + 1, 3 * HIDDEN), "h": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, CLASSES), "wb": (CLASSES, CLASSES)}
+    SIZE = sum(map(math.prod, SHAPES.values()))
 
     def __init__(self, flat: np.ndarray | None = None, frequency: np.ndarray | None = None):
-        shapes = {"x": (SYMBOLS + 1, 3 * HIDDEN), "h": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, CLASSES), "wb": (CLASSES, CLASSES)}
+        self.memory = np.zeros(self.SIZE, np.float32)
+        self.p = self.views(self.memory)
         if flat is None:
             rng = np.random.default_rng(5)
-            self.p = {n: (rng.normal(0, 0.1, s)).astype(np.float32) for n, s in shapes.items()}
+            for n, s in self.SHAPES.items():
+                self.p[n][...] = rng.normal(0, 0.1, s)
             f = frequency.reshape(CLASSES, CLASSES)  # the softmax starts as the unigram distribution
-            self.p["cb"], self.p["wb"] = np.log(f.sum(1)).astype(np.float32), np.log(f / f.sum(1, keepdims=True)).astype(np.float32)
+            self.p["cb"][...], self.p["wb"][...] = np.log(f.sum(1)), np.log(f / f.sum(1, keepdims=True))
         else:
-            self.p, at = {}, 0
-            for n, s in shapes.items():
-                size = int(np.prod(s))
-                self.p[n] = flat[at : at + size].reshape(s).astype(np.float32)
-                at += size
+            at = 0
+            for n, s in self.SHAPES.items():
+                self.p[n][...] = flat[at : at + math.prod(s)].reshape(s)
+                at += math.prod(s)
+
+    @classmethod
+    def views(cls, memory: np.ndarray) -> dict[str, np.ndarray]:
+        """A model's arrays, all in one."""
+        found, at = {}, 0
+        for n, s in cls.SHAPES.items():
+            part = memory[at : at + math.prod(s)]
+            found[n] = part.reshape(s)
+            at += len(part)
+        return found
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[n].ravel() for n in self.NAMES])
+        return np.concatenate([self.p[n].ravel() for n in self.SHAPES])
 
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        a, u = self.p["x"][ids], h @ self.p["h"]
-        zr = sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = 2 * sigmoid(2 * (a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])) - 1
-        return n + z * (h - n), (ids, h, z, r, n, u[:, 2 * HIDDEN :])
+        h, k = h.T, 2 * HIDDEN
+        a, u = self.p["x"].take(ids, 0).T.copy(), self.p["h"].T @ h
+        zr, n = a[:k], a[k:]
+        zr += u[:k]
+        sigmoid(zr)
+        u = u[k:]
+        z, r = zr[:HIDDEN], zr[HIDDEN:]
+        n += r * u
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new.T, (ids, h, z, r, n, u)
 
     def outputs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target; with ``grad``, also gradients (of the sum, added to ``grad``)."""
         cls, word = target // CLASSES, target % CLASSES
-        d = h @ self.p["c"]
-        d += self.p["cb"]
-        d -= d.max(1, keepdims=True)
-        rows = np.arange(len(h))
-        score = d[rows, cls]
-        np.exp(d, out=d)
-        total = d.sum(1)
-        score -= np.log(total)
-        back = None
-        if grad is not None:
-            d /= total[:, None]
-            d[rows, cls] -= 1
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            back = d @ self.p["c"].T
-        # rows by class: each class reads and writes a slice
+        # tokens by class: each class reads and writes a slice
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        sorted_h, sorted_word = h[order], word[order]
-        inside = np.empty(len(h), np.float64)
-        sorted_back = None if grad is None else np.empty_like(sorted_h)
-        for c in range(CLASSES):
-            i, j = bounds[c], bounds[c + 1]
-            if i == j:
-                continue
-            some = sorted_h[i:j]
-            inner = some @ self.p["w"][c]
-            inner += self.p["wb"][c]
-            inner -= inner.max(1, keepdims=True)
-            at, own = rows[: j - i], sorted_word[i:j]
-            inside[i:j] = inner[at, own]
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            inside[i:j] -= np.log(total)
+        cls, word, h = cls[order], word[order], h.take(order, 0)
+        bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        slices = [(c, slice(i, j)) for c, (i, j) in enumerate(itertools.pairwise(bounds)) if i < j]
+        turn = np.arange(len(target))
+
+        def softmax(d: np.ndarray, own: np.ndarray) -> np.ndarray:
+            """Log probability of each token's own row; ``d`` becomes the gradient."""
+            d -= d.max(0)
+            score = d[own, turn]
+            np.exp(d, out=d)
+            total = d.sum(0)
             if grad is not None:
-                inner /= total[:, None]
-                inner[at, own] -= 1
-                grad["w"][c] += some.T @ inner
-                grad["wb"][c] += inner.sum(0)
-                sorted_back[i:j] = inner @ self.p["w"][c].T
-        score = score.astype(np.float64)
-        score[order] += inside
+                d *= 1 / total
+                d[own, turn] -= 1
+            return score - np.log(total)
+
+        d = self.p["c"].T @ h.T
+        d += self.p["cb"][:, None]
+        inner = np.empty_like(d)
+        for c, at in slices:
+            np.matmul(self.p["w"][c].T, h[at].T, out=inner[:, at])
+        inner += np.repeat(self.p["wb"].T, np.diff(bounds), 1)
+        score, back = np.empty(len(target)), None
+        score[order] = softmax(d, cls).astype(np.float64) + softmax(inner, word)
         if grad is not None:
-            back[order] += sorted_back
+            grad["c"] += h.T @ d.T
+            grad["cb"] += d.sum(1)
+            found = d.T @ self.p["c"].T
+            for c, at in slices:
+                grad["w"][c] += h[at].T @ inner[:, at].T
+                grad["wb"][c] += inner[:, at].sum(1)
+                found[at] += inner[:, at].T @ self.p["w"][c].T
+            back = np.empty_like(found)
+            back[order] = found
         return score, back
 
     def backward(self, tape: list[tuple], back: list[np.ndarray], grad: dict) -> None:
-        later = np.zeros_like(back[-1])
+        later = 0
         seen, given = [], []
         for (ids, h, z, r, n, u), d in zip(reversed(tape), reversed(back), strict=True):
-            d = d + later
-            dz, dn = d * (h - n) * z * (1 - z), d * (1 - z) * (1 - n * n)
-            dr = dn * u * r * (1 - r)
-            gates = np.concatenate((dz, dr, dn * r), 1)
-            grad["h"] += h.T @ gates
-            later = d * z + gates @ self.p["h"].T
+            d = d.T.copy()
+            d += later
+            rest = d - d * z
+            gates = np.empty((3 * HIDDEN, len(ids)), d.dtype)
+            dz, dr, dn = gates[:HIDDEN], gates[HIDDEN : 2 * HIDDEN], rest * (1 - n * n)
+            np.multiply(rest * z, h - n, out=dz)
+            np.multiply(dn, r, out=gates[2 * HIDDEN :])
+            np.multiply(gates[2 * HIDDEN :] * u, 1 - r, out=dr)
+            grad["h"] += h @ gates.T
+            later = d * z
+            later += self.p["h"] @ gates
             seen.append(ids)
-            given.append(np.concatenate((dz, dr, dn), 1))
-        ids, g = np.concatenate(seen), np.concatenate(given)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) > 0)))
-        grad["x"][ids[order][first]] += np.add.reduceat(g[order], first)
+            gates[2 * HIDDEN :] = dn
+            given.append(gates.T)
+        ids, g = np.concatenate(seen), np.concatenate(given, out=np.empty((sum(map(len, seen)), 3 * HIDDEN), d.dtype))
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        grad["x"][ids[first]] += np.add.reduceat(g.take(order, 0), first)
 
 
 def stretches(text: np.ndarray) -> Iterator[np.ndarray]:
@@ -172,86 +195,102 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
     Where the last texts end, windows are filled up with starts, which are no targets; a step is as long as its window
     has targets, so that every token counts alike however few lanes are left.
     """
-    m, v = ({n: np.zeros_like(p) for n, p in net.p.items()} for _ in range(2))
-    lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
+    m, v, g, some = np.zeros((4, net.SIZE), np.float32)
+    grad = net.views(g)
+    # a row for each lane, of which ``at`` to ``end`` is to come; a window more than the longest
+    lanes = np.full((LANES, STRETCH + 3 * WINDOW), SYMBOLS)
+    at, end, span = np.zeros(LANES, np.int64), np.zeros(LANES, np.int64), np.arange(WINDOW + 1)
     state, done, seen, widest, k = np.zeros((LANES, HIDDEN), np.float32), False, 0, 0, 0
     while True:
-        for i in range(LANES):
-            while len(lanes[i]) <= WINDOW and not done:
-                text = next(texts, None)
-                if text is None:
-                    done = True
-                else:  # SYMBOLS marks the start
-                    lanes[i] = np.concatenate((lanes[i], [SYMBOLS], text))
-        live = [i for i in range(LANES) if len(lanes[i]) > 1]
-        if not live:
+        for i in () if done else np.flatnonzero(end - at <= WINDOW).tolist():
+            while end[i] - at[i] <= WINDOW and (text := next(texts, None)) is not None:
+                rest = lanes[i, at[i] : end[i]].copy()
+                size = len(rest) + 1 + len(text)
+                if size + WINDOW > lanes.shape[1]:
+                    lanes = np.pad(lanes, ((0, 0), (0, size + WINDOW - lanes.shape[1])), constant_values=SYMBOLS)
+                # SYMBOLS marks the start
+                lanes[i, : len(rest)], lanes[i, len(rest)], lanes[i, len(rest) + 1 : size], lanes[i, size : size + WINDOW] = rest, SYMBOLS, text, SYMBOLS
+                at[i], end[i] = 0, size
+            done = done or end[i] - at[i] <= WINDOW
+        live = np.flatnonzero(end - at > 1)
+        if not len(live):
             return seen
-        block = np.full((len(live), WINDOW + 1), SYMBOLS)
-        for row, i in enumerate(live):
-            part = lanes[i][: WINDOW + 1]
-            block[row, : len(part)] = part
-            lanes[i] = lanes[i][WINDOW:]
+        block = lanes[live[:, None], at[live, None] + span]
+        at[live] += WINDOW
         target = block[:, 1:].T
         ok = ((target >= 0) & (target != SYMBOLS)).ravel()
         block = np.where(block < 0, ~block, block)
-        h, tape, hidden = state[live], [], []
+        starts = block == SYMBOLS
+        some_start = starts.any(0).tolist()
+        h, tape = np.asfortranarray(state[live]), []
+        hidden = np.empty((WINDOW, len(live), HIDDEN), np.float32)
         for t in range(WINDOW):
-            start = block[:, t] == SYMBOLS
-            if start.any():
-                h = h.copy()
-                h[start] = 0
+            if some_start[t]:
+                h = h.copy(order="F")
+                h[starts[:, t]] = 0
             h, kept = net.step(block[:, t], h)
             tape.append(kept)
-            hidden.append(h)
+            hidden[t] = h
         state[live] = h
         if not ok.any():
             continue
-        stacked = np.concatenate(hidden)
-        grad = {n: np.zeros_like(p) for n, p in net.p.items()}
+        stacked = hidden.reshape(-1, HIDDEN)
+        g[:] = 0
         back = np.zeros_like(stacked)
         back[ok] = net.outputs(stacked[ok], target.ravel()[ok], grad)[1]
         net.backward(tape, list(back.reshape(WINDOW, len(live), HIDDEN)), grad)
         targets = int(ok.sum())
         seen, widest, k = seen + targets, max(widest, targets), k + 1
         rate = STEP * targets / widest * math.sqrt(1 - 0.99**k) / (1 - 0.9**k)
-        for n, g in grad.items():
-            g /= targets
-            m[n] += 0.1 * (g - m[n])
-            v[n] += 0.01 * (g * g - v[n])
-            net.p[n] -= rate * m[n] / (np.sqrt(v[n]) + 1e-6)
+        # all weights in one, and no new memory: they are as many as a window's numbers
+        g /= targets
+        np.subtract(g, m, out=some)
+        some *= 0.1
+        m += some
+        g *= g
+        g -= v
+        g *= 0.01
+        v += g
+        np.sqrt(v, out=some)
+        some += 1e-6
+        np.divide(m, some, out=some)
+        some *= rate
+        net.memory -= some
+
+
+def log_likelihoods(net: Net, texts: list[np.ndarray], beside: int = 1024) -> np.ndarray:
+    """Natural log probability of each id sequence; ``beside`` texts of like lengths run side by side, the longest first."""
+    order = np.argsort([-len(t) for t in texts], kind="stable")
+    out = np.zeros(len(texts))
+    for i in range(0, len(texts), beside):
+        some = order[i : i + beside]
+        out[some] = _side_by_side(net, [texts[j] for j in some.tolist()])
+    return out
 
 
-def log_likelihoods(net: Net, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each id sequence; all run side by side, the longest first."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
-    size = np.array([len(texts[i]) for i in order], np.int64)
-    flat, at = np.concatenate([texts[i] for i in order]), np.cumsum(size) - size
+def _side_by_side(net: Net, texts: list[np.ndarray]) -> np.ndarray:
+    size = np.array([len(t) for t in texts], np.int64)
+    flat, at = np.concatenate(texts), np.cumsum(size) - size
     total = np.zeros(len(texts))
-    h = np.zeros((len(texts), HIDDEN), np.float32)
+    h = np.zeros((len(texts), HIDDEN), np.float32, order="F")
     before = np.full(len(texts), SYMBOLS)
-    start = held = 0
-    hidden, target, who = [], [], []
-    n = int((size > 0).sum())
-    while n:
-        for t in range(start, start + WINDOW):
-            n = int(np.searchsorted(-size, -t, side="left"))  # texts longer than t
-            if not n:
-                break
-            h[:n] = net.step(before[:n], h[:n])[0]
-            now = flat[at[:n] + t]
-            before[:n] = now
-            hidden.append(h[:n].copy())
-            target.append(now)
-            who.append(np.arange(n))
+    hidden, target, who, held = [], [], [], 0
+    # texts longer than t, for each t
+    live = np.searchsorted(-size, -np.arange(size[0] + 1), side="left").tolist()
+    turn = np.arange(len(texts))
+    for t, n in enumerate(live):
+        if n:
+            h = net.step(before[:n], h[:n] if n == len(h) else h[:n].copy(order="F"))[0]
+            before = flat[at[:n] + t]
+            hidden.append(h)
+            target.append(before)
+            who.append(turn[:n])
             held += n
-        if held > 8192 or (held and not n):  # narrow windows share one pass of the softmax
-            score, _ = net.outputs(np.concatenate(hidden), np.concatenate(target))
+        if held > 8192 or (held and not n):  # narrow steps share one pass of the softmax
+            score, _ = net.outputs(np.concatenate(hidden, out=np.empty((held, HIDDEN), np.float32)), np.concatenate(target))
             total += np.bincount(np.concatenate(who), score, len(texts))
             hidden, target, who, held = [], [], [], 0
-        start += WINDOW
-    out = np.zeros(len(texts))
-    out[order] = total
-    return out
+    return total
 
 
 class Lexicon:
@@ -279,16 +318,25 @@ class Lexicon:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Symbols of the tokens, their places among the frequent words (the last place for others), and the others."""
-        tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+        symbol, place, _, at, rare = self.encode_all([text])
+        return symbol, place, rare
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """All texts in one: symbols and places (as ``encode``), tokens of each text; where the other words are, and they."""
+        rows = [text.encode("utf-8", "surrogatepass").translate(LOWER).split() for text in texts]
+        for tokens in rows:
+            tokens.append(END.encode())
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        tokens = list(itertools.chain.from_iterable(rows))
         other, known = len(self.rows), self.place
         place = np.fromiter(map(known.get, tokens, itertools.repeat(other)), np.int64, len(tokens))
         symbol = self.symbol[place]
-        at = np.flatnonzero(place == other).tolist()
-        rare = [tokens[i].decode("utf-8", "surrogatepass") for i in at]
+        at = np.flatnonzero(place == other)
+        rare = [tokens[i].decode("utf-8", "surrogatepass") for i in at.tolist()]
         if rare:
             base = SYMBOLS - ENDINGS
             symbol[at] = [base + ending(w) for w in rare]
-        return np.append(symbol, self.symbol[self.end]), np.append(place, self.end), rare
+        return symbol, place, size, at, rare
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,18 +371,17 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, tail = shared.value, tails_of.value
         for batch in chunks(batches, "text"):
-            n, known, base, within, packed, rare = [], [], [], [], [], []
-            for text in texts_of(batch, "text"):
-                symbols, place, unknown = lex.encode(text)
-                logs = lex.log[place]
-                in_tail = symbols >= own
-                n.append(len(symbols))
-                known.append(int((lex.count[place] > 0).sum()))
-                base.append(float(logs.sum()))
-                # of words behind an ending's symbol, the frequent ones' counts are known here
-                within.append(float(logs[in_tail].sum()) - float(tail[symbols[in_tail] - own].sum()))
-                packed.append(symbols.astype(np.int16).tobytes())
-                rare.append([*Counter(unknown).items()])
+            symbols, place, size, at, unknown = lex.encode_all(texts_of(batch, "text"))
+            stop = np.cumsum(size)
+            first = stop - size  # of each text; all have an end
+            logs = lex.log[place]
+            in_tail = symbols >= own
+            # of words behind an ending's symbol, the frequent ones' counts are known here
+            beside = np.where(in_tail, logs - tail[np.maximum(symbols - own, 0)], 0.0)
+            n, known, base, within = size, np.add.reduceat((lex.count[place] > 0).astype(np.int64), first), np.add.reduceat(logs, first), np.add.reduceat(beside, first)
+            data = symbols.astype(np.int16).tobytes()
+            packed = [data[2 * i : 2 * j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+            rare = [[*Counter(unknown[i:j]).items()] for i, j in zip(np.searchsorted(at, first).tolist(), np.searchsorted(at, stop).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(packed, pa.binary()), pa.array(rare, pa.map_(pa.string(), pa.int64()))], ["doc_id", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
 
     # texts are encoded once; each row gets a number as it is written

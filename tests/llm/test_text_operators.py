@@ -189,6 +189,22 @@ def test_network_sums_to_one_and_gradient():
         assert grad[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-5)
 
 
+def test_gates_are_blocks_of_memory():
+    """Inner loops run along tokens, not along the few numbers of one token; results are the plain formulas'."""
+    rng = np.random.default_rng(6)
+    net = lane_net()
+    net.p["h"][...] = rng.normal(0, 0.5, net.p["h"].shape)
+    ids, h = rng.integers(0, gru_lm.SYMBOLS, 40), rng.normal(0, 0.5, (40, gru_lm.HIDDEN)).astype(np.float32)
+    new, tape = net.step(ids, h)
+    assert new.T.flags.c_contiguous and all(x.flags.c_contiguous for x in tape[2:])
+    k = gru_lm.HIDDEN
+    a, u = net.p["x"][ids].astype(float), h.astype(float) @ net.p["h"]
+    z, r = (1 / (1 + np.exp(-(a[:, i : i + k] + u[:, i : i + k]))) for i in (0, k))
+    n = np.tanh(a[:, 2 * k :] + r * u[:, 2 * k :])
+    assert np.allclose(new, (1 - z) * n + z * h, atol=1e-6)
+    assert all(np.shares_memory(p, net.memory) for p in net.p.values())  # one optimiser step for all
+
+
 def lane_net():
     return gru_lm.Net(frequency=np.full(gru_lm.SYMBOLS, 1 / gru_lm.SYMBOLS))
 
