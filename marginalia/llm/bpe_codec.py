@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, chunks, ship, texts_of
+from .common import Generations, chunks, ship, texts_of
 from .merging import MergeTable, merge_batch
 
 #: Code points of the largest leaf of a text, and symbols of the largest leaf of a pre-token.
@@ -61,8 +61,7 @@ class WordBpe:
         self.inner, self.last = np.array([vocab[c] for c in inner]), np.array([vocab[c + end] for c in inner])
         self.names = [self.name.get(i, "") for i in range(max(self.name) + 1)]
         #: Packed ids and decoded text of white-space chunks.
-        self.ids_of = Remembered()
-        self.text_of: dict[str, str] = {}
+        self.known = Generations()
 
     def _merge(self, tokens: list[str]) -> list[tuple[bytes, str]]:
         """Packed ids and decoded text of distinct pre-tokens; long ones by tree concatenation."""
@@ -131,25 +130,24 @@ class WordBpe:
         done |= {name: (np.array([i], "<u4").tobytes(), name) for name, i in self.special.items()}
         for chunk, row in zip(new, rows, strict=True):
             if len(row) == 1:
-                self.ids_of[chunk], self.text_of[chunk] = done[row[0]]
+                self.known[chunk] = done[row[0]]
             else:
                 pairs = [done[t] for t in row]
-                self.ids_of[chunk], self.text_of[chunk] = b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+                self.known[chunk] = b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
 
     def encode_chunks(self, lists: list[list[str]]) -> None:
         """Makes sure that every chunk of a batch is known."""
-        self.ids_of.room()
-        if not self.ids_of:
-            self.text_of.clear()
-        new = list(set(itertools.chain.from_iterable(lists)).difference(self.ids_of))
+        self.known.room()
+        new = self.known.unknown(set(itertools.chain.from_iterable(lists)))
         for i in range(0, len(new), 20_000):
             self._learn(new[i : i + 20_000])
 
-    def packed(self, row: list[str]) -> bytes:
-        return b"".join(map(self.ids_of.__getitem__, row))
-
-    def text(self, row: list[str]) -> str:
-        return " ".join(map(self.text_of.__getitem__, row))
+    def coded(self, row: list[str]) -> tuple[bytes, str]:
+        """Packed ids and decoded text of known chunks."""
+        if not row:
+            return b"", ""
+        ids, texts = zip(*map(self.known.__getitem__, row), strict=True)
+        return b"".join(ids), " ".join(texts)
 
     def decode(self, ids: np.ndarray) -> str:
         return " ".join(self.name[i] for i in ids.tolist())
@@ -189,7 +187,7 @@ def join_texts(code: WordBpe, a: tuple[str, list[tuple[int, int]], list[bytes]],
         window = s[lo:] + t[:hi]
         spans = [(m.start() + lo, m.end() + lo) for m in _CHUNK.finditer(window)]
         code.encode_chunks([[window[p - lo : q - lo] for p, q in spans]])
-        ids = [code.ids_of[window[p - lo : q - lo]] for p, q in spans]
+        ids = [code.known[window[p - lo : q - lo]][0] for p, q in spans]
         if (not i or (spans and spans[0] == sa[i] and ids[0] == ia[i])) and (j >= len(sb) or (spans and spans[-1] == moved[j - 1] and ids[-1] == ib[j - 1])):
             return s + t, sa[:i] + spans + moved[j:], ia[:i] + ids + ib[j:]
         k *= 2
@@ -210,7 +208,8 @@ def bpe_encode_decode(docs: DataFrame, file: str, leaf_chars: int = LEAF_CHARS,
         for batch in chunks(batches, "text"):
             lists = [split_chunks(t) for t in texts_of(batch, "text")]
             code.encode_chunks(lists)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(code.packed, lists), pa.binary()), pa.array(map(code.text, lists), pa.string())], ["doc_id", "ids", "decoded"])
+            ids, decoded = zip(*map(code.coded, lists), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -223,7 +222,7 @@ def bpe_encode_decode(docs: DataFrame, file: str, leaf_chars: int = LEAF_CHARS,
             texts = texts_of(batch, "text")
             lists = [split_chunks(t) for t in texts]
             code.encode_chunks(lists)
-            ids = [[code.ids_of[c] for c in row] for row in lists]
+            ids = [[code.known[c][0] for c in row] for row in lists]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("leaf"), batch.column("text"), pa.array(ids, pa.list_(pa.binary()))], ["key", "leaf", "text", "ids"])
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:

@@ -126,6 +126,30 @@ class Remembered(dict):
             self.held = 0
 
 
+class Generations(Remembered):
+    """A memory of two generations: a full one becomes the older, and what is met again moves to the newer.
+
+    So words that come often stay, however many come once.
+    """
+
+    BYTES = 1 << 26  # of a generation
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+
+    def room(self) -> None:
+        if self.held > self.BYTES:
+            self.older = dict(self)
+        super().room()
+
+    def unknown(self, keys: set) -> list:
+        """The keys that neither generation holds."""
+        new, older = keys.difference(self), self.older
+        for key in older.keys() & new if older else ():
+            self[key] = older.pop(key)
+        return list(new.difference(self))
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 

@@ -134,6 +134,25 @@ def test_classifier_learns(spark, odd):
     assert {r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in docs.select("doc_id", held.alias("held_out")).collect()} == {True}
 
 
+def test_frequent_words_stay_remembered(monkeypatch):
+    """A worker learns a word that comes in every batch once, however many other words come between."""
+    from tokenizers import Tokenizer
+
+    code, learned = bpe_codec.WordBpe(vocabulary("word_bpe_49k.json")), Counter()
+    learn = code._learn
+    monkeypatch.setattr(code, "_learn", lambda new: (learned.update(new), learn(new)))
+    monkeypatch.setattr(type(code.known), "BYTES", 20_000)
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for i in range(30):
+        row = ["again", *(f"w{i}x{j}" for j in range(30)), "Once,more"]
+        code.encode_chunks([row])
+        ids = np.frombuffer(code.coded(row)[0], "<u4").tolist()
+        want = library.encode(" ".join(row), add_special_tokens=False).ids
+        assert ids == want and code.coded(row)[1] == library.decode(want, skip_special_tokens=False)
+    assert learned["again"] == learned["Once,more"] == 1
+    assert len(code.known) + len(code.known.older) < 200  # both generations are bounded
+
+
 def test_language_model(spark, odd):
     docs = spark.read.parquet(DOCS).select("doc_id", "text")
     rows = docs.collect()
