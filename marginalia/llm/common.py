@@ -144,10 +144,14 @@ class Generations(Remembered):
 
     def unknown(self, keys: set) -> list:
         """The keys that neither generation holds."""
-        new, older = keys.difference(self), self.older
-        for key in older.keys() & new if older else ():
-            self[key] = older.pop(key)
-        return list(new.difference(self))
+        new, older = [], self.older
+        for key in keys:  # set operations with a dict of another class would go through all of it
+            if key not in self:
+                if key in older:
+                    self[key] = older.pop(key)
+                else:
+                    new.append(key)
+        return new
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
