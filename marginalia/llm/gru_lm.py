@@ -14,16 +14,16 @@ import itertools
 import math
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gathered, ship, staged, texts_of
+from .common import chunks, gathered, keep_memory, ship, staged
 
 #: Hidden units, output classes (each of as many symbols), and how many symbols are endings of rare words.
 HIDDEN, CLASSES, ENDINGS = 24, 32, 64
@@ -36,9 +36,11 @@ WINDOW, LANES, ROUNDS, STEP = 16, 256, 2, 0.004
 PART_TOKENS, STRETCH = 1 << 20, 1 << 10
 #: Tasks whose weights one task averages.
 FAN_IN = 64
+#: Bytes of texts that are split into words at once.
+RUN = 1 << 22
 FLOOR = 0.1
-#: Lower-cases A-Z in UTF-8; bytes.split() then cuts at U+0009..U+000D and the space, and nowhere else.
-LOWER = bytes(range(256)).translate(bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode()))
+#: Lower-cases A-Z in UTF-8, and makes a space of U+0009..U+000D.
+PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + bytes(range(9, 14)), string.ascii_lowercase.encode() + b" " * 5)
 END = "\n"  # no word holds a line end
 
 
@@ -50,6 +52,27 @@ def ending_of(word: Column) -> Column:
     return (F.crc32(F.right(word, F.lit(2)).cast("binary")) % ENDINGS).cast("int")
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none) in one binary array, A-Z lowered, and the number of words of each text."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = texts.buffers()[2]
+    raw = np.frombuffer(held[int(bounds[0]) : int(bounds[-1])].to_pybytes().translate(PLAIN) if held else b"", np.uint8)
+    bounds -= bounds[0]
+    inside = raw != 32
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[bounds] = True  # words end with their text, too
+    begins, ends = cut[:-1].copy(), cut[1:].copy()
+    begins[1:] |= ~inside[:-1]
+    ends[:-1] |= ~inside[1:]
+    first = np.flatnonzero(begins & inside)
+    size = np.flatnonzero(ends & inside) + 1 - first
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    return words, np.diff(np.searchsorted(first, bounds))
+
+
 def is_training(id_column: Column) -> Column:
     """Nine tenths of the ids by crc32; rows with a null id are training rows."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 10 != 0, F.lit(True))
@@ -118,46 +141,62 @@ class Net:
         return new.T, (ids, h, z, r, n, u)
 
     def outputs(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each target; with ``grad``, also gradients (of the sum, added to ``grad``)."""
-        cls, word = target // CLASSES, target % CLASSES
-        # tokens by class: each class reads and writes a slice
+        """Log probability of each target, 0 where it is negative (none); with ``grad``, also gradients (of the sum, added to ``grad``)."""
+        cls = target // CLASSES
+        # tokens by class, those without a target first: each class reads and writes a slice
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        cls, word, h = cls[order], word[order], h.take(order, 0)
-        bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        order, bounds = order[bounds[0] :], (bounds - bounds[0]).tolist()
+        n, of = len(order), target[order]
+        cls, word = of // CLASSES, of % CLASSES
         slices = [(c, slice(i, j)) for c, (i, j) in enumerate(itertools.pairwise(bounds)) if i < j]
-        turn = np.arange(len(target))
-
-        def softmax(d: np.ndarray, own: np.ndarray) -> np.ndarray:
-            """Log probability of each token's own row; ``d`` becomes the gradient."""
-            d -= d.max(0)
-            score = d[own, turn]
-            np.exp(d, out=d)
-            total = d.sum(0)
-            if grad is not None:
-                d *= 1 / total
-                d[own, turn] -= 1
-            return score - np.log(total)
-
-        d = self.p["c"].T @ h.T
-        d += self.p["cb"][:, None]
+        # a last unit that is always 1 takes the biases along
+        own = np.ones((n, HIDDEN + 1), h.dtype)
+        own[:, :HIDDEN] = h.take(order, 0)
+        outer, within = np.concatenate((self.p["c"], self.p["cb"][None])), np.concatenate((self.p["w"], self.p["wb"][:, None]), 1)
+        d = outer.T @ own.T
         inner = np.empty_like(d)
         for c, at in slices:
-            np.matmul(self.p["w"][c].T, h[at].T, out=inner[:, at])
-        inner += np.repeat(self.p["wb"].T, np.diff(bounds), 1)
-        score, back = np.empty(len(target)), None
-        score[order] = softmax(d, cls).astype(np.float64) + softmax(inner, word)
+            np.matmul(within[c].T, own[at].T, out=inner[:, at])
+        score, back = np.zeros(len(target)), None
+        score[order] = self.softmax(d, cls, grad is not None).astype(np.float64) + self.softmax(inner, word, grad is not None)
         if grad is not None:
-            grad["c"] += h.T @ d.T
-            grad["cb"] += d.sum(1)
-            found = d.T @ self.p["c"].T
+            found = own.T @ d.T
+            grad["c"] += found[:HIDDEN]
+            grad["cb"] += found[HIDDEN]
+            found = np.zeros_like(within)
+            rest = np.empty((n, HIDDEN), d.dtype)
             for c, at in slices:
-                grad["w"][c] += h[at].T @ inner[:, at].T
-                grad["wb"][c] += inner[:, at].sum(1)
-                found[at] += inner[:, at].T @ self.p["w"][c].T
-            back = np.empty_like(found)
-            back[order] = found
+                part = inner[:, at].T
+                np.matmul(own[at].T, part, out=found[c])
+                np.matmul(part, self.p["w"][c].T, out=rest[at])
+            grad["w"] += found[:, :HIDDEN]
+            grad["wb"] += found[:, HIDDEN]
+            back = np.zeros((n + 1, HIDDEN), d.dtype)  # the last for tokens without a target
+            np.matmul(d.T, self.p["c"].T, out=back[:n])
+            back[:n] += rest
+            place = np.full(len(target), n)
+            place[order] = np.arange(n)
+            back = back.take(place, 0)
         return score, back
 
+    @staticmethod
+    def softmax(logits: np.ndarray, own: np.ndarray, gradient: bool, beside: int = 1024) -> np.ndarray:
+        """Log probability of each token's own row; ``logits`` (a column for each token) become the gradient."""
+        score = np.empty(len(own), logits.dtype)
+        for i in range(0, len(own), beside):  # so many columns stay in the cache
+            d, at = logits[:, i : i + beside], (own[i : i + beside], np.arange(min(beside, len(own) - i)))
+            d -= d.max(0)
+            mine = d[at]
+            np.exp(d, out=d)
+            total = d.sum(0)
+            mine -= np.log(total)
+            score[i : i + beside] = mine
+            if gradient:
+                d *= 1 / total
+                d[at] = np.exp(mine) - 1
+        return score
+
     def backward(self, tape: list[tuple], back: list[np.ndarray], grad: dict) -> None:
         later = 0
         seen, given = [], []
@@ -180,7 +219,9 @@ class Net:
         order = np.argsort(ids.astype(np.int16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        grad["x"][ids[first]] += np.add.reduceat(g.take(order, 0), first)
+        # sums of pairs of numbers, which take half as many turns
+        pairs = g.take(order, 0).view(np.result_type(g.dtype, np.complex64))
+        grad["x"][ids[first]] += np.add.reduceat(pairs, first).view(g.dtype)
 
 
 def stretches(text: np.ndarray) -> Iterator[np.ndarray]:
@@ -195,6 +236,7 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
     Where the last texts end, windows are filled up with starts, which are no targets; a step is as long as its window
     has targets, so that every token counts alike however few lanes are left.
     """
+    keep_memory()
     m, v, g, some = np.zeros((4, net.SIZE), np.float32)
     grad = net.views(g)
     # a row for each lane, of which ``at`` to ``end`` is to come; a window more than the longest
@@ -218,7 +260,8 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
         block = lanes[live[:, None], at[live, None] + span]
         at[live] += WINDOW
         target = block[:, 1:].T
-        ok = ((target >= 0) & (target != SYMBOLS)).ravel()
+        target = np.where(target == SYMBOLS, -1, target).ravel()
+        targets = int((target >= 0).sum())
         block = np.where(block < 0, ~block, block)
         starts = block == SYMBOLS
         some_start = starts.any(0).tolist()
@@ -232,14 +275,11 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
             tape.append(kept)
             hidden[t] = h
         state[live] = h
-        if not ok.any():
+        if not targets:
             continue
-        stacked = hidden.reshape(-1, HIDDEN)
         g[:] = 0
-        back = np.zeros_like(stacked)
-        back[ok] = net.outputs(stacked[ok], target.ravel()[ok], grad)[1]
+        back = net.outputs(hidden.reshape(-1, HIDDEN), target, grad)[1]
         net.backward(tape, list(back.reshape(WINDOW, len(live), HIDDEN)), grad)
-        targets = int(ok.sum())
         seen, widest, k = seen + targets, max(widest, targets), k + 1
         rate = STEP * targets / widest * math.sqrt(1 - 0.99**k) / (1 - 0.9**k)
         # all weights in one, and no new memory: they are as many as a window's numbers
@@ -260,6 +300,7 @@ def train_lanes(net: Net, texts: Iterator[np.ndarray]) -> int:
 
 def log_likelihoods(net: Net, texts: list[np.ndarray], beside: int = 1024) -> np.ndarray:
     """Natural log probability of each id sequence; ``beside`` texts of like lengths run side by side, the longest first."""
+    keep_memory()
     order = np.argsort([-len(t) for t in texts], kind="stable")
     out = np.zeros(len(texts))
     for i in range(0, len(texts), beside):
@@ -309,33 +350,34 @@ class Lexicon:
 
     def _load(self) -> None:
         own = SYMBOLS - ENDINGS
-        self.place = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(self.rows)}
+        self.words = pa.array([w.encode("utf-8", "surrogatepass") for w, _ in self.rows], pa.binary())
         self.symbol = np.array([i if i < own else own + ending(w) for i, (w, _) in enumerate(self.rows)] + [0], np.int64)
         self.count = np.array([c for _, c in self.rows] + [0], np.int64)
         self.log = np.log10(self.count + FLOOR)
         self.log[-1] = 0.0
-        self.end = self.place[END.encode()]
+        self.end = [w for w, _ in self.rows].index(END)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Symbols of the tokens, their places among the frequent words (the last place for others), and the others."""
-        symbol, place, _, at, rare = self.encode_all([text])
-        return symbol, place, rare
+        symbol, place, _, _, rare = self.encode_all(pa.array([text], pa.string()))
+        return symbol, place, rare.cast(pa.string()).to_pylist()
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
         """All texts in one: symbols and places (as ``encode``), tokens of each text; where the other words are, and they."""
-        rows = [text.encode("utf-8", "surrogatepass").translate(LOWER).split() for text in texts]
-        for tokens in rows:
-            tokens.append(END.encode())
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        tokens = list(itertools.chain.from_iterable(rows))
-        other, known = len(self.rows), self.place
-        place = np.fromiter(map(known.get, tokens, itertools.repeat(other)), np.int64, len(tokens))
+        words, size = split_words(texts)
+        size += 1
+        other = len(self.rows)
+        found = pc.index_in(words, value_set=self.words)
+        rare = words.filter(found.is_null()).dictionary_encode()
+        place = np.full(len(words) + len(size), self.end)
+        is_word = np.ones(len(place), bool)
+        is_word[np.cumsum(size) - 1] = False
+        place[is_word] = found.fill_null(other).to_numpy()
         symbol = self.symbol[place]
         at = np.flatnonzero(place == other)
-        rare = [tokens[i].decode("utf-8", "surrogatepass") for i in at.tolist()]
-        if rare:
-            base = SYMBOLS - ENDINGS
-            symbol[at] = [base + ending(w) for w in rare]
+        tails = pc.utf8_slice_codeunits(rare.dictionary.cast(pa.string()), -2).dictionary_encode()  # few
+        endings = np.array([ending(w) for w in tails.dictionary.to_pylist()], np.int64)
+        symbol[at] = SYMBOLS - ENDINGS + endings[tails.indices.to_numpy()[rare.indices.to_numpy()]]
         return symbol, place, size, at, rare
 
 
@@ -370,8 +412,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex, tail = shared.value, tails_of.value
-        for batch in chunks(batches, "text"):
-            symbols, place, size, at, unknown = lex.encode_all(texts_of(batch, "text"))
+        for batch in chunks(batches, "text", RUN):
+            symbols, place, size, at, unknown = lex.encode_all(batch.column("text"))
             stop = np.cumsum(size)
             first = stop - size  # of each text; all have an end
             logs = lex.log[place]
@@ -379,10 +421,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             # of words behind an ending's symbol, the frequent ones' counts are known here
             beside = np.where(in_tail, logs - tail[np.maximum(symbols - own, 0)], 0.0)
             n, known, base, within = size, np.add.reduceat((lex.count[place] > 0).astype(np.int64), first), np.add.reduceat(logs, first), np.add.reduceat(beside, first)
-            data = symbols.astype(np.int16).tobytes()
-            packed = [data[2 * i : 2 * j] for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
-            rare = [[*Counter(unknown[i:j]).items()] for i, j in zip(np.searchsorted(at, first).tolist(), np.searchsorted(at, stop).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(packed, pa.binary()), pa.array(rare, pa.map_(pa.string(), pa.int64()))], ["doc_id", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
+            offsets = np.concatenate(([0], 2 * stop)).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(symbols.astype(np.int16))])
+            # other words of a text, each once
+            distinct = max(1, len(unknown.dictionary))
+            pair, times = np.unique(np.searchsorted(stop, at, side="right") * distinct + unknown.indices.to_numpy(), return_counts=True)
+            starts = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * distinct), pa.int32())
+            rare = pa.MapArray.from_arrays(starts, unknown.dictionary.take(pa.array(pair % distinct)).cast(pa.string()), pa.array(times, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), packed, rare], ["doc_id", "n_tokens", "n_known", "base", "within", "symbols", "rare"])
 
     # texts are encoded once; each row gets a number as it is written
     encoded = source.mapInArrow(encode, "doc_id long, n_tokens long, n_known long, base double, within double, symbols binary, rare map<string,long>")
@@ -415,25 +461,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def word_counts(texts: DataFrame, held: int = 1 << 17) -> DataFrame:
-    """(word, c) of all tokens of ``texts``; a worker hands on its counts when it holds ``held`` words."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, c) of all tokens of ``texts``; a worker hands on the counts of each run of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def hand_on() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
-            found.clear()
-            return out
-
-        for batch in chunks(batches, "text"):
-            for text in texts_of(batch, "text"):
-                found.update(text.encode("utf-8").translate(LOWER).split())
-                found[END.encode()] += 1
-            if len(found) > held:
-                yield hand_on()
-        if found:
-            yield hand_on()
+        for batch in (x for some in gathered(batches, "text", 2 * RUN) for x in chunks([some], "text", 2 * RUN)):
+            found = split_words(batch.column("text"))[0].dictionary_encode()
+            times = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.dictionary, pa.array([END.encode()])]).cast(pa.string()), pa.array(np.append(times, batch.num_rows), pa.int64())], ["word", "n"])
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 

@@ -1,9 +1,11 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -224,6 +226,40 @@ def test_gates_are_blocks_of_memory():
     assert all(np.shares_memory(p, net.memory) for p in net.p.values())  # one optimiser step for all
 
 
+def test_words_of_a_run_are_split_and_encoded_as_one_array():
+    rng = random.Random(7)
+    texts = ["", None, " ", "One two\tONE", "\n\r\x0b\x0c", "É Ä\u0085b  c ", "a\x1cb", "日本語 テキスト x", "😀 y\x00"] + ["".join(rng.choices("aX \té\n日x", k=rng.randrange(30))) for _ in range(40)]
+    plain = [[w.encode() for w in brute.words((t or "").translate(brute.UPPER))] for t in texts]
+    lexicon = gru_lm.Lexicon([(gru_lm.END, 9), ("one", 5), ("x", 3)])
+    known = {b"one": 1, b"x": 2}
+    for kind in (pa.string(), pa.large_string()):
+        for cut in (slice(0, None), slice(3, 9), slice(0, 1), slice(0, 0)):
+            some, want = pa.array(texts, kind)[cut], plain[cut]
+            words, size = gru_lm.split_words(some)
+            assert (words.to_pylist(), size.tolist()) == ([w for row in want for w in row], [len(row) for row in want])
+            if want:
+                symbol, place, size, at, rare = lexicon.encode_all(some)
+                assert place.tolist() == [p for row in want for p in [*(known.get(w, 3) for w in row), 0]]
+                other = [w for row in want for w in row if w not in known]
+                assert rare.to_pylist() == other and size.tolist() == [len(row) + 1 for row in want]
+                assert symbol[at].tolist() == [gru_lm.SYMBOLS - gru_lm.ENDINGS + gru_lm.ending(w.decode()) for w in other]
+
+
+def test_outputs_pass_over_tokens_without_a_target():
+    rng = np.random.default_rng(8)
+    net = lane_net()
+    net.memory[:] = rng.normal(0, 0.3, net.SIZE)
+    h, target = rng.normal(0, 0.5, (3000, gru_lm.HIDDEN)).astype(np.float32), rng.integers(0, gru_lm.SYMBOLS, 3000)
+    target[::7] = -1
+    kept = np.flatnonzero(target >= 0)
+    full, part = (net.views(np.zeros(net.SIZE, np.float32)) for _ in range(2))
+    score, back = net.outputs(h, target, full)
+    alone, back_alone = net.outputs(h[kept], target[kept], part)
+    assert not score[::7].any() and not back[::7].any()
+    assert np.allclose(score[kept], alone, atol=1e-5) and np.allclose(back[kept], back_alone, atol=1e-5)
+    assert all(np.allclose(full[n], part[n], atol=1e-3) for n in full)
+
+
 def lane_net():
     return gru_lm.Net(frequency=np.full(gru_lm.SYMBOLS, 1 / gru_lm.SYMBOLS))
 
