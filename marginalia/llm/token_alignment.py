@@ -2,8 +2,8 @@
 
 Each text is tokenised in full by both tokenizers.  Tokens carry their bytes, so every token has a byte range of the same
 text.  Where a space-marked token begins in both at one offset (and all before it ends there: a verified shared end),
-the text is cut: between two such anchors lies a window of token ids of either side.  A window's alignment depends on its
-ids alone and is remembered by them.
+the text is cut: between two such anchors lies a window of tokens of either side.  A window with one token of either side is
+one group; only in the others the ends of both sides are compared.  A run of texts is aligned as one array.
 
 Pair counts need all of the corpus, a text's own figures need the counts of its pairs.  Texts are aligned once and
 written (``aligned``: distinct pairs of a text and how often it has them); counts are summed by Spark; the frequent pairs,
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import byte_symbols
-from .common import Remembered, chunks, ship, staged, texts_of
+from .common import chunks, keep_memory, ship, staged, texts_of
 
 MARK = "▁"
 #: Splits of the byte-level vocabulary's texts (a fixed value).
@@ -33,8 +33,8 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _WIDE = re.compile(r"\s{512}")
 #: Pairs whose counts are broadcast: 16 bytes and a flag each, 9 MB.
 HOT_PAIRS = 1 << 19
-#: Tokens of a window that is remembered; a longer one hardly comes again and is aligned each time.
-WINDOW = 40
+#: Tokens whose decimals are written at once.
+WRITTEN = 1 << 15
 
 
 class ByteTokens:
@@ -80,75 +80,103 @@ class PieceTokens:
         return self.model.encode(text)
 
 
-class Windows(Remembered):
-    """Alignments of windows: the ids of both sides, with -1 between them, and their groups as text."""
-
-    BYTES, ENTRY = 120_000_000, 230
-
-    def keep(self, key: bytes, value: str) -> None:
-        self.held += self.ENTRY + len(key) + len(value)
-        dict.__setitem__(self, key, value)
-
-
 class Aligner:
     def __init__(self, byte_file: str, piece_file: str):
         self.a, self.b = ByteTokens(byte_file), PieceTokens(piece_file)
         self.size_a, self.size_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
-        self.name = [str(i) for i in range(max(len(self.size_a), len(self.size_b)))].__getitem__
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in t.bytes]) for t in (self.a, self.b))
-        self.windows = Windows()
+        # each id's decimals, in the low bytes of a number; seven at most, and a separator
+        names = [str(i).encode() for i in range(max(len(self.size_a), len(self.size_b)))]
+        self.digits, self.width = np.array([int.from_bytes(x, "little") for x in names], np.uint64), np.array([len(x) for x in names], np.uint8)
+        #: Marks of a run's offsets, all zero between runs, so that their memory serves the next run.
+        self.windows: dict[str, np.ndarray] = {}
 
     def align(self, text: str) -> tuple[int, int, str, np.ndarray]:
-        """(tokens of a, tokens of b, groups, links) of one text; all empty where the bytes of either side are not the text.
+        """(tokens of a, tokens of b, groups, links) of one text; see ``align_all``."""
+        n_a, n_b, groups, _, links = self.align_all([text])
+        return int(n_a[0]), int(n_b[0]), groups[0].as_py(), links
+
+    def align_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """Tokens of a and of b, groups, and number of links of each text, and all links; nothing where b's bytes are not the text.
 
         A link is a pair (a << 32 | b) of tokens that end together.
         """
-        nothing = 0, 0, "", np.zeros(0, np.int64)
-        if not text:
-            return nothing
-        whole = " " + text
-        data = whole.encode("utf-8", "surrogatepass")
-        a, ids_b = self.a.encode(whole), self.b.encode(text)
-        if b"".join(map(self.b.bytes.__getitem__, ids_b)) != data:
-            return nothing
-        b = np.array(ids_b, np.int32)
-        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        if ends_a[-1] != len(data):  # bytes have tokens of their own, so that side a spells every text
+        ids_a, ids_b, size = [np.zeros(0, np.int32)], [], []
+        for text in texts:
+            x, y, data = ids_a[0], [], b""
+            if text:
+                whole = " " + text
+                data, y = whole.encode("utf-8", "surrogatepass"), self.b.encode(text)
+                if b"".join(map(self.b.bytes.__getitem__, y)) == data:
+                    x = self.a.encode(whole)
+                else:
+                    y, data = [], b""
+            ids_a.append(x)
+            ids_b.append(y)
+            size.append(len(data))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(texts)) for x in (ids_a[1:], ids_b))
+        a, b = np.concatenate(ids_a), np.fromiter(itertools.chain.from_iterable(ids_b), np.int32, int(n_b.sum()))
+        size_a, size_b = self.size_a[a], self.size_b[b]
+        ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
+        if not np.array_equal(np.append(0, ends_a)[np.cumsum(n_a)], np.cumsum(size)):  # bytes have tokens of their own, so that side a spells every text
             raise AssertionError("byte-level tokens do not cover their text")
-        # shared ends: numbers of tokens, of either side, up to each offset where both sides end
-        _, to_a, to_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        to_a, to_b = self._shared_ends(a, b, size_a, size_b, ends_a, ends_b)
         links = (a[to_a].astype(np.int64) << 32) | b[to_b]
-        to_a, to_b = np.append(0, to_a + 1), np.append(0, to_b + 1)
-        # anchors: shared ends before a token that is space-marked on both sides
-        anchor = np.ones(len(to_a), bool)
-        anchor[1:-1] = self.space_a[a[to_a[1:-1]]] & self.space_b[b[to_b[1:-1]]]
-        first = np.flatnonzero(anchor)
-        cut_a, cut_b = to_a[first], to_b[first]
-        # all windows in one array, each a's ids, -1 and b's ids: a window's key is one slice of it
-        turn = np.arange(len(first))
-        both = np.full(len(a) + len(b) + len(first) - 1, -1, np.int32)
-        both[np.arange(len(a)) + np.repeat((cut_b + turn)[:-1], np.diff(cut_a))] = a
-        both[np.arange(len(b)) + np.repeat(cut_a[1:] + turn[1:], np.diff(cut_b))] = b
-        packed = both.tobytes()
-        keys = [packed[p:q] for p, q in itertools.pairwise((4 * (cut_a + cut_b + turn)).tolist())]
-        found = list(map(self.windows.get, keys))
-        if None in found:
-            self._learn(keys, found, list(map(self.name, a.tolist())), list(map(self.name, ids_b)), to_a.tolist(), to_b.tolist(), first.tolist())
-        return len(a), len(b), ";".join(found), links
-
-    def _learn(self, keys: list[bytes], found: list[str | None], names_a: list[str], names_b: list[str], to_a: list[int], to_b: list[int], first: list[int]) -> None:
-        """Fills in the windows that are not known, from their own shared ends: window n has those from first[n] to first[n + 1]."""
-        for n, groups in enumerate(found):
-            if groups is None:
-                g, h = first[n], first[n + 1]
-                if h == g + 1:
-                    groups = f"{','.join(names_a[to_a[g] : to_a[h]])}|{','.join(names_b[to_b[g] : to_b[h]])}"
-                else:
-                    ends = zip(to_a[g:h], to_a[g + 1 : h + 1], to_b[g:h], to_b[g + 1 : h + 1], strict=True)
-                    groups = ";".join([f"{names_a[i] if x - i == 1 else ','.join(names_a[i:x])}|{names_b[j] if y - j == 1 else ','.join(names_b[j:y])}" for i, x, j, y in ends])
-                if len(keys[n]) <= 4 * WINDOW:
-                    self.windows.keep(keys[n], groups)
-                found[n] = groups
+        n_links = np.diff(np.searchsorted(to_a, np.append(0, np.cumsum(n_a))))
+        return n_a, n_b, self._groups(a, b, to_a, to_b, n_a + n_b), n_links, links
+
+    def _shared_ends(self, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens, of either side, that end where a token of the other ends."""
+        if not len(a):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        marks = self.windows.get("marks")
+        if marks is None or len(marks) <= ends_a[-1]:
+            marks = self.windows["marks"] = np.zeros(ends_a[-1] + 1, np.uint8)
+
+        def both(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which of either side's offsets the other has, too."""
+            marks[x] = 1
+            marks[y] |= 2
+            found = marks[x] == 3, marks[y] == 3
+            marks[x] = marks[y] = 0
+            return found
+
+        # anchors: space-marked tokens that begin together; a text begins with one
+        first_a, first_b = np.flatnonzero(self.space_a[a]), np.flatnonzero(self.space_b[b])
+        hit_a, hit_b = both((ends_a - size_a)[first_a], (ends_b - size_b)[first_b])
+        stop_a, stop_b = np.append(first_a[hit_a][1:], len(a)), np.append(first_b[hit_b][1:], len(b))
+        wide_a, wide_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        # windows of several tokens on both sides may have more shared ends than their own
+        several = (wide_a > 1) & (wide_b > 1)
+        in_a, in_b = np.flatnonzero(np.repeat(several, wide_a)), np.flatnonzero(np.repeat(several, wide_b))
+        hit_a, hit_b = both(ends_a[in_a], ends_b[in_b])
+        found = []
+        for n, stop, hits in ((len(a), stop_a, in_a[hit_a]), (len(b), stop_b, in_b[hit_b])):
+            last = np.zeros(n, bool)
+            last[stop - 1] = last[hits] = True
+            found.append(np.flatnonzero(last))
+        return found[0], found[1]
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, tokens: np.ndarray) -> pa.Array:
+        """Each text's groups, written out, where ``tokens`` are a text's tokens of both sides."""
+        at_a = np.arange(len(a)) + np.repeat(np.append(0, to_b + 1)[:-1], np.diff(to_a, prepend=-1))
+        at_b = np.arange(len(b)) + np.repeat(to_a + 1, np.diff(to_b, prepend=-1))
+        ids, mark = np.empty(len(a) + len(b), np.int32), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = a, b
+        mark[at_a[to_a]], mark[at_b[to_b]] = ord("|"), ord(";")
+        stop = np.cumsum(tokens)
+        mark[stop[tokens > 0] - 1] = 0  # nothing follows a text's last token
+        kept = np.arange(8) < np.arange(9)[:, None]
+        parts, lengths = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(ids), WRITTEN):
+            some, follow = ids[i : i + WRITTEN], mark[i : i + WRITTEN]
+            width = self.width[some]
+            chars = self.digits[some] | (follow.astype(np.uint64) << (8 * width.astype(np.uint64)))
+            width += follow > 0
+            parts.append(chars.astype("<u8").view(np.uint8).reshape(-1, 8)[kept[width]])
+            lengths.append(width.astype(np.int64))
+        offsets = np.cumsum(np.concatenate(lengths))[np.append(0, stop)].astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(tokens), [None, pa.py_buffer(offsets), pa.py_buffer(np.concatenate([np.zeros(0, np.uint8), *parts]))])
 
 
 @lru_cache(maxsize=2)
@@ -168,15 +196,18 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(byte_file, piece_file)
+        keep_memory()
         for batch in chunks(batches, "text"):
-            tool.windows.room()
-            n_a, n_b, groups, links = zip(*map(tool.align, texts_of(batch, "text")), strict=True)
-            pairs = [np.unique(x, return_counts=True) for x in links]
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in pairs]))).astype(np.int32))
-            codes, times = np.concatenate([p for p, _ in pairs]), np.concatenate([t for _, t in pairs]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((codes >> 32).astype(np.int32), (codes & 0xFFFFFFFF).astype(np.int32), times)]
-            counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, [len(x) for x in links])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(groups, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_links", "groups", "a", "b", "times"])
+            n_a, n_b, groups, n_links, links = tool.align_all(texts_of(batch, "text"))
+            # a text's pairs, each once
+            side = len(tool.size_b)
+            square = len(tool.size_a) * side
+            code, times = np.unique(np.repeat(np.arange(len(n_links)) * square, n_links) + (links >> 32) * side + (links & 0xFFFFFFFF), return_counts=True)
+            offsets = pa.array(np.searchsorted(code, np.arange(len(n_links) + 1) * square), pa.int32())
+            code %= square
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (code // side, code % side, times)]
+            counts = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_links)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, groups, *lists], ["doc_id", "n_a", "n_b", "n_links", "groups", "a", "b", "times"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_a long, n_b long, n_links long, groups string, a array<int>, b array<int>, times array<int>")

@@ -241,6 +241,23 @@ def test_remembered_windows_change_nothing():
     assert [plain(t) for t in texts] == fresh and [plain(t) for t in reversed(texts)] == fresh[::-1]
 
 
+def test_a_run_of_texts_is_aligned_as_its_texts_are():
+    """Texts without tokens lie between others; groups are written in several parts."""
+    tool = token_alignment.Aligner(vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    texts = ["", *random_texts(300, 5), "a▁b", None, "some words, " * token_alignment.WRITTEN, "▁", "Ünïcode 日本語", ""]
+    n_a, n_b, groups, n_links, links = tool.align_all(texts)
+    assert not any(x.any() for x in tool.windows.values())  # no marks stay
+    for i, (text, own) in enumerate(zip(texts, np.split(links, np.cumsum(n_links)[:-1]), strict=True)):
+        alone = tool.align(text)
+        assert (n_a[i], n_b[i], groups[i].as_py()) == alone[:3] and np.array_equal(own, alone[3])
+        written = [[side.split(",") for side in g.split("|")] for g in alone[2].split(";") if g]
+        assert [(int(a[-1]) << 32) | int(b[-1]) for a, b in written] == own.tolist()
+        if text and "▁" not in text:
+            assert b"".join(tool.a.bytes[int(x)] for a, _ in written for x in a) == b"".join(tool.b.bytes[int(x)] for _, b in written for x in b) == (" " + text).encode()
+            assert all(b"".join(tool.a.bytes[int(x)] for x in a) == b"".join(tool.b.bytes[int(x)] for x in b) for a, b in written)
+    assert tool.align_all([])[0].tolist() == [] and tool.align_all(["", None])[2].to_pylist() == ["", ""]
+
+
 def test_manifest_sql_matches_plain_trees(odd):
     """The SQL that stands beside the query, on odd rows and on one source of several levels."""
     import duckdb
