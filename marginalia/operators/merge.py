@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.operators.shared import Rounds, cut
+from marginalia.operators.shared import Rounds, cut, spread
 
 #: Fields that the first non-null value fills, and lists that the first non-empty value fills.
 FILLED = ("doi", "pmid", "abstract", "journal", "publication_date", "license")
@@ -108,17 +108,17 @@ def greedy_matching(edges: DataFrame, rounds: Rounds | None = None) -> DataFrame
             near.append(first.where(f"n_{end} <= 2"))
         before = F.col("n_doi") + F.col("n_pmid") - 2
         head = F.when(before == 1, F.when(F.col("n_doi") == 2, F.col("first_doi")).otherwise(F.col("first_pmid"))).otherwise(F.col("seq"))
-        links = rounds.next("links", near[0].join(near[1], "seq").select("seq", "doi", "pmid", head.alias("head"), (before == 1).alias("flip"), (before == 0).alias("free")))
+        links = rounds.next("links", near[0].join(spread(near[1]), "seq").select("seq", "doi", "pmid", head.alias("head"), (before == 1).alias("flip"), (before == 0).alias("free")))
         while True:
             up = links.select(F.col("seq").alias("head"), F.col("head").alias("_head"), F.col("flip").alias("_flip"))
-            moved = links.join(up, "head", "left").select("seq", "doi", "pmid", F.coalesce("_head", "head").alias("head"), (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"), "free", (F.coalesce("_head", "head") != F.col("head")).alias("moved"))
+            moved = links.join(spread(up), "head", "left").select("seq", "doi", "pmid", F.coalesce("_head", "head").alias("head"), (F.col("flip") != F.coalesce("_flip", F.lit(False))).alias("flip"), "free", (F.coalesce("_head", "head") != F.col("head")).alias("moved"))
             if not moved.where("moved").limit(1).count():
                 break
             links = rounds.next("links", moved.drop("moved"))
         heads = links.where("free").select(F.col("seq").alias("head"))
-        found = cut(links.where("not flip").join(heads, "head", "left_semi").select("seq", "doi", "pmid"))
+        found = cut(links.where("not flip").join(spread(heads), "head", "left_semi").select("seq", "doi", "pmid"))
         taken = found if taken is None else taken.unionByName(found)
-        active = rounds.next("active", active.join(found.select("doi"), "doi", "left_anti").join(found.select("pmid"), "pmid", "left_anti"))
+        active = rounds.next("active", active.join(spread(found.select("doi")), "doi", "left_anti").join(spread(found.select("pmid")), "pmid", "left_anti"))
     rounds.drop("active", "links")
     return spark.createDataFrame([], "seq long, doi string, pmid string") if taken is None else taken
 
@@ -151,29 +151,29 @@ def resolve(records: DataFrame, claims: DataFrame | None = None, rounds: Rounds
     for end, other in (("doi", "pmid"), ("pmid", "doi")):
         alone = rows.where(f"{end} is not null and {other} is null").groupBy(end).agg(F.min("seq").alias("opened"))
         stored = known.where(F.col("kind") == end).select(F.col("value").alias(end), "id", "full")
-        state[end] = cut(alone.join(stored, end, "full").select(end, F.when(F.col("id").isNull(), F.col("opened")).alias(f"{end}_opened"), F.col("id").alias(f"{end}_id"), F.coalesce("full", F.lit(False)).alias(f"{end}_full")))
+        state[end] = cut(alone.join(spread(stored), end, "full").select(end, F.when(F.col("id").isNull(), F.col("opened")).alias(f"{end}_opened"), F.col("id").alias(f"{end}_id"), F.coalesce("full", F.lit(False)).alias(f"{end}_full")))
 
     def open_before(end: str) -> Column:
         return F.col(f"{end}_id").isNotNull() | F.coalesce(F.col(f"{end}_opened") < F.col("seq"), F.lit(False))
 
     pairs = rows.where("doi is not null and pmid is not null").groupBy("doi", "pmid").agg(F.min("seq").alias("seq"))
-    both = pairs.join(state["doi"], "doi", "left").join(state["pmid"], "pmid", "left")
+    both = pairs.join(spread(state["doi"]), "doi", "left").join(spread(state["pmid"]), "pmid", "left")
     both = both.where(~F.coalesce("doi_full", F.lit(False)) & ~F.coalesce("pmid_full", F.lit(False)) & ~(open_before("doi") & open_before("pmid")))
     taken = greedy_matching(both.select("seq", "doi", "pmid"), rounds)
     owner = lambda end: F.when(open_before(end), F.struct(F.col(f"{end}_id").alias("id"), F.when(F.col(f"{end}_id").isNull(), F.col(f"{end}_opened")).alias("seq")))
     fresh = F.struct(F.lit(None).cast("long").alias("id"), F.col("seq"))
-    matched = cut(taken.join(state["doi"], "doi", "left").join(state["pmid"], "pmid", "left").select("seq", "doi", "pmid", F.coalesce(owner("doi"), owner("pmid"), fresh).alias("owner")))
+    matched = cut(taken.join(spread(state["doi"]), "doi", "left").join(spread(state["pmid"]), "pmid", "left").select("seq", "doi", "pmid", F.coalesce(owner("doi"), owner("pmid"), fresh).alias("owner")))
 
     held, changes = {}, []
     for end in ("doi", "pmid"):
         filled = matched.select(end, F.col("seq").alias(f"{end}_filled"), F.col("owner").alias(f"{end}_owner"))
-        held[end] = cut(state[end].join(filled, end, "full"))
+        held[end] = cut(state[end].join(spread(filled), end, "full"))
         now = F.col(f"{end}_filled").isNotNull()
         mine = F.when(now, F.col(f"{end}_owner")).otherwise(F.struct(F.col(f"{end}_id").alias("id"), F.col(f"{end}_opened").alias("seq")))
         new = held[end].where(now | (F.col(f"{end}_id").isNull() & F.col(f"{end}_opened").isNotNull()))
         changes.append(new.select(F.lit(end).alias("kind"), F.col(end).alias("value"), mine["id"].alias("id"), mine["seq"].alias("publication"), now.alias("full")))
 
-    joined = rows.join(held["doi"], "doi", "left").join(held["pmid"], "pmid", "left")
+    joined = rows.join(spread(held["doi"]), "doi", "left").join(spread(held["pmid"]), "pmid", "left")
     full, by = {}, {}
     for end in ("doi", "pmid"):
         full[end] = F.coalesce(F.col(f"{end}_full"), F.lit(False)) | F.coalesce(F.col(f"{end}_filled") < F.col("seq"), F.lit(False))

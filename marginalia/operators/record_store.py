@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.operators import merge
-from marginalia.operators.shared import Rounds, cut, exists
+from marginalia.operators.shared import Rounds, cut, exists, spread
 
 FIELDS = "seq long, source string, title string, doi string, pmid string, abstract string, journal string, publication_date string, license string, authors array<string>, publication_types array<string>, keywords array<string>, is_open_access boolean"
 _COLUMNS = [f.strip().split(" ")[0] for f in FIELDS.split(", ")]
@@ -70,7 +70,7 @@ class RecordStore:
             some = records.where(f"nullif({kind}, '') is not null").select(key_of(kind, F.col(kind)).alias("key"))
             wanted = some if wanted is None else wanted.unionByName(some)
         kind = F.substring_index("key", ":", 1)
-        found = self.identifiers(batch).join(wanted.distinct(), "key", "left_semi")
+        found = self.identifiers(batch).join(spread(wanted.distinct()), "key", "left_semi")
         return found.select(kind.alias("kind"), F.expr("substr(key, instr(key, ':') + 1)").alias("value"), "id", "full")
 
     def add(self, batch: int, records: DataFrame, rounds: Rounds | None = None) -> DataFrame:
@@ -84,11 +84,11 @@ class RecordStore:
         outcomes, changes = merge.resolve(records, self.claims(batch, records), rounds)
         last = self.spark.table(self.table("log")).where(F.col("batch") < batch).agg(F.max("id")).first()[0] or 0
         ids = cut(numbered(outcomes.where("outcome = 'added'").select("seq"), last).withColumnRenamed("seq", "publication"))
-        named = lambda rows: rows.join(ids.withColumnRenamed("id", "new_id"), "publication", "left").withColumn("id", F.coalesce("id", "new_id"))
+        named = lambda rows: rows.join(spread(ids.withColumnRenamed("id", "new_id")), "publication", "left").withColumn("id", F.coalesce("id", "new_id"))
         done = cut(named(outcomes).select("seq", "id", "outcome"))
-        self._write("log", records.join(done.where("outcome <> 'failed'"), "seq"), batch)
+        self._write("log", records.join(spread(done.where("outcome <> 'failed'")), "seq"), batch)
         self._write("identifiers", named(changes).withColumn("key", key_of(F.col("kind"), F.col("value"))), batch)  # last: who looks up an identifier finds its rows
-        return records.select("seq", "source").join(done, "seq")
+        return records.select("seq", "source").join(spread(done), "seq")
 
     def add_sources(self, batch: int, rows: DataFrame) -> None:
         """Full-text addresses (publication_id, url, seq, source, format, version); the first row of an address counts.
